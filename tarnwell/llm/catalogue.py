@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, quality_rules, sharding, url_filter
+from . import bpe, chat, decontaminate, quality_rules, sharding, token_file, url_filter
 
 QUERIES = {
+    "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_url_filter": url_filter.op4_url_filter,
     "op6_sharding": sharding.op6_sharding,
     "op8_chat_formatting": chat.op8_chat_formatting,
+    "op9_token_files": token_file.op9_token_files,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
