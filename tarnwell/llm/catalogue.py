@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, quality_rules, sharding, token_file, url_filter
+from . import bpe, chat, decontaminate, near_dup, quality_rules, sharding, token_file, url_filter
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_url_filter": url_filter.op4_url_filter,
     "op6_sharding": sharding.op6_sharding,
+    "op7_near_dedup": near_dup.op7_near_dedup,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_token_files": token_file.op9_token_files,
     "op10_quality_rules": quality_rules.op10_quality_rules,
@@ -17,6 +18,7 @@ QUERIES = {
 SQL = {
     "op3_decontamination": decontaminate.OP3_SQL,
     "op4_url_filter": url_filter.OP4_SQL,
+    "op7_near_dedup": near_dup.OP7_SQL,
     "op8_chat_formatting": chat.OP8_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
 }
