@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, near_dup, quality_rules, sharding, token_file, url_filter
+import corpus_pipeline
+
+from . import bpe, chat, decontaminate, language_id, near_dup, quality_classifier, quality_rules, sharding, token_file, url_filter
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_sharding": sharding.op6_sharding,
     "op7_near_dedup": near_dup.op7_near_dedup,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_token_files": token_file.op9_token_files,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
@@ -22,3 +27,5 @@ SQL = {
     "op8_chat_formatting": chat.OP8_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
