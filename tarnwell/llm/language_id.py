@@ -30,7 +30,7 @@ MAX_LANGUAGES = 500
 #: Bounds of the training sample: rows of each language, and characters of each.
 SAMPLE_ROWS = 600
 SAMPLE_CHARS = 512
-STEPS = 500
+STEPS = 300
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -155,7 +155,7 @@ def _back(d: Direction, steps: np.ndarray, order, kept: dict, above: np.ndarray)
     return grads
 
 
-def train(texts: list[bytes], labels: list[str], steps: int = STEPS, hidden: int = HIDDEN, seed: int = 11, batch: int = 192) -> Model:
+def train(texts: list[bytes], labels: list[str], steps: int = STEPS, hidden: int = HIDDEN, seed: int = 11, batch: int = 128) -> Model:
     """A model by Adam on random stretches of the texts, a label an equal share
     of each batch; every position of a stretch has the label of its text."""
     languages = sorted(set(labels))
