@@ -134,7 +134,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: s
     if len(rules) > max_listed:
         raise ValueError(f"{len(rules)} listed keys; at most {max_listed} are allowed")
     listed = {f"{host}{path}": verdict for host, path, verdict in rules}
-    lengths = sorted({len(path) for _, path, _ in rules}, reverse=True)
+    lengths = sorted({len(path) for _, path, _ in rules} or {0}, reverse=True)
     base = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     keyed = _candidates(base, lengths)
 
