@@ -28,8 +28,8 @@ MIN_WORDS = 10
 MAX_REPEAT_SHARE = 20
 MIN_DOCS = 5
 MAX_SHARE = 8
-MIN_LEFT_SHARE = 50
-MIN_LEFT_WORDS = 10
+MIN_LEFT_SHARE = 25
+MIN_LEFT_WORDS = 5
 BROADCAST_LINES = 100_000
 SALTS = 64
 
@@ -218,6 +218,6 @@ WITH base AS (
   FROM base LEFT JOIN dups USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN removed USING (doc_id)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * (n_words - n_removed_words) >= 50 * n_words AND n_words - n_removed_words >= 10 AS kept, n_removed_words
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * (n_words - n_removed_words) >= 25 * n_words AND n_words - n_removed_words >= 5 AS kept, n_removed_words
 FROM judged
 """

@@ -27,7 +27,7 @@ def test_measures(spark):
 
 def _host(n):
     body = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
-    return [(k, f"Click  HERE to subscribe\n{body(k)}" if k < n else body(k), "en", "big" if k < 60 else None, 0) for k in range(62)] + [(99, "click here to subscribe\nclick here TO subscribe\nfive more words stand here now", "en", "big", 0)]
+    return [(k, f"Click  HERE to subscribe\n{body(k)}" if k < n else body(k), "en", "big" if k < 60 else None, 0) for k in range(62)] + [(99, "click here to subscribe\nclick here TO subscribe\nthree more words", "en", "big", 0)]
 
 
 def test_boilerplate_is_removed_and_depleted_documents_go(spark):
