@@ -183,3 +183,13 @@ def stored(df, name: str):
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hash_below(order, wanted: int, total):
+    """A condition on a 64-bit hash column that lets through about four times
+    ``wanted`` of ``total`` rows (all, if there are fewer): what then goes on to
+    pick the ``wanted`` smallest is bounded whatever the table's size."""
+    from pyspark.sql import functions as F
+
+    share = F.least(F.lit(1.0), F.lit(4.0 * wanted) / F.greatest(total, F.lit(1)))
+    return order.cast("double") <= F.lit(2.0**64) * share - F.lit(2.0**63)

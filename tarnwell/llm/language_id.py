@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import flat_ranges, text_slices
+from .common import flat_ranges, hash_below, text_slices
 
 STRETCH = 64
 HIDDEN = 12
@@ -205,15 +205,18 @@ def remainder(id_col: str, by: int) -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, steps: int = STEPS) -> Model:
     """Learn from rows with a language, a text and an id whose crc32 modulo 3 is
-    not 1: of each language the ``sample_rows`` rows with the smallest hash of
-    the id, and of each of them SAMPLE_CHARS characters from a hashed place.  No
-    such rows give a model without languages."""
+    not 1: of each language (the MAX_LANGUAGES most frequent) the ``sample_rows``
+    rows with the smallest hash of the id, and of each of them SAMPLE_CHARS
+    characters from a hashed place.  No such rows give a model without languages."""
     order, text = F.xxhash64(F.col(id_col).cast("string")), F.col(text_col)
     place = F.pmod(order, F.greatest(F.length(text) - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
-    rows = docs.filter((remainder(id_col, 3) != 1) & F.col(lang_col).isNotNull() & (F.length(text) > 0))
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), order.alias("order"), F.substring(text, place, F.lit(SAMPLE_CHARS)).alias("text"))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))).filter(F.col("rank") <= sample_rows)
-    sample = rows.select("lang", "order", "text").limit(MAX_LANGUAGES * sample_rows).collect()
+    rows = docs.filter((remainder(id_col, 3) != 1) & F.col(lang_col).isNotNull())
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), order.alias("order"), text.alias("text"), place.alias("place"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES)
+    rows = rows.join(F.broadcast(counts), "lang").filter(hash_below(F.col("order"), sample_rows, F.col("total")) & (F.length("text") > 0))
+    rows = rows.select("lang", "order", F.substring("text", F.col("place"), F.lit(SAMPLE_CHARS)).alias("text"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "text")))
+    sample = ranked.filter(F.col("rank") <= sample_rows).select("lang", "order", "text").collect()
     sample = sorted((r.lang, r.order, r.text) for r in sample)
     return train([t.encode() for _, _, t in sample], [lang for lang, _, _ in sample], steps)
 
