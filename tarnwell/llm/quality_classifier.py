@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, mix, span_hashes, text_slices, words_of
+from .common import NOT_SPACE, hash_below, mix, span_hashes, text_slices, words_of
 from .language_id import remainder
 
 SLOTS = 1 << 16
@@ -124,7 +124,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts are left out; without rows every score is one half."""
     order = F.xxhash64(F.col(id_col).cast("string"))
     known = labels.filter((remainder(id_col, 4) != 2) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"), order.alias("order")).distinct()
-    chosen = [known.filter(F.col("label") == k).orderBy("order", "doc_id").limit(sample_rows) for k in (0, 1)]
+    totals = dict(known.groupBy("label").count().collect())
+    near = [known.filter((F.col("label") == k) & hash_below(F.col("order"), sample_rows, F.lit(totals.get(k, 0)))) for k in (0, 1)]
+    chosen = [rows.orderBy("order", "doc_id").limit(sample_rows) for rows in near]
     ids = chosen[0].unionByName(chosen[1])  # at most 2 * sample_rows rows
     text = F.col(text_col)
     place = F.pmod(order, F.greatest(F.length(text) - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
