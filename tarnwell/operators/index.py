@@ -19,6 +19,18 @@ LEMMA_KEY = ["site_url", "lemma"]
 GOOD_CODE = 200
 
 
+def new_pages(page_urls: DataFrame) -> DataFrame:
+    """Pages to be fetched, of (page_url, site_url): the path as the url has it, no
+    code, empty content.  A url of another site is an error."""
+    path = urls.relative_path(F.col("page_url"), F.col("site_url"), strict=True)
+    return page_urls.select("site_url", path.alias("path"), F.lit(None).cast("int").alias("code"), F.lit("").alias("content"))
+
+
+def saved_pages(pages: DataFrame) -> DataFrame:
+    """Pages as they are stored: paths without a trailing slash."""
+    return pages.withColumn("path", urls.stored_path(F.col("path")))
+
+
 def good_pages(pages: DataFrame) -> DataFrame:
     """Pages with code 200; a null code is not good."""
     return pages.filter(F.col("code").eqNullSafe(GOOD_CODE))
@@ -43,8 +55,8 @@ def postings(pages: DataFrame, analyzer: Analyzer, morph: DataFrame | None = Non
     morph = analyzer.morph_table(pages.sparkSession) if morph is None else morph
     counted = words_of(good_pages(pages), analyzer, is_html).groupBy(*PAGE_KEY, "word").agg(F.count("*").alias("n"))
     lemmas = lemmas_of_words(counted, morph)
-    # forms of one lemma add up; the rows of a page stay where the first count put them only by key,
-    # so this sum is a second, much smaller, exchange
+    # forms of one lemma add up; a dictionary too large to broadcast is then met by
+    # counted words only, not by every word of every page
     return lemmas.groupBy(*PAGE_KEY, "lemma").agg(F.sum("n").cast("float").alias("rank"))
 
 

@@ -160,6 +160,13 @@ def page_lookup(spark, d):
     return _site_pages(spark, d).join(first, ["site_url", "path"]).select("page_id", "site_url", "path")
 
 
+def page_constructor(spark, d):
+    """New pages of urls, and the path each is saved by."""
+    made = index.new_pages(load(spark, d, "pages").select(F.col("url").alias("page_url"), urls.origin(F.col("url")).alias("site_url")))
+    saved = urls.stored_path(F.col("path"))
+    return made.select("site_url", "path", "code", "content", saved.alias("saved_path"))
+
+
 def pages_per_site(spark, d):
     return stats.pages_per_site(document_pages(spark, d, all_good=False))
 
@@ -370,7 +377,7 @@ QUERIES = {
     for f in (
         url_normalize, url_relative_path, url_is_file_link, url_page_in_site, site_of_page, page_links, page_good_links, page_link_counts, acceptable_content,
         page_title, page_clean_text_len, tokenize_documents, token_stopword_filter, double_letter_strip, term_frequency, page_term_frequency,
-        term_frequency_good_pages, document_frequency, lemma_lookup, postings_by_lemma, postings_by_page, posting_by_lemma_page, page_lookup,
+        term_frequency_good_pages, document_frequency, lemma_lookup, postings_by_lemma, postings_by_page, posting_by_lemma_page, page_lookup, page_constructor,
         pages_per_site, responsive_pages_per_site, lemmas_per_site, stats_total, stats_detailed, lemma_frequency_limit, usable_query_lemmas,
         rarest_query_lemma, search_abs_relevance, search_ranked_all_sites, search_ranked_one_site, search_page2, search_total_count, search_batch,
         snippet_hits, snippet_windows, snippet_bucketed, snippet_text, index_delete_page, index_upsert_page, frequency_increment, frequency_decrement,
@@ -517,6 +524,7 @@ SQL = {
     "postings_by_page": f"WITH {_DOC_POSTS} SELECT site_url, path, lemma, rank FROM posts WHERE path = '{ONE_DOC}'",
     "posting_by_lemma_page": f"WITH {_DOC_POSTS} SELECT site_url, path, lemma, rank FROM posts WHERE path = '{ONE_DOC}' AND lemma = '{ONE_LEMMA}'",
     "page_lookup": f"WITH {_PAGE_ROWS} SELECT p.page_id, site_url, path FROM site_pages p JOIN (SELECT site_url, path FROM site_pages WHERE page_id = 0) USING (site_url, path)",
+    "page_constructor": f"WITH {_PAGE_ROWS} SELECT site_url, CASE WHEN path = '/' THEN '/' ELSE substr(url, length(site_url) + 1) END AS path, CAST(NULL AS INT) AS code, '' AS content, path AS saved_path FROM page_rows",
     "pages_per_site": "SELECT source AS site_url, count(*) AS pages FROM documents GROUP BY source",
     "responsive_pages_per_site": "SELECT source AS site_url, count(*) FILTER (doc_id % 17 <> 0) AS pages FROM documents GROUP BY source",
     "lemmas_per_site": f"WITH {_DOC_POSTS} SELECT site_url, count(*) AS lemmas FROM lemmas GROUP BY site_url",

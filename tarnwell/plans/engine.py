@@ -107,15 +107,23 @@ class Engine:
             return error(ALREADY_RUNNING)
         try:
             self._stop.clear()
-            sites = self._config()
-            reached = crawling.crawl(sites, fetches, max_depth, self._stop.is_set)
-            fetched = fetches.join(reached.select("site_url", "page_url"), "page_url")
-            pages = self._pages(fetched)
-            self._write(pages, index.postings(pages, self.analyzer, is_html=self.is_html), None, status.fold_status(sites, self._log(fetched), self._stop.is_set()))
-            return good()
+            return self._index_all(fetches, max_depth)
+        except Exception as e:  # noqa: BLE001  any failure is told by the sites' status
+            message = status.unexpected_error(str(e))
+            failed = self._config().withColumns({"status": F.lit("FAILED"), "last_error": F.lit(message)})
+            self._write(*(self.spark.createDataFrame([], tables.SCHEMAS[n]) for n in ("pages", "postings", "lemmas")), failed)
+            return error(message)
         finally:
             self._lock.release()
 
+    def _index_all(self, fetches: DataFrame, max_depth: int | None) -> dict:
+        sites = self._config()
+        reached = crawling.crawl(sites, fetches, max_depth, self._stop.is_set)
+        fetched = fetches.join(reached.select("site_url", "page_url"), "page_url")
+        pages = self._pages(fetched)
+        self._write(pages, index.postings(pages, self.analyzer, is_html=self.is_html), None, status.fold_status(sites, self._log(fetched), self._stop.is_set()))
+        return good()
+
     def stop(self) -> dict:
         """Ask a running operation to end; it keeps what it has."""
         if not self._lock.locked():

@@ -100,6 +100,25 @@ def test_failed_site_is_not_searched(spark, tmp_path):
     assert own.search("x")["error"] == engine_module.NOT_INDEXED
 
 
+def test_unexpected_failure_is_in_the_status(spark, tmp_path):
+    own = Engine(spark, str(tmp_path / "i"), [{"url": A, "name": "a"}], analyzer=LATIN)
+    answer = own.index_all(fetches(spark, CORPUS).withColumn("code", F.raise_error(F.lit("broken disk")).cast("int")))
+    assert not answer["result"] and "broken disk" in answer["error"]
+    site = own.table("sites").first()
+    assert site.status == "FAILED" and site.last_error.startswith("Unexpected exception : ")
+    assert own.statistics()["statistics"]["total"] == {"sites": 1, "pages": 0, "lemmas": 0, "indexing": False}
+
+
+def test_new_pages(spark):
+    from tarnwell.operators import index
+
+    made = index.new_pages(spark.createDataFrame([(f"{A}/x/", A), (A, A)], "page_url string, site_url string"))
+    assert [tuple(r) for r in made.collect()] == [(A, "/x/", None, ""), (A, "/", None, "")]
+    assert [r.path for r in index.saved_pages(made).collect()] == ["/x", "/"]
+    with pytest.raises(Exception, match="is not a page of"):
+        index.new_pages(spark.createDataFrame([(f"{B}/x/", A)], "page_url string, site_url string")).collect()
+
+
 def test_depth_zero(spark):
     sites = spark.createDataFrame([(A,)], "site_url string")
     assert [r.page_url for r in crawl.crawl(sites, fetches(spark, CORPUS), max_depth=0).collect()] == [A]
