@@ -99,31 +99,54 @@ def unpack(content: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray]:
     return ids, [d if known else None for d, known in zip(columns[0].tolist(), columns[1].tolist(), strict=True)], columns[2]
 
 
-_caches: dict[str, PieceCache] = {}
+class _Encoder:
+    """Encodes slices as the tokenizers library would, without tokens of its own.
 
+    Pieces that were met before are looked up.  A document that holds the string
+    of an added token goes to the library whole, as such strings are cut out of
+    a text before its pieces are."""
 
-def _cache(name: str, definition) -> PieceCache:
-    """This worker's cache of pieces encoded by the tokenizers library."""
-    if name not in _caches:
+    def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_str(definition.value)
-        library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library = Tokenizer.from_str(definition)
+        self.added = [token.content.encode() for token in self.library.get_added_tokens_decoder().values()]
+        self.pieces = PieceCache(self._encode)
 
-        def encode(pieces: list[bytes]) -> list[list[int]]:
-            return [x.ids for x in library.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)]
+    def _encode(self, pieces: list[bytes]) -> list[list[int]]:
+        return [x.ids for x in self.library.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)]
 
-        _caches.clear()
-        _caches[name] = PieceCache(encode)
-    return _caches[name]
+    def ids_of(self, s) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the bounds of each document's."""
+        ids, bounds = self.pieces.ids_of(s)
+        raw = s.data.tobytes()
+        if not any(token in raw for token in self.added):
+            return ids, bounds
+        own = np.split(ids, bounds[1:-1])
+        for k, (a, b) in enumerate(zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist(), strict=True)):
+            if any(token in raw[a:b] for token in self.added):
+                own[k] = np.array(self._encode([raw[a:b]])[0], ids.dtype)
+        return np.concatenate(own), np.concatenate(([0], np.cumsum([len(x) for x in own])))
+
+
+_encoders: dict[str, _Encoder] = {}
+
+
+def _encoder(name: str, definition) -> _Encoder:
+    """This worker's encoder of a broadcast definition."""
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = _Encoder(definition.value)
+    return _encoders[name]
 
 
 def write_files(docs: DataFrame, path: str, target: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """Encode the documents in ascending id order, ``end_id`` after each, and
     write them as token files to the folder ``target``; the table of files.
 
-    ``path`` is a tokenizers definition with byte-level pieces.  Null texts are
+    ``path`` is a tokenizers definition with byte-level pieces; strings of its
+    added tokens in a text become those tokens, as in the library.  Null texts are
     empty (only the end id); null doc ids come first; repeated rows are written
     as often as they come, in no set order among equals; no rows make no file.
     """
@@ -133,7 +156,7 @@ def write_files(docs: DataFrame, path: str, target: str, end_id: int = 0, id_col
     name, definition = hashlib.sha256(text.encode()).hexdigest(), spark.sparkContext.broadcast(text)
 
     def encode(batches):
-        cache, part, before = _cache(name, definition), 0, 0
+        encoder, part, before = _encoder(name, definition), 0, 0
         number = TaskContext.get().partitionId()
         ids: list[np.ndarray] = []
         names: list[int | None] = []
@@ -150,7 +173,7 @@ def write_files(docs: DataFrame, path: str, target: str, end_id: int = 0, id_col
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
             for s in text_slices(batch.column("text")):
-                own, bounds = cache.ids_of(s)
+                own, bounds = encoder.ids_of(s)
                 own = np.insert(own, bounds[1:], end_id)
                 ids.append(own)
                 names += doc_ids[s.first : s.last]

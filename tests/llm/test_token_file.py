@@ -45,6 +45,16 @@ def test_files_equal_library(spark, tmp_path):
     assert sum(map(len, got.values())) == len(DOCS)
 
 
+def test_added_tokens_in_texts_equal_library(spark, tmp_path):
+    library = Tokenizer.from_file(PATH)
+    texts = ["<|endoftext|>", "plain  text", "a  <|endoftext|>  b<|endoftext|><|endoftext|>\n\n c", "", "<|endoftext|", "it's <|endoftext|>'s end", "plain <|ENDOFTEXT|>"]
+    files = token_file.write_files(docs(spark, [(k, t, None, None, 0) for k, t in enumerate(texts)]).coalesce(1), PATH, str(tmp_path / "files"))
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_file.read_files(files).collect()}
+    for k, text in enumerate(texts):
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert got[k] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_export_and_empty(spark, tmp_path):
     files = token_file.write_files(docs(spark), PATH, str(tmp_path / "files"))
     (tmp_path / "out").mkdir()
