@@ -21,7 +21,7 @@ further links it holds change no component.  In the others, members of different
 components are compared by their registers, each pair in the first band where
 the two meet, and at once confirmed on their full sets: what leaves the task are
 links that join components, not pairs.  Large buckets are compared block against
-block.
+block, and each block against itself.
 """
 
 from __future__ import annotations
@@ -243,12 +243,14 @@ class _Members:
         self.value = np.concatenate(values)
         self.at = np.searchsorted(np.concatenate(owners), np.arange(first + 1))
 
-    def links(self, band: int, similarity: int, least: float) -> list[tuple[int, int]]:
+    def links(self, band: int, similarity: int, least: float, apart: bool) -> list[tuple[int, int]]:
         """Links that join components of the bucket, one for each two that a
-        member brings together, of pairs that meet in this band first."""
+        member brings together, of pairs that meet in this band first.  Two
+        blocks are ``apart``: pairs inside one of them are left to its own
+        meeting."""
         label = self.component.copy()
         names, counts = np.unique(label, return_counts=True)
-        largest, apart = names[counts.argmax()], len(np.unique(self.block)) > 1
+        largest = names[counts.argmax()]
         found = []
         for k in np.flatnonzero(self.component != largest):
             other = label != label[k]
@@ -278,8 +280,8 @@ class _Members:
 def _rest(buckets: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
     """Links (a, b) between different components of a bucket, on full sets.  Only
     buckets of three and more members with several components come here.  Their
-    members are dealt into blocks, and each two blocks meet in one task; a bucket
-    of up to BLOCK members is one block."""
+    members are dealt into blocks; each two blocks meet in one task, and each block
+    meets itself in another.  A bucket of up to BLOCK members is one block."""
     least = least_estimate(similarity)
     labelled = buckets.filter("members > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
@@ -287,13 +289,14 @@ def _rest(buckets: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataF
     members = members.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("long")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("node"), "text")
     nodes = members.select("node").distinct().join(classes.select("node", "size", "sketch"), "node").join(texts, "node")
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: o != F.col("block")))
+    others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     meetings = members.withColumn("other", F.explode(others)).select("band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "component", "blocks")
     dealt = meetings.join(nodes, "node").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "node")
 
     def compare(batches):
         def links(rows: pa.Table) -> pa.RecordBatch:
-            found = _Members(rows).links(rows.column("band")[0].as_py(), similarity, least)
+            band, x, y = (rows.column(c)[0].as_py() for c in ("band", "x", "y"))
+            found = _Members(rows).links(band, similarity, least, x != y)
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
         kept, kept_key = [], None

@@ -70,6 +70,27 @@ def test_blocks_equal_one_block(spark, monkeypatch):
     assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == brute(rows)
 
 
+def test_rest_links_inside_blocks(spark, monkeypatch):
+    """Buckets of three blocks whose hub is like nobody; each holds one pair that
+    meets there first, in one block or in two."""
+    monkeypatch.setattr(near_dup, "BLOCK", 10)
+    words = lambda k: [f"p{k}x{j}" for j in range(60)]
+    rows = [(0, " ".join(words(0)), None, None, None)]
+    for k in range(1, 13):
+        rows += [(k, " ".join(words(k)), None, None, None), (100 + k, " ".join([*words(k)[:-1], "other"]), None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    classes = near_dup._sketches(df).selectExpr("doc_id AS node", "n_shingles AS size", "sketch").cache()
+    keys = {r.node: near_dup.band_keys(np.frombuffer(r.sketch, np.uint16)[None])[0] for r in classes.collect()}
+    first = {k: int(keys[k][(keys[k] == keys[100 + k]).argmax()]) for k in range(1, 13)}
+    assert all(first[k] in keys[100 + k] for k in first)
+    buckets = spark.createDataFrame([(band, node, 0, len(rows)) for band in first.values() for node in keys], "band long, node long, hub long, members long")
+    labels = spark.createDataFrame([], "node long, component long")
+    block = {r.node: r.block for r in classes.selectExpr("node", "pmod(xxhash64(node), 3) AS block").collect()}
+    assert {block[k] == block[100 + k] for k in first} == {True, False}
+    got = near_dup._rest(buckets, labels, classes, df, near_dup.SIMILARITY).collect()
+    assert sorted(tuple(sorted((r.a, r.b))) for r in got) == [(k, 100 + k) for k in first]
+
+
 def test_registers_agree_with_jaccard():
     rng = np.random.default_rng(3)
     for size, shared in ((4, 3), (30, 20), (400, 320), (5000, 4000)):
