@@ -26,11 +26,13 @@ STRETCH = 64
 HIDDEN = 12
 BATCH = 4096  # stretches read side by side
 UNKNOWN = "und"
-MAX_LANGUAGES = 500
+MAX_LANGUAGES = 500  # more are refused
 #: Bounds of the training sample: rows of each language, and characters of each.
 SAMPLE_ROWS = 600
 SAMPLE_CHARS = 512
+#: Training steps for up to FEW languages; more languages get more in proportion.
 STEPS = 300
+FEW = 4
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -203,21 +205,28 @@ def remainder(id_col: str, by: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(by))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, steps: int = STEPS) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, steps: int | None = None) -> Model:
     """Learn from rows with a language, a text and an id whose crc32 modulo 3 is
-    not 1: of each language (the MAX_LANGUAGES most frequent) the ``sample_rows``
-    rows with the smallest hash of the id, and of each of them SAMPLE_CHARS
-    characters from a hashed place.  No such rows give a model without languages."""
+    not 1: of each language the ``sample_rows`` rows with the smallest hash of the
+    id, and of each of them SAMPLE_CHARS characters from a hashed place.  Without
+    ``steps`` they grow with the languages, so that each has its share of
+    stretches.  No such rows give a model without languages; more than
+    MAX_LANGUAGES languages are an error."""
     order, text = F.xxhash64(F.col(id_col).cast("string")), F.col(text_col)
     place = F.pmod(order, F.greatest(F.length(text) - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
     rows = docs.filter((remainder(id_col, 3) != 1) & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), order.alias("order"), text.alias("text"), place.alias("place"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES)
+    totals = rows.groupBy("lang").agg(F.count("*").alias("total")).limit(MAX_LANGUAGES + 1).collect()
+    if len(totals) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} languages to learn")
+    counts = docs.sparkSession.createDataFrame(totals, "lang string, total long")
     rows = rows.join(F.broadcast(counts), "lang").filter(hash_below(F.col("order"), sample_rows, F.col("total")) & (F.length("text") > 0))
     rows = rows.select("lang", "order", F.substring("text", F.col("place"), F.lit(SAMPLE_CHARS)).alias("text"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "text")))
     sample = ranked.filter(F.col("rank") <= sample_rows).select("lang", "order", "text").collect()
     sample = sorted((r.lang, r.order, r.text) for r in sample)
+    if steps is None:
+        steps = STEPS * max(FEW, len({lang for lang, _, _ in sample})) // FEW
     return train([t.encode() for _, _, t in sample], [lang for lang, _, _ in sample], steps)
 
 

@@ -58,6 +58,19 @@ def test_language_rows(spark, model):
     assert {r.lang_pred for r in language_id.identify(docs(spark), nothing).collect()} == {"und"}
 
 
+def test_every_language_is_learned_or_refused(spark, monkeypatch):
+    names = [f"l{k:02d}" for k in range(10)]
+    rows = spark.createDataFrame([(k, f"word {k}", names[min(k % 30, 9)]) for k in range(600)], "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language_id, "train", lambda texts, labels, steps: seen.append((sorted(set(labels)), steps)))
+    language_id.fit(rows)
+    language_id.fit(rows.filter("lang < 'l04'"))
+    assert seen == [(names, language_id.STEPS * 10 // 4), (names[:4], language_id.STEPS)]
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 9)
+    with pytest.raises(ValueError, match="more than 9 languages"):
+        language_id.fit(rows)
+
+
 def test_whole_text_counts(model):
     french = "Les éléments que nous avons étudiés sont des éléments. " * 400
     texts = ["of the and that with " * 50 + french, french]
