@@ -361,6 +361,15 @@ def crawl_closure(spark, d):
     return crawl.crawl(_root(spark), _graph(spark, d))
 
 
+def crawl_pages(spark, d):
+    """All sites of `pages` over its fetches.  The table holds no home pages, so
+    every page also stands at its site's root."""
+    fetches = _fetches(spark, d)
+    at_root = fetches.withColumn("page_url", urls.origin(F.col("page_url")))
+    sites = at_root.select(F.col("page_url").alias("site_url")).filter("site_url <> ''").distinct()
+    return crawl.crawl(sites, fetches.unionByName(at_root))
+
+
 def search_response_json(spark, d):
     """The first result page of each query as the JSON of a response."""
     q, lemmas, posts, pages = _doc_search(spark, d)
@@ -381,7 +390,7 @@ QUERIES = {
         pages_per_site, responsive_pages_per_site, lemmas_per_site, stats_total, stats_detailed, lemma_frequency_limit, usable_query_lemmas,
         rarest_query_lemma, search_abs_relevance, search_ranked_all_sites, search_ranked_one_site, search_page2, search_total_count, search_batch,
         snippet_hits, snippet_windows, snippet_bucketed, snippet_text, index_delete_page, index_upsert_page, frequency_increment, frequency_decrement,
-        page_update, site_status_fold, home_page_accessible, index_finished_check, any_site_not_indexed, site_status_update, crawl_frontier_step, crawl_closure, search_response_json,
+        page_update, site_status_fold, home_page_accessible, index_finished_check, any_site_not_indexed, site_status_update, crawl_frontier_step, crawl_closure, crawl_pages, search_response_json,
     )
 }
 
