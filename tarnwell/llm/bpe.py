@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import Slots, distinct, flat_ranges, map_arrow, text_slices
 from .pretoken import PieceCache
 
-NEVER = 1 << 40
-MAX_PAIRS = 1_000_000
+NEVER = (1 << 31) - 1
+MAX_PAIRS = 400_000
+SHORT = 64  # bytes of a piece that is encoded together with others
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -31,69 +32,192 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Vocabulary:
-    """Ranks, and for each token the two that its last merge joins."""
+    """Ranks, their bytes as a trie, and for each token the tokens along the left
+    and the right edge of its merges, from the single byte up to itself."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self._spines: dict[int, tuple[list[int], list[int]] | None] = {}
+        self.size = max(ranks.values(), default=0) + 1
+        self.length = np.zeros(self.size, np.int64)
+        for token, rank in ranks.items():
+            self.length[rank] = len(token)
+        self.data = np.frombuffer(b"".join(self.tokens.get(k, b"") for k in range(self.size)), np.uint8)
+        self.at = np.cumsum(self.length) - self.length
         self._beside: dict[int, bool] = {}
-
-    def _merge(self, parts: list[bytes], limit: int) -> list[bytes]:
-        """Merges of ranks below the limit, lowest first, leftmost first."""
-        while len(parts) > 1:
-            best, k = min((self.ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
-            if best >= limit:
-                break
-            parts = [*parts[:k], parts[k] + parts[k + 1], *parts[k + 2 :]]
-        return parts
+        self._known = Slots(1)
+        self._build_trie()
+        self._build_merges()
+
+    def _build_trie(self) -> None:
+        self.children, self.token_of = Slots(1), [np.full(1, -1, np.int32)]
+        which, node, nodes = np.flatnonzero(self.length), np.zeros(np.count_nonzero(self.length), np.int64), 1
+        for depth in range(self.longest):
+            key = (node << 8) | self.data[self.at[which] + depth]
+            names, inverse = np.unique(key, return_inverse=True)
+            self.children.insert(np.arange(nodes, nodes + len(names), dtype=np.int32), names.astype(np.uint64))
+            node = nodes + inverse
+            ends = self.length[which] == depth + 1
+            own = np.full(len(names), -1, np.int32)
+            own[inverse[ends]] = which[ends]
+            self.token_of.append(own)
+            nodes += len(names)
+            which, node = which[~ends], node[~ends]
+        self.token_of = np.concatenate(self.token_of)
+        self.roots = self.children.find(np.arange(256, dtype=np.uint64))
+
+    def matches(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length from 1 on: the last byte, and the token, of all tokens
+        that begin at one of the places ``start`` and end before its ``end``."""
+        found, place, node = [], start, self.roots[data[start]].astype(np.int64)
+        while len(place):
+            alive = node >= 0
+            place, end, node = place[alive], end[alive], node[alive]
+            token = self.token_of[node]
+            hit = np.flatnonzero(token >= 0)
+            found.append((place[hit], token[hit]))
+            more = np.flatnonzero(place + 1 < end)
+            place, end = place[more] + 1, end[more]
+            node = self.children.find(((node[more] << 8) | data[place]).astype(np.uint64)).astype(np.int64)
+        return found
+
+    def _build_merges(self) -> None:
+        """All pairs of tokens that make a token, and of each token the pair that
+        its last merge joins; shorter tokens come first, as merges need theirs.
+        A token that its own bytes don't encode to has no such pair."""
+        self.pairs = Slots(1)
+        owner = np.repeat(np.arange(self.size), self.length)
+        found = self.matches(self.data, np.arange(len(self.data)), (self.at + self.length)[owner])
+        heads, tails = np.full(len(self.data), -1, np.int32), np.full(len(self.data), -1, np.int32)
+        for k, (last, token) in enumerate(found):
+            first = last - k
+            head, tail = first == self.at[owner[first]], last + 1 == (self.at + self.length)[owner[last]]
+            heads[last[head]] = token[head]  # by its last byte
+            tails[first[tail]] = token[tail]  # by its first byte
+        cut = np.flatnonzero((heads[:-1] >= 0) & (tails[1:] >= 0) & (owner[:-1] == owner[1:])) if len(heads) else np.zeros(0, np.int64)
+        left, right, whole = heads[cut].astype(np.int64), tails[cut + 1].astype(np.int64), owner[cut]
+        self.pairs.insert(whole.astype(np.int32), (left << 32 | right).astype(np.uint64))
+        depth = 32
+        self.left_edge, self.right_edge = (np.full((self.size, depth), NEVER, np.int32) for _ in range(2))
+        self.height = np.zeros((2, self.size), np.int64)  # of both edges; 0 for a token without
+        single = np.flatnonzero(self.length == 1)
+        self.left_edge[single, 0] = self.right_edge[single, 0] = single
+        self.height[:, single] = 1
+        for length in range(2, self.longest + 1):
+            own = np.flatnonzero(self.length[whole] == length)
+            own = own[(self.height[0, left[own]] > 0) & (self.height[0, right[own]] > 0) & (left[own] < whole[own]) & (right[own] < whole[own])]
+            own = own[self._apart(left[own], right[own], whole[own])]
+            if not len(own):
+                continue
+            a, b, t = left[own], right[own], whole[own]
+            self.height[:, t] = self.height[0, a] + 1, self.height[1, b] + 1
+            while self.height[:, t].max() >= depth:
+                depth *= 2
+                self.left_edge, self.right_edge = (np.concatenate((x, np.full_like(x, NEVER)), axis=1) for x in (self.left_edge, self.right_edge))
+            self.left_edge[t], self.right_edge[t] = self.left_edge[a], self.right_edge[b]
+            self.left_edge[t, self.height[0, t] - 1] = self.right_edge[t, self.height[1, t] - 1] = t
+
+    def _apart(self, left: np.ndarray, right: np.ndarray, below: np.ndarray | None = None) -> np.ndarray:
+        """Whether the two tokens of each pair stay apart (by merges of a rank
+        ``below``): along the boundary no two tokens that exist at the same time
+        merge before one of them goes into its own."""
+        out, todo = np.ones(len(left), bool), np.arange(len(left))
+        i, j = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+        a, b = left, right
+        while len(todo):
+            key = self.right_edge[a, i].astype(np.int64) << 32 | self.left_edge[b, j]
+            across = self.pairs.find(key.astype(np.uint64))
+            across[across < 0] = NEVER
+            if below is not None:
+                across[across >= below[todo]] = NEVER
+            own, other = self.right_edge[a, i + 1], self.left_edge[b, j + 1]
+            joined = (across < own) & (across <= other)  # the leftmost of equal ranks goes first
+            out[todo[joined]] = False
+            go = np.flatnonzero(~joined & ((own < NEVER) | (other < NEVER)))
+            up = own[go] <= other[go]
+            todo, a, b, i, j = todo[go], a[go], b[go], i[go] + up, j[go] + ~up
+        return out
+
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The same, with answers kept for up to MAX_PAIRS pairs."""
+        key = (left.astype(np.int64) << 32 | right).astype(np.uint64)
+        known = self._known.find(key)
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            if self._known.count > MAX_PAIRS:
+                self._known = Slots(1)
+                new = np.arange(len(key))
+            first, which = distinct(key[new])
+            answer = self._apart(left[new[first]], right[new[first]]).astype(np.int32)
+            self._known.insert(answer, key[new[first]])
+            known[new] = answer[which]
+        return known > 0
 
     def spines(self, token: int) -> tuple[list[int], list[int]] | None:
-        """The tokens along the left and the right edge of a token's merges, from
-        the single byte up to itself; None if its bytes don't encode to it."""
-        if token not in self._spines:
-            text = self.tokens[token]
-            if len(text) == 1:
-                out = ([token], [token])
-            else:
-                parts = self._merge([text[i : i + 1] for i in range(len(text))], token)
-                out = None
-                if len(parts) == 2:
-                    left, right = self.spines(self.ranks[parts[0]]), self.spines(self.ranks[parts[1]])
-                    if left and right:
-                        out = ([*left[0], token], [*right[1], token])
-            self._spines[token] = out
-        return self._spines[token]
+        """The edges of a token; None if its bytes don't encode to it."""
+        if not self.height[0, token]:
+            return None
+        return self.left_edge[token, : self.height[0, token]].tolist(), self.right_edge[token, : self.height[1, token]].tolist()
 
     def beside(self, left: int, right: int) -> bool:
-        """Whether the two stay apart: along the boundary no two tokens that
-        exist at the same time merge before one of them goes into its own."""
-        key = left << 24 | right
-        known = self._beside.get(key)
-        if known is not None:
-            return known
-        a, b = self.spines(left)[1], self.spines(right)[0]
-        tokens, get = self.tokens, self.ranks.get
-        i = j = 0
-        apart = True
-        while True:
-            own = a[i + 1] if i + 1 < len(a) else NEVER
-            other = b[j + 1] if j + 1 < len(b) else NEVER
-            across = get(tokens[a[i]] + tokens[b[j]], NEVER)
-            if across < own and across <= other:  # the leftmost of equal ranks goes first
-                apart = False
-                break
-            if own == other == NEVER:
-                break
-            if own <= other:
-                i += 1
-            else:
-                j += 1
-        if len(self._beside) >= MAX_PAIRS:
-            self._beside.clear()
-        self._beside[key] = apart
-        return apart
+        """Whether two tokens stay apart."""
+        key = left << 32 | right
+        if key not in self._beside:
+            if len(self._beside) >= MAX_PAIRS:
+                self._beside.clear()
+            self._beside[key] = bool(self._apart(np.array([left]), np.array([right]))[0])
+        return self._beside[key]
+
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and how many each has: the
+        last token of every prefix, for all pieces in step, by growing prefixes."""
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        begin = np.cumsum(lengths) - lengths
+        owner_begin, owner_end = np.repeat(begin, lengths), np.repeat(begin + lengths, lengths)
+        found = self.matches(data, np.arange(len(data)), owner_end)
+        found = [(last[good], token[good]) for last, token in found for good in (self.height[0, token] > 0,)]
+        count = np.zeros(len(data) + 1, np.int64)
+        for last, _ in found:
+            count[last + 1] += 1
+        at = np.cumsum(count)
+        token_at, fill = np.empty(at[-1], np.int32), at[:-1].copy()
+        for last, token in reversed(found):  # the longest first
+            token_at[fill[last]] = token
+            fill[last] += 1
+        prefix = np.full(len(data), -1, np.int32)
+        # pieces in order of length, so that those that go on are a tail
+        order = np.argsort(lengths, kind="stable")
+        sorted_lengths, sorted_begin = lengths[order], begin[order]
+        for k in range(int(lengths.max(initial=0))):
+            last = sorted_begin[np.searchsorted(sorted_lengths, k, side="right") :] + k
+            candidate = at[last]
+            while len(last):
+                if (candidate >= at[last + 1]).any():
+                    raise ValueError("no token ends with some byte")
+                token = token_at[candidate]
+                first = last - self.length[token] + 1
+                good = first == owner_begin[last]
+                inner = np.flatnonzero(~good)
+                good[inner] = self.apart(prefix[first[inner] - 1], token[inner])
+                prefix[last[good]] = token[good]
+                last, candidate = last[~good], candidate[~good] + 1
+        # back from the end of each piece
+        steps, last, rows = [], begin + lengths - 1, np.flatnonzero(lengths)
+        last = last[rows]
+        many = np.zeros(len(pieces), np.int64)
+        while len(rows):
+            token = prefix[last]
+            steps.append((rows, token))
+            many[rows] += 1
+            last = last - self.length[token]
+            go = last >= begin[rows]
+            rows, last = rows[go], last[go]
+        ids, end = np.empty(int(many.sum()), np.uint32), np.cumsum(many)
+        for back, (rows, token) in enumerate(steps, 1):
+            ids[end[rows] - back] = token
+        return ids, many
 
 
 class PrefixEncoder:
@@ -103,18 +227,29 @@ class PrefixEncoder:
         self.vocabulary, self.text, self.last = vocabulary, b"", [-1]
         self.append(text)
 
+    def _endings(self, begin: int) -> list[list[int]]:
+        """Tokens that end with each byte from ``begin`` on, the longest first."""
+        v, before = self.vocabulary, max(0, begin - self.vocabulary.longest)
+        data = np.frombuffer(self.text, np.uint8)[before:]
+        found: list[list[int]] = [[] for _ in range(len(self.text) - begin)]
+        for last, token in reversed(v.matches(data, np.arange(len(data)), np.full(len(data), len(data)))):
+            new = np.flatnonzero((last >= begin - before) & (v.height[0, token] > 0))
+            for place, own in zip((last[new] + before - begin).tolist(), token[new].tolist(), strict=True):
+                found[place].append(own)
+        return found
+
     def append(self, more: bytes) -> None:
         v, begin = self.vocabulary, len(self.text)
         self.text += more
-        text, last, get, longest = self.text, self.last, v.ranks.get, v.longest
-        for end in range(begin + 1, len(text) + 1):
-            for start in range(max(0, end - longest), end):
-                token = get(text[start:end])
-                if token is not None and v.spines(token) and (not start or v.beside(last[start], token)):
+        last, tokens = self.last, v.tokens
+        for end, endings in enumerate(self._endings(begin), begin + 1):
+            for token in endings:
+                start = end - len(tokens[token])
+                if not start or v.beside(last[start], token):
                     last.append(token)
                     break
             else:
-                raise ValueError(f"no token ends with byte {text[end - 1]}")
+                raise ValueError(f"no token ends with byte {self.text[end - 1]}")
 
     def edit(self, start: int, end: int, new: bytes) -> None:
         """Replace text[start:end]; prefixes before it keep their tokens, and
@@ -147,25 +282,32 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int]):
         self.vocabulary = Vocabulary(ranks)
         self.pieces = PieceCache(self._encode)
-        size = max(ranks.values(), default=0) + 1
-        self.length = np.zeros(size, np.int64)
-        for token, rank in ranks.items():
-            self.length[rank] = len(token)
-        self.at = np.cumsum(self.length) - self.length
-        self.bytes = np.frombuffer(b"".join(self.vocabulary.tokens.get(k, b"") for k in range(size)), np.uint8)
 
-    def _encode(self, pieces: list[bytes]) -> list[list[int]]:
-        """A piece that is a token is that token; others by their prefixes."""
-        get = self.vocabulary.ranks.get
-        return [[token] if (token := get(p)) is not None else PrefixEncoder(self.vocabulary, p).ids() for p in pieces]
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """A piece that is a token is that token; others by their prefixes, short
+        ones in step, long ones each by itself."""
+        get, v = self.vocabulary.ranks.get, self.vocabulary
+        whole = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        many = np.ones(len(pieces), np.int64)
+        short, long = np.flatnonzero((whole < 0) & (size <= SHORT)), np.flatnonzero((whole < 0) & (size > SHORT))
+        ids, many[short] = v.encode([pieces[k] for k in short.tolist()])
+        by_itself = [PrefixEncoder(v, pieces[k]).ids() for k in long.tolist()]
+        many[long] = [len(x) for x in by_itself]
+        begin = np.cumsum(many) - many
+        out = np.empty(int(many.sum()), np.uint32)
+        out[begin[whole >= 0]] = whole[whole >= 0]
+        out[flat_ranges(begin[short], many[short])] = ids
+        for k, own in zip(long.tolist(), by_itself, strict=True):
+            out[begin[k] : begin[k] + len(own)] = own
+        return out, many
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all ids, and bounds of the documents in them."""
-        from .common import flat_ranges
-
-        length = self.length[ids]
+        v = self.vocabulary
+        length = v.length[ids]
         total = np.concatenate(([0], np.cumsum(length)))
-        return self.bytes[flat_ranges(self.at[ids], length)], total[bounds]
+        return v.data[flat_ranges(v.at[ids], length)], total[bounds]
 
 
 _codecs: dict[str, Codec] = {}
@@ -214,7 +356,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(encode, f"doc_id {id_type}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(rows, encode, f"doc_id {id_type}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,15 @@ bounded in bytes; one text longer than the bound makes a slice of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 4096
+BATCH_BYTES = 4 << 20
 
 #: Word bytes of `[^\x20\x09-\x0D]+`; every byte above 0x7F belongs to a word.
 _SPACES = np.zeros(256, bool)
@@ -43,7 +45,8 @@ class Slice(NamedTuple):
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Cut a string column into slices of at most ``limit`` bytes (or one row)."""
+    """Cut a string column into slices of at most ``limit`` bytes (or one row) and
+    at most SLICE_ROWS rows."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string())
@@ -57,7 +60,7 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     first = 0
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
-        last = min(max(last, first + 1), n)
+        last = min(max(last, first + 1), first + SLICE_ROWS, n)
         low, high = int(offsets[first]), int(offsets[last])
         yield Slice(first, last, data[low:high], offsets[first : last + 1] - low, valid[first:last])
         first = last
@@ -94,50 +97,59 @@ def words_of(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray) -> Wo
     return Words(start, end, np.searchsorted(start, offsets, side="left"))
 
 
-_BASE = 0x9E3779B97F4A7C55
-_MASK = (1 << 64) - 1
+def mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _byte_values() -> np.ndarray:
-    return np.random.default_rng(20240607).integers(1, 1 << 63, 1 << 16, dtype=np.uint64) | np.uint64(1)
+def byte_words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as an integer, zeros after the end;
+    valid up to position len(data) + 8."""
+    padded = np.concatenate((data, np.zeros(16, np.uint8)))
+    return np.ndarray((len(data) + 9,), "<u8", padded.data, strides=(1,))
 
 
-_powers: dict[str, np.ndarray] = {}
+SHORT = 15
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, at least n + 1 of each."""
-    if len(_powers.get("up", ())) <= n:
-        size = max(n + 1, 1 << 16)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            out = np.empty(size, np.uint64)
-            out[0], have = 1, 1
-            while have < size:  # doubling: base^(have + i) = base^have * base^i
-                take = min(have, size - have)
-                out[have : have + take] = out[:take] * np.uint64(pow(base, have, 1 << 64))
-                have += take
-            _powers[name] = out
-    return _powers["up"], _powers["down"]
+def span_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit words that are equal for equal ranges of bytes only: of a range
+    of up to 15 bytes the bytes themselves and their number, of a longer one 120
+    bits of its BLAKE2b digest and a mark."""
+    size = end - start
+    at = byte_words(data)
+    low = at[start] & _KEEP[np.minimum(size, 8)]
+    high = at[start + 8] & _KEEP[np.clip(size - 8, 0, 7)]
+    high |= np.minimum(size, SHORT).astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        digests = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)])
+        pairs = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        low[long] = pairs[:, 0]
+        high[long] = pairs[:, 1] | np.uint64(0xFF << 56)
+    return low, high
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def fold(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of each pair."""
+    return mix(low ^ mix(high ^ np.uint64(0x9E3779B97F4A7C15)))
+
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of bytes, by its exact key."""
+    return fold(*span_keys(data, start, end))
 
-def span_hashes(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each range of ``symbols`` (small integers), by prefix
-    sums of a polynomial; equal ranges have equal hashes wherever they stand."""
-    up, down = _power(len(symbols))
-    sums = np.empty(len(symbols) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_byte_values()[symbols & 0xFFFF if symbols.dtype.itemsize > 2 else symbols] * up[: len(symbols)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+def chained(total: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The hash of a sequence from that of its beginning and its next member; a
+    step is not linear, so no arithmetic relation of members survives it."""
+    return mix((total << np.uint64(1) | total >> np.uint64(63)) + mix(value ^ np.uint64(0xC2B2AE3D27D4EB4F)))
 
 
 def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
@@ -145,10 +157,77 @@ def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n, np.uint64)
+    total = np.full(n, width, np.uint64)
     for k in range(width):
-        total += values[k : k + n] * np.uint64(pow(_BASE, 2 * k + 3, 1 << 64))
-    return mix(total)
+        total = chained(total, values[k : k + n])
+    return total
+
+
+class Slots:
+    """A hash table of arrays: rows of 64-bit keys, each with a number, found and
+    put in for whole arrays at once.  Keys are compared, not only hashed."""
+
+    def __init__(self, columns: int, size: int = 1 << 12):
+        self.keys = [np.zeros(size, np.uint64) for _ in range(columns)]
+        self.number = np.full(size, -1, np.int32)
+        self.count = 0
+
+    def _first(self, keys: tuple[np.ndarray, ...]) -> np.ndarray:
+        hashed = mix(keys[0]) if len(keys) == 1 else fold(*keys)
+        return (hashed & np.uint64(len(self.number) - 1)).astype(np.int64)
+
+    def find(self, *keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for one that isn't there."""
+        last, place = len(self.number) - 1, self._first(keys)
+        found = self.number[place]
+        differ = self.keys[0][place] != keys[0]
+        for own, key in zip(self.keys[1:], keys[1:], strict=True):
+            differ |= own[place] != key
+        other = np.flatnonzero(differ & (found >= 0))
+        while len(other):  # on to the next places, until the key or an empty one
+            at = place[other] = (place[other] + 1) & last
+            found[other] = self.number[at]
+            differ = found[other] >= 0
+            unequal = np.zeros(len(other), bool)
+            for own, key in zip(self.keys, keys, strict=True):
+                unequal |= own[at] != key[other]
+            other = other[differ & unequal]
+        return found
+
+    def insert(self, number: np.ndarray, *keys: np.ndarray) -> None:
+        """Put in distinct keys that aren't there yet."""
+        self.count += len(number)
+        if 2 * self.count > len(self.number):
+            old = np.flatnonzero(self.number >= 0)
+            held, old_keys = self.number[old], [k[old] for k in self.keys]
+            size = len(self.number)
+            while 2 * self.count > size:
+                size *= 2
+            self.keys, self.number = [np.zeros(size, np.uint64) for _ in keys], np.full(size, -1, np.int32)
+            self._put(held, tuple(old_keys))
+        self._put(number, keys)
+
+    def _put(self, number: np.ndarray, keys: tuple[np.ndarray, ...]) -> None:
+        last, place, left = len(self.number) - 1, self._first(keys), np.arange(len(number))
+        while len(left):
+            free = left[self.number[place[left]] < 0]
+            _, first = np.unique(place[free], return_index=True)
+            put = free[first]
+            for own, key in zip(self.keys, keys, strict=True):
+                own[place[put]] = key[put]
+            self.number[place[put]] = number[put]
+            left = np.setdiff1d(left, put, assume_unique=True)
+            place[left] = (place[left] + 1) & last
+
+
+def distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key first comes in a sort, and which of them each is."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
 
 
 def flat_ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -167,22 +246,12 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
-def shared_folder(spark, name: str) -> str:
-    """A new folder that the driver and all executors see: under
-    spark.checkpoint.dir where the cluster names one; otherwise (a single
-    machine, as in tests) under a folder in /tmp."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df, name: str):
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, and
-    what later jobs read survives the loss of any executor."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def map_arrow(df, function, schema: str):
+    """``mapInArrow`` with batches of at most BATCH_BYTES (or one row): a batch
+    stands in memory twice on both sides.  The bound is a setting of the session
+    and stays set."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(function, schema)
 
 
 def hash_below(order, wanted: int, total):

@@ -16,7 +16,7 @@ from typing import NamedTuple
 import numpy as np
 import regex
 
-from .common import Slice, flat_ranges, span_hashes
+from .common import Slice, Slots, distinct, flat_ranges, span_keys
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
@@ -96,48 +96,54 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> Pieces:
 
 
 class PieceCache:
-    """Ids of pieces by their hash; emptied when it holds ``most`` pieces."""
+    """Ids of the pieces met so far, looked up for whole slices at once.
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 600_000):
-        self.encode, self.most = encode, most
+    A piece is known by its exact key (`span_keys`), never by a hash of it alone.
+    The cache is emptied when it holds ``most`` pieces or ``most_ids`` ids; with
+    the defaults that keeps it below 50 MB.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 400_000, most_ids: int = 2_000_000):
+        """``encode`` gives the ids of pieces, one after the other, and how many
+        each has."""
+        self.encode, self.most, self.most_ids = encode, most, most_ids
         self._clear()
 
     def _clear(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.slots = Slots(2, 1 << 16)
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.at = np.zeros((1 << 16) + 1, np.int64)
-
-    def _append(self, hashes: list[int], new: list[list[int]]) -> None:
-        have = len(self.slots)
-        self.slots.update(zip(hashes, range(have, have + len(new)), strict=True))
-        lengths = np.fromiter(map(len, new), np.int64, len(new))
-        flat = np.fromiter(chain.from_iterable(new), np.uint32, int(lengths.sum()))
-        while len(self.at) <= have + len(new):
-            self.at = np.concatenate((self.at, np.zeros(len(self.at), np.int64)))
+        self.at = np.zeros(1 << 14, np.int64)
+
+    def _append(self, ids: np.ndarray, lengths: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Numbers of new pieces with their ids."""
+        have, total = self.slots.count, self.slots.count + len(lengths)
+        number = np.arange(have, total, dtype=np.int32)
+        self.slots.insert(number, low, high)
         begin = self.at[have]
-        while len(self.ids) < begin + len(flat):
-            self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.uint32)))
-        self.ids[begin : begin + len(flat)] = flat
-        self.at[have + 1 : have + 1 + len(new)] = begin + np.cumsum(lengths)
+        if len(self.at) <= total:
+            self.at = np.concatenate((self.at, np.zeros(total, np.int64)))
+        if len(self.ids) < begin + len(ids):
+            self.ids = np.concatenate((self.ids, np.zeros(begin + len(ids), np.uint32)))
+        self.ids[begin : begin + len(ids)] = ids
+        self.at[have + 1 : total + 1] = begin + np.cumsum(lengths)
+        return number
 
     def ids_of(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice, and bounds so that document k has ids bounds[k] to
         bounds[k + 1]."""
         pieces = cut(s.data, s.offsets)
-        if len(self.slots) > self.most:
+        if self.slots.count > self.most or self.at[self.slots.count] > self.most_ids:
             self._clear()
-        distinct, first, which = np.unique(span_hashes(s.data, pieces.start, pieces.end), return_index=True, return_inverse=True)
-        names = distinct.tolist()
-        get = self.slots.get
-        slots = np.fromiter((get(h, -1) for h in names), np.int64, len(names))
-        missing = np.flatnonzero(slots < 0)
+        low, high = span_keys(s.data, pieces.start, pieces.end)
+        number = self.slots.find(low, high)
+        missing = np.flatnonzero(number < 0)
         if len(missing):
+            first, which = distinct(low[missing], high[missing])
+            first = missing[first]
             raw = s.data.tobytes()
-            ranges = zip(pieces.start[first[missing]].tolist(), pieces.end[first[missing]].tolist(), strict=True)
-            have = len(self.slots)
-            self._append([names[k] for k in missing.tolist()], self.encode([raw[a:b] for a, b in ranges]))
-            slots[missing] = np.arange(have, have + len(missing))
-        slot = slots[which]
-        many = self.at[slot + 1] - self.at[slot]
+            new = [raw[a:b] for a, b in zip(pieces.start[first].tolist(), pieces.end[first].tolist(), strict=True)]
+            number[missing] = self._append(*self.encode(new), low[first], high[first])[which]
+        begin = self.at[number]
+        many = self.at[number + 1] - begin
         total = np.concatenate(([0], np.cumsum(many)))
-        return self.ids[flat_ranges(self.at[slot], many)], total[pieces.bounds]
+        return self.ids[flat_ranges(begin, many)], total[pieces.bounds]

@@ -28,3 +28,10 @@ def docs(spark, rows=None):
 
 def by_id(df):
     return {r.doc_id: r for r in df.collect()}
+
+
+def twins(length=1024):
+    """Two different words of equal length whose difference no polynomial with an
+    odd base modulo 2^64 sees: the Thue-Morse word over a and b and its complement."""
+    bits = [bin(k).count("1") % 2 for k in range(length)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)

@@ -14,7 +14,7 @@ from tarnwell.llm import bpe
 from tarnwell.llm.common import text_slices
 from tarnwell.llm.pretoken import cut
 
-from .cases import DOCS, docs
+from .cases import DOCS, docs, twins
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 RANKS = bpe.read_ranks(PATH)
@@ -75,3 +75,38 @@ def test_rows(spark):
         want.append((doc_id or 0, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest(), len(ids)))
     assert got == sorted(want)
     assert bpe.encoded(docs(spark, []), PATH).count() == 0
+
+
+def test_words_that_a_polynomial_hash_confuses(codec, spark):
+    texts = [w + end for length in (1024, 2048) for w in twins(length) for end in ("", " x")]
+    (s,) = text_slices(pa.array(texts))
+    ids, bounds = codec.pieces.ids_of(s)
+    for k, text in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == LIBRARY.encode_ordinary(text)
+    rows = [(k, t, None, None, None) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.decoded_sha256 for r in bpe.encoded(docs(spark, rows), PATH).collect()}
+    assert got == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in enumerate(texts)}
+
+
+def test_cache_is_emptied_and_pieces_are_encoded_again(codec):
+    from tarnwell.llm.pretoken import PieceCache
+
+    rng, small = random.Random(9), PieceCache(codec._encode, most=50)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice("abcdeéß1") for _ in range(rng.randint(1, 20))) for _ in range(rng.randint(0, 40))) for _ in range(3)]
+        (s,) = text_slices(pa.array(texts))
+        ids, bounds = small.ids_of(s)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [LIBRARY.encode_ordinary(t) for t in texts]
+    assert small.slots.count < 1000  # at most a slice beyond the limit
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.tuples(st.integers(0, 40), st.integers(0, 5)), st.integers(0, 1000), max_size=200), st.lists(st.tuples(st.integers(0, 45), st.integers(0, 5)), max_size=50))
+def test_slots_find_what_was_put_in(known, asked):
+    from tarnwell.llm.common import Slots
+
+    slots, rows = Slots(2, 4), list(known.items())
+    for part in (rows[: len(rows) // 2], rows[len(rows) // 2 :]):
+        slots.insert(np.array([v for _, v in part], np.int32), *(np.array([k[c] for k, _ in part], np.uint64) for c in (0, 1)))
+    found = slots.find(*(np.array([k[c] for k in asked], np.uint64) for c in (0, 1)))
+    assert found.tolist() == [known.get(k, -1) for k in asked]
