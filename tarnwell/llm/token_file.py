@@ -23,9 +23,12 @@ into a folder as plain files.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 import zlib
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +37,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, text_slices
+from ..sources.scratch import shared_folder
+from .common import map_arrow, text_slices
 from .pretoken import PieceCache
 
 MAGIC = b"TKPLANE1"
 CHUNK = 1 << 16
 FILE_IDS = 1 << 22
 LEVEL = 3
+JOINED = 4096  # pieces that go to the library together
 _INDEX = struct.Struct("<QI4I")
 _FOOTER = struct.Struct("<7Q")
 
@@ -99,6 +104,16 @@ def unpack(content: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray]:
     return ids, [d if known else None for d, known in zip(columns[0].tolist(), columns[1].tolist(), strict=True)], columns[2]
 
 
+@lru_cache(maxsize=1)
+def _spelling() -> np.ndarray:
+    """The sign that stands for each byte in a byte-level vocabulary: itself if it
+    is visible, else one of the signs from 256 on, in order."""
+    visible = np.zeros(256, bool)
+    for low, high in ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)):
+        visible[low : high + 1] = True
+    return np.where(visible, np.arange(256), 255 + np.cumsum(~visible)).astype("<u2")
+
+
 class _Encoder:
     """Encodes slices as the tokenizers library would, without tokens of its own.
 
@@ -112,10 +127,23 @@ class _Encoder:
 
         self.library = Tokenizer.from_str(definition)
         self.added = [token.content.encode() for token in self.library.get_added_tokens_decoder().values()]
+        # the same without the cutting, for pieces that are cut and spelled already
+        self.words = Tokenizer.from_str(json.dumps(json.loads(definition) | {"pre_tokenizer": None, "post_processor": None}))
+        self.width = np.array([len(self.library.id_to_token(k) or "") for k in range(self.library.get_vocab_size())])
         self.pieces = PieceCache(self._encode)
 
-    def _encode(self, pieces: list[bytes]) -> list[list[int]]:
-        return [x.ids for x in self.library.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)]
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces.  They go to the library many at a time; as each sign
+        of a token stands for a byte, sums of widths tell whose an id is."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        end = np.cumsum(size)
+        spelled = _spelling()[np.frombuffer(b"".join(pieces), np.uint8)].tobytes().decode("utf-16-le")
+        words = [spelled[a:b] for a, b in zip((end - size).tolist(), end.tolist(), strict=True)]
+        rows = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        found = self.words.encode_batch_fast(rows, is_pretokenized=True, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(x.ids for x in found), np.uint32)
+        upto = np.searchsorted(np.cumsum(self.width[ids]), end) + 1
+        return ids, np.diff(upto, prepend=0)
 
     def ids_of(self, s) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the bounds of each document's."""
@@ -126,7 +154,7 @@ class _Encoder:
         own = np.split(ids, bounds[1:-1])
         for k, (a, b) in enumerate(zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist(), strict=True)):
             if any(token in raw[a:b] for token in self.added):
-                own[k] = np.array(self._encode([raw[a:b]])[0], ids.dtype)
+                own[k] = np.array(self.library.encode(raw[a:b].decode(), add_special_tokens=False).ids, ids.dtype)
         return np.concatenate(own), np.concatenate(([0], np.cumsum([len(x) for x in own])))
 
 
@@ -148,7 +176,8 @@ def write_files(docs: DataFrame, path: str, target: str, end_id: int = 0, id_col
     ``path`` is a tokenizers definition with byte-level pieces; strings of its
     added tokens in a text become those tokens, as in the library.  Null texts are
     empty (only the end id); null doc ids come first; repeated rows are written
-    as often as they come, in no set order among equals; no rows make no file.
+    as often as they come, rows of one id in the order of a hash of their text and
+    then of the text, so that every run gives the same files; no rows make no file.
     """
     spark = docs.sparkSession
     with open(path, encoding="utf-8") as f:
@@ -186,9 +215,11 @@ def write_files(docs: DataFrame, path: str, target: str, end_id: int = 0, id_col
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    # the hash also deals the rows of an id that very many rows share
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    rows = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
     schema = "file long, part long, ids_before long, n_ids long, content binary"
-    rows.mapInArrow(encode, schema).write.parquet(target)
+    map_arrow(rows, encode, schema).write.option("maxRecordsPerFile", 0).parquet(target)
     return spark.read.schema(schema).parquet(target)
 
 
@@ -213,7 +244,7 @@ def read_files(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(end - lengths + first), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = files.join(starts, "file").select("content", (F.col("file_start") + F.col("ids_before")).alias("first"))
-    return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(placed, decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def export(files: DataFrame, folder: str) -> DataFrame:
@@ -230,11 +261,11 @@ def export(files: DataFrame, folder: str) -> DataFrame:
                 os.replace(f.name, paths[-1])
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
 
-    return files.select("file", "part", "content").mapInArrow(put, "path string")
+    return map_arrow(files.select("file", "part", "content"), put, "path string")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return read_files(write_files(docs, public_tokenizers.path("byte_bpe_50k.json"), shared_folder(spark, "token-files")))
+    return read_files(write_files(docs, public_tokenizers.path("byte_bpe_50k.json"), f"{shared_folder(spark, 'token-files')}/files"))

@@ -2,15 +2,18 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tarnwell.llm import token_file
+from tarnwell.llm.common import text_slices
 
-from .cases import DOCS, docs
+from .cases import DOCS, docs, twins
 
 PATH = P.path("byte_bpe_50k.json")
+ENCODER = token_file._Encoder(open(PATH, encoding="utf-8").read())
 
 
 @settings(max_examples=50, deadline=None)
@@ -30,6 +33,30 @@ def test_chunks_are_read_alone_and_planes_shrink():
     assert len(content) < 2.1 * len(ids)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=40), st.lists(st.sampled_from(["'s", " ", "\n", "\r\n", "a", "é", "1", "!", "\u00a0", "\x1c", "漢", " the"]), max_size=12).map("".join)), max_size=4))
+def test_pieces_equal_library(texts):
+    for s in text_slices(pa.array(texts, pa.string())):
+        ids, bounds = ENCODER.ids_of(s)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [ENCODER.library.encode(t, add_special_tokens=False).ids for t in texts[s.first : s.last]]
+
+
+def test_words_that_a_polynomial_hash_confuses():
+    texts = [w for length in (1024, 2048) for w in twins(length)]
+    (s,) = text_slices(pa.array(texts))
+    ids, bounds = ENCODER.ids_of(s)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [ENCODER.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_rows_of_one_id_have_an_order(spark, tmp_path):
+    rows = [(k % 3, f"text {k % 7}", None, None, 0) for k in range(60)]
+    found = []
+    for name, parts in (("one", 1), ("many", 9)):
+        files = token_file.write_files(docs(spark, rows).repartition(parts), PATH, str(tmp_path / name))
+        found.append(sorted(map(tuple, token_file.read_files(files).collect())))
+    assert found[0] == found[1] and len(set(found[0])) == 60
+
+
 def test_files_equal_library(spark, tmp_path):
     library = Tokenizer.from_file(PATH)
     files = token_file.write_files(docs(spark), PATH, str(tmp_path / "files"), file_ids=1000)
