@@ -7,21 +7,24 @@ boilerplate and is removed; a document is rejected when less than
 ``min_left_share`` percent or ``min_left_words`` of its words are left.  Before
 that, base rules fail documents that are too short or repeat themselves.
 
-A document gives each of its lines once, and Spark sums before it shuffles, so a
-line in a third of all documents costs no more than any other.  The lists of
-boilerplate go to the documents by a broadcast while they are few (a checked
-count), beyond that by a join on host and salt, which spreads a large host.
+A text is read once.  That pass measures it and leaves its distinct lines as
+128-bit digests with their numbers of words, in a table in the shared folder; all
+after that is joins of digests.  A document gives each of its lines once, and Spark
+sums before it shuffles, so a line in a third of all documents costs no more than
+any other; nothing is kept by host, so a host may have any number of lines.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, NOT_SPACE, flat_ranges, mix, segment_sums, span_hashes, stored, text_slices, window_hashes, words_of
+from ..sources.scratch import row_number, stored
+from .common import NOT_SPACE, chained, fold, map_arrow, segment_sums, span_keys, text_slices, window_hashes, words_of
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -30,159 +33,151 @@ MIN_DOCS = 5
 MAX_SHARE = 8
 MIN_LEFT_SHARE = 25
 MIN_LEFT_WORDS = 5
-BROADCAST_LINES = 100_000
-SALTS = 64
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _NOT_CONTINUED = (np.arange(256) & 0xC0) != 0x80
 
 
-def _again(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which values their owner has more than once: all of them, and all but the
-    first of each."""
-    key = mix(value ^ mix(owner.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)))
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    later = np.zeros(len(key), bool)
-    later[order[1:]] = same
-    every = later.copy()
-    every[order[:-1]] |= same
-    return every, later
-
-
-def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the \\n-split lines, and the document of each."""
-    breaks = np.flatnonzero(data == 10)
-    start = np.concatenate((offsets[:-1], breaks + 1))
-    owner = np.concatenate((np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, side="right") - 1))
-    order = np.lexsort((start, owner))
-    start, owner = start[order], owner[order]
-    end = np.concatenate((start[1:] - 1, [len(data)]))
-    last = np.concatenate((owner[1:] != owner[:-1], [True]))
-    end[last] = offsets[owner[last] + 1]
-    return start, end, owner
-
-
-def _normal_lines(words: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash and a number of words for each line."""
-    low, high = np.searchsorted(first, start), np.searchsorted(first, end)
-    place = flat_ranges(np.zeros(len(low), np.int64), high - low)
-    terms = mix(words[flat_ranges(low, high - low)] + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms)))
-    at = np.concatenate(([0], np.cumsum(high - low)))
-    return mix(sums[at[1:]] - sums[at[:-1]] + (high - low).astype(np.uint64)), high - low
-
-
-def _lines_of(docs: DataFrame) -> DataFrame:
-    """(host, line) once for each document that holds the line."""
-
-    def lines(batches):
+def _found_twice(owner: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which windows, beginning at the words ``first``, their owner has more than
+    once.  Windows of one hash are compared word by word; should two differ, all
+    are sorted by their words."""
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    at = np.flatnonzero(same)
+    a, b = order[at], order[at + 1]
+    equal = owner[a] == owner[b]
+    for k in range(WINDOW):
+        equal &= (low[first[a] + k] == low[first[b] + k]) & (high[first[a] + k] == high[first[b] + k])
+    if not equal.all():
+        columns = [x[first + k] for k in range(WINDOW) for x in (low, high)] + [owner]
+        order = np.lexsort(columns)
+        same = np.logical_and.reduce([c[order[1:]] == c[order[:-1]] for c in columns])
+    twice = np.zeros(len(order), bool)
+    twice[order[1:]] = same
+    twice[order[:-1]] |= same
+    return twice
+
+
+def _normal(line: bytes) -> list[bytes]:
+    """The words of a line, A-Z lower-cased; both steps know ASCII only."""
+    return line.lower().split()
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _lines(text: bytes) -> tuple[int, dict[bytes, int]]:
+    """How many lines with a word are equal to an earlier one, and the words in
+    each distinct normalised line, all its occurrences together."""
+    seen: set[bytes] = set()
+    own: dict[bytes, int] = {}
+    many = 0
+    for line in text.split(b"\n"):
+        words = _normal(line)
+        if words:
+            many += 1
+            seen.add(line)
+            name = _digest(words)
+            own[name] = own.get(name, 0) + len(words)
+    return many - len(seen), own
+
+
+LINES = "array<struct<one: long, two: long, n: long>>"
+_LINE = pa.struct([("one", pa.int64()), ("two", pa.int64()), ("n", pa.int64())])
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and lines
+    to rows (doc_id, text, host, ...)."""
+
+    def measure(batches):
         for batch in batches:
-            hosts = batch.column("host").to_pylist()
+            out: list[list[np.ndarray]] = [[] for _ in range(5)]
+            lists, names, words_in = [0], [], []
             for s in text_slices(batch.column("text")):
-                low = ASCII_LOWER[s.data]
-                first, end, _ = words_of(low, s.offsets, NOT_SPACE)
-                start, stop, owner = _lines(s.data, s.offsets)
-                line, many = _normal_lines(span_hashes(low, first, end), first, start, stop)
-                owner, line = owner[many > 0], line[many > 0]
-                _, later = _again(owner, line)
-                owner, line = owner[~later] + s.first, line[~later]
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()).take(pa.array(owner)), pa.array(line.view(np.int64))], ["host", "line"])
+                n = s.last - s.first
+                start, end, bounds = words_of(s.data, s.offsets, NOT_SPACE)
+                low, high = span_keys(s.data, start, end)
+                n_words = np.diff(bounds)
+                owner = np.repeat(np.arange(n), n_words)
+                hashes = window_hashes(fold(low, high), WINDOW)
+                first = np.flatnonzero(owner[: len(hashes)] == owner[WINDOW - 1 :]) if len(hashes) else np.zeros(0, np.int64)
+                twice = first[_found_twice(owner[first], first, low, high, chained(hashes[first], owner[first].astype(np.uint64)))]
+                mark = np.zeros(len(start) + 1, np.int64)
+                np.add.at(mark, twice, 1)
+                np.add.at(mark, twice + WINDOW, -1)
+                raw, at, again = s.data.tobytes(), s.offsets.tolist(), []
+                for a, b in zip(at[:-1], at[1:], strict=True):
+                    equal, own = _lines(raw[a:b])
+                    again.append(equal)
+                    names += own
+                    words_in += own.values()
+                    lists.append(len(names))
+                chars = segment_sums(NOT_SPACE[s.data] & _NOT_CONTINUED[s.data], s.offsets)
+                measures = (n_words, chars, segment_sums(_SYMBOL[s.data], s.offsets), np.array(again, np.int64), segment_sums(np.cumsum(mark[:-1]) > 0, bounds))
+                for column, values in zip(out, measures, strict=True):
+                    column.append(values)
+            pairs = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
+            lines = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.array(words_in, pa.int64())], fields=list(_LINE))
+            flat = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)) for x in out]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *flat, pa.ListArray.from_arrays(pa.array(lists, pa.int32()), lines)], [*batch.schema.names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
 
-    return docs.select("host", "text").mapInArrow(lines, "host string, line long")
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
+    return map_arrow(docs, measure, f"{own}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines {LINES}")
 
 
-def boilerplate(docs: DataFrame, min_docs: int, max_share: int) -> DataFrame:
-    """(host, line, n_docs) of the lines above the limits."""
-    counts = _lines_of(docs).groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
-    sizes = docs.groupBy("host").agg(F.count("*").alias("host_docs"))
-    return counts.join(sizes, "host").filter(F.col("n_docs") * 100 > F.col("host_docs") * max_share).select("host", "line", "n_docs")
+def boilerplate(measured: DataFrame, min_docs: int, max_share: int) -> DataFrame:
+    """(host, one, two, n_docs) of the lines above the limits."""
+    counts = measured.select("host", F.explode("lines").alias("l")).groupBy("host", "l.one", "l.two").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+    sizes = measured.groupBy("host").agg(F.count("*").alias("host_docs"))
+    return counts.join(sizes, "host").filter(F.col("n_docs") * 100 > F.col("host_docs") * max_share).select("host", "one", "two", "n_docs")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: int = MAX_SHARE, min_left_share: int = MIN_LEFT_SHARE, min_left_words: int = MIN_LEFT_WORDS, broadcast_lines: int = BROADCAST_LINES, with_text: bool = True) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: int = MAX_SHARE, min_left_share: int = MIN_LEFT_SHARE, min_left_words: int = MIN_LEFT_WORDS, with_text: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words and
-    cleaned (the text without boilerplate lines; null for a null text, and
-    for all where ``with_text`` is false).
+    n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words and, with
+    ``with_text``, cleaned (the text without boilerplate lines; null for a null
+    text).
 
     Null and empty texts have no words and fail.  Null hosts are one host, the
     empty one.  Repeated rows count as documents of their own, here and in line
     counts; null ids are allowed; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"))
-    frequent = boilerplate(rows, min_docs, max_share)
-    frequent = stored(frequent, "frequent-lines")  # a few lines of each host, read twice below
-    lists = frequent.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
-    if frequent.count() <= broadcast_lines:
-        rows = rows.join(F.broadcast(lists), "host", "left")
-    else:
-        salts = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")).join(salts, ["host", "salt"], "left")
-
-    def measured(batches):
+    measured = _measured(rows)
+    measured = stored(measured if with_text else measured.drop("text"), "measured").select("*", row_number().alias("row"))
+    frequent = stored(boilerplate(measured, min_docs, max_share), "frequent-lines")
+    held = measured.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.one", "l.two", "l.n").join(frequent, ["host", "one", "two"])
+    removed = held.groupBy("row").agg(F.sum("n").alias("n_removed_words"), *([F.collect_list(F.struct("one", "two")).alias("bad")] if with_text else []))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_SHARE * F.col("n_words"))
+    gone = F.coalesce("n_removed_words", F.lit(0))
+    left = F.col("n_words") - gone
+    kept = ~failed & (100 * left >= min_left_share * F.col("n_words")) & (left >= min_left_words)
+    measures = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    out = measured.drop("lines").join(removed, "row", "left")
+    out = out.select(*measures, failed.alias("base_failed"), kept.alias("kept"), gone.alias("n_removed_words"), *(["text", "bad"] if with_text else []))
+    return _cleaned(out) if with_text else out
+
+
+def _cleaned(rows: DataFrame) -> DataFrame:
+    """``text`` and ``bad`` (digests of lines that go) become ``cleaned``."""
+
+    def clean(batches):
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(8)]
-            cleaned: list[str | None] = []
-            lists_at = batch.column("lines")
-            for s in text_slices(batch.column("text")):
-                n = s.last - s.first
-                low = ASCII_LOWER[s.data]
-                first, end, bounds = words_of(low, s.offsets, NOT_SPACE)
-                exact, n_words = span_hashes(s.data, first, end), np.diff(bounds)
-                owner = np.repeat(np.arange(n), n_words)
-                windows = window_hashes(exact, WINDOW)
-                whole = np.flatnonzero(owner[: len(windows)] == owner[WINDOW - 1 :])
-                every, _ = _again(owner[whole], windows[whole])
-                mark = np.zeros(len(exact) + 1, np.int64)
-                np.add.at(mark, whole[every], 1)
-                np.add.at(mark, whole[every] + WINDOW, -1)
-                repeated = segment_sums(np.cumsum(mark[:-1]) > 0, bounds)
-                start, stop, line_owner = _lines(s.data, s.offsets)
-                normal, many = _normal_lines(span_hashes(low, first, end), first, start, stop)
-                with_word = np.flatnonzero(many > 0)
-                _, later = _again(line_owner[with_word], span_hashes(s.data, start, stop)[with_word])
-                dup_lines = np.bincount(line_owner[with_word][later], minlength=n)
-                own = lists_at.slice(s.first, n)
-                bad = np.zeros(len(start), bool)
-                if own.null_count < n:
-                    value = pa.compute.list_flatten(own).to_numpy().view(np.uint64)
-                    holder = pa.compute.list_parent_indices(own).to_numpy().astype(np.uint64)
-                    bad = np.isin(mix(normal + line_owner.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), mix(value + holder * np.uint64(0xA24BAED4963EE407))) & (many > 0)
-                removed = np.bincount(line_owner[bad], weights=many[bad], minlength=n).astype(np.int64)
-                failed = (n_words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_SHARE * n_words)
-                left = n_words - removed
-                kept = ~failed & (100 * left >= min_left_share * n_words) & (left >= min_left_words)
-                chars = segment_sums(NOT_SPACE[s.data] & _NOT_CONTINUED[s.data], s.offsets)
-                for column, values in zip(out, (n_words, chars, segment_sums(_SYMBOL[s.data], s.offsets), dup_lines, repeated, failed, kept, removed), strict=True):
-                    column.append(values)
-                cleaned += _without(s, start, stop, line_owner, bad) if with_text else [None] * n
-            flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in flat[:5]), *(pa.array(x.astype(bool)) for x in flat[5:7]), pa.array(flat[7].astype(np.int64)), pa.array(cleaned, pa.string())],
-                ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words", "cleaned"],
-            )
-
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    rows = rows.select("doc_id", "text", "lines")
-    return rows.mapInArrow(measured, f"doc_id {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_removed_words long, cleaned string")
-
-
-def _without(s, start: np.ndarray, stop: np.ndarray, owner: np.ndarray, bad: np.ndarray) -> list[str | None]:
-    """The texts of a slice without the lines marked bad."""
-    at = np.searchsorted(owner, np.arange(len(s.offsets)))
-    touched = np.bincount(owner[bad], minlength=len(s.valid)) > 0
-    out: list[str | None] = []
-    raw = s.data.tobytes()
-    for k, valid in enumerate(s.valid.tolist()):
-        if not valid:
-            out.append(None)
-        elif touched[k]:
-            good = np.flatnonzero(~bad[at[k] : at[k + 1]]) + at[k]
-            out.append(b"\n".join(raw[start[j] : stop[j]] for j in good).decode())
-        else:
-            out.append(raw[s.offsets[k] : s.offsets[k + 1]].decode())
-    return out
+            texts = []
+            for text, bad in zip(batch.column("text").to_pylist(), batch.column("bad").to_pylist(), strict=True):
+                if text is not None and bad:
+                    gone = {np.array([d["one"], d["two"]], "<i8").tobytes() for d in bad}
+                    lines = text.encode().split(b"\n")
+                    text = b"\n".join(x for x in lines if not (words := _normal(x)) or _digest(words) not in gone).decode()
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string())], [*batch.schema.names[:-2], "cleaned"])
+
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("text", "bad"))
+    return map_arrow(rows, clean, f"{own}, cleaned string")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 import re
 
+import numpy as np
+
 from tarnwell.llm import quality_rules
 
-from .cases import SCHEMA, by_id, docs
+from .cases import SCHEMA, by_id, docs, twins
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -41,8 +43,29 @@ def test_boilerplate_is_removed_and_depleted_documents_go(spark):
 
 def test_join_path_equals_broadcast(spark):
     df = spark.createDataFrame(_host(20), SCHEMA)
-    rows = lambda **k: sorted(map(str, quality_rules.judge(df, **k).collect()))
-    assert rows() == rows(broadcast_lines=0)
+    rows = lambda: sorted(map(str, quality_rules.judge(df).collect()))
+    broadcast, setting = rows(), "spark.sql.autoBroadcastJoinThreshold"
+    try:
+        spark.conf.set(setting, -1)
+        assert rows() == broadcast
+    finally:
+        spark.conf.unset(setting)
+
+
+def test_lines_that_a_polynomial_hash_confuses(spark):
+    a, b = twins()
+    text = f"{a}\n{b}\n{b}\n" + " ".join(f"{w} one two three four" for w in (a, b, a, b))
+    rows = [(k, text, "en", "h", 0) for k in range(2)] + [(2, f"{a} 1 2 3 4 {b} 1 2 3 4", "en", "h", 0)]
+    got = by_id(quality_rules.judge(spark.createDataFrame(rows, SCHEMA)))
+    for k, t, *_ in rows:
+        assert (got[k].n_words, got[k].word_chars, got[k].n_symbols, got[k].n_dup_lines, got[k].n_repeat_words) == brute(t)
+
+
+def test_windows_of_one_hash_are_compared():
+    words = np.array([1, 2, 3, 4, 5, 1, 2, 3, 4, 6, 1, 2, 3, 4, 5], np.uint64)
+    first, owner = np.array([0, 5, 10]), np.zeros(3, np.int64)
+    assert quality_rules._found_twice(owner, first, words, words, np.zeros(3, np.uint64)).tolist() == [True, False, True]
+    assert quality_rules._found_twice(np.array([0, 0, 1]), first, words, words, np.zeros(3, np.uint64)).tolist() == [False, False, False]
 
 
 def test_rows(spark):
