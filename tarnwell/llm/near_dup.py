@@ -8,7 +8,8 @@ with the probability of their Jaccard similarity, small sets included.  Register
 are cut into 64 bands of four; at similarity 0.75 two documents miss each other
 in all bands with probability 3e-11.
 
-Documents with equal sets are one class and go on as one representative.  Where a
+Documents with equal sets are one class and go on as one representative, under a
+number of its own; a document id that several classes hold links them.  Where a
 bucket of a band holds several representatives,
 
 1.  each is paired with the bucket's smallest (a star, not all pairs);
@@ -21,7 +22,11 @@ further links it holds change no component.  In the others, members of different
 components are compared by their registers, each pair in the first band where
 the two meet, and at once confirmed on their full sets: what leaves the task are
 links that join components, not pairs.  Large buckets are compared block against
-block, and each block against itself.
+block, and each block against itself; a block is bounded in members and in
+shingles.
+
+Shingles are 64-bit hashes chained over the exact keys of their words; a set is
+known by 128 bits.
 """
 
 from __future__ import annotations
@@ -34,7 +39,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, NOT_SPACE, SLICE_BYTES, flat_ranges, mix, segment_sums, span_hashes, stored, text_slices, window_hashes, words_of
+from ..sources.scratch import remove, row_number, shared_folder, stored
+from .common import ASCII_LOWER, NOT_SPACE, chained, flat_ranges, map_arrow, mix, segment_sums, span_hashes, text_slices, window_hashes, words_of
 
 SHINGLE = 5
 REGISTERS = 256
@@ -44,6 +50,8 @@ BAND = 4
 SIMILARITY = 75  # percent
 MARGIN = 6  # standard errors
 BLOCK = 4096  # members of a bucket in one block
+BLOCK_SHINGLES = 1 << 20  # and their shingles, on average
+CONFIRM_ROWS = 512  # pairs whose sets are in memory together
 _SEEDS = np.random.default_rng(977).integers(1, 1 << 63, 4096, dtype=np.uint64)
 
 
@@ -59,12 +67,12 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     owner, value = owner[: len(windows)][whole], windows[whole]
     short = np.flatnonzero((count > 0) & (count < SHINGLE))
     if len(short):
-        place = flat_ranges(np.zeros(len(short), np.int64), count[short])
-        terms = mix(words[flat_ranges(bounds[short], count[short])] + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        at = np.concatenate(([0], np.cumsum(count[short])))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms)))
+        total = count[short].astype(np.uint64)
+        for k in range(SHINGLE - 1):
+            more = count[short] > k
+            total[more] = chained(total[more], words[bounds[short[more]] + k])
         owner = np.concatenate((owner, short))
-        value = np.concatenate((value, mix(sums[at[1:]] - sums[at[:-1]] + count[short].astype(np.uint64))))
+        value = np.concatenate((value, total))
     order = np.lexsort((value, owner))
     owner, value = owner[order], value[order]
     new = np.ones(len(owner), bool)
@@ -95,12 +103,6 @@ def registers(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return out.reshape(n, REGISTERS)
 
 
-def band_keys(sketch: np.ndarray) -> np.ndarray:
-    """n x 64 keys; four registers of 16 bits are the band, exactly."""
-    bands = np.ascontiguousarray(sketch).view(np.uint64)
-    return mix(bands + np.arange(bands.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-
-
 @lru_cache(maxsize=1)
 def _collisions() -> np.ndarray:
     """Probability that a register of two disjoint sets is equal, by the binary
@@ -124,7 +126,7 @@ def least_estimate(similarity: int) -> float:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two digests of the set, and the registers."""
+    """doc_id, hash of the text, n_shingles, two digests of the set, registers."""
 
     def sketch(batches):
         for batch in batches:
@@ -142,10 +144,9 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 size, one, two, sketch = (np.concatenate(x) for x in zip(*out, strict=True))
                 raw = pa.py_buffer(np.ascontiguousarray(sketch))
                 wide = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * REGISTERS), len(size), [None, raw]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(one), pa.array(two), wide], ["doc_id", "n_shingles", "one", "two", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(size), pa.array(one), pa.array(two), wide], ["doc_id", "text_hash", "n_shingles", "one", "two", "sketch"])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(sketch, f"doc_id {id_type}, n_shingles long, one long, two long, sketch binary")
+    return map_arrow(docs.select("doc_id", "text_hash", "text"), sketch, "doc_id long, text_hash long, n_shingles long, one long, two long, sketch binary")
 
 
 def _sketch_rows(column: pa.Array) -> np.ndarray:
@@ -154,64 +155,63 @@ def _sketch_rows(column: pa.Array) -> np.ndarray:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    def bands(batches):
-        for batch in batches:
-            keys = band_keys(_sketch_rows(batch.column("sketch")))
-            node = batch.column("node").to_numpy()
-            for k in range(0, len(node), 2048):
-                part = keys[k : k + 2048]
-                yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), pa.array(np.repeat(node[k : k + 2048], part.shape[1]))], ["band", "node"])
+    """(band, node): a hash of four registers, its last six bits the band's place."""
+    width, bands = 2 * BAND, REGISTERS // BAND
+    key = lambda k: F.xxhash64(F.substring("sketch", F.lit(width) * k + 1, F.lit(width)), k).bitwiseAND(F.lit(-bands)).bitwiseOR(k.cast("long"))
+    return classes.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)).alias("band"), "node")
 
-    return classes.select("node", "sketch").mapInArrow(bands, "band long, node long")
 
-
-def _estimated(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) that the registers let through."""
+def _estimated(pairs: DataFrame, members: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b) that sizes and registers let through."""
     least = least_estimate(similarity)
 
     def passing(batches):
         for batch in batches:
             equal = (_sketch_rows(batch.column("a_sketch")) == _sketch_rows(batch.column("b_sketch"))).mean(1)
             a, b = (batch.column(c).to_numpy() for c in ("a_size", "b_size"))
-            keep = (estimates(equal, a, b) >= least) & (100 * np.minimum(a, b) >= similarity * np.maximum(a, b))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b"]).filter(pa.array(estimates(equal, a, b) >= least))
+
+    side = lambda x: members.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size"))
+    return map_arrow(met, passing, "a long, b long")
+
 
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(passing, "a long, b long")
+def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of many texts, and where each text's begin."""
+    values, many = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for s in text_slices(column):
+        owner, value = shingles(s.data, s.offsets)
+        values.append(value)
+        many.append(np.bincount(owner, minlength=s.last - s.first))
+    return np.concatenate(values), np.cumsum(np.concatenate(many))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, members: DataFrame, similarity: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
 
     def similar(batches):
         for batch in batches:
-            a, b = batch.column("a_text"), batch.column("b_text")
-            size = np.cumsum(pa.compute.binary_length(a).to_numpy().astype(np.int64) + pa.compute.binary_length(b).to_numpy())
-            first, keep = 0, []
-            while first < len(size):
-                last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + SLICE_BYTES, side="right")))
-                sets = []
-                for column in (a, b):
-                    (s,) = text_slices(column.slice(first, last - first), 1 << 62)
-                    owner, value = shingles(s.data, s.offsets)
-                    sets.append((np.bincount(owner, minlength=last - first), mix(value + owner.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))))
-                (a_size, a_keys), (b_size, b_keys) = sets
-                owner = np.repeat(np.arange(last - first), a_size)
-                both = np.bincount(owner[np.isin(a_keys, b_keys)], minlength=last - first)
-                keep.append(100 * both >= similarity * (a_size + b_size - both))
-                first = last
-            yield batch.select(["a", "b"]).filter(pa.array(np.concatenate([np.zeros(0, bool), *keep])))
-
-    texts = docs.filter(F.col("doc_id").isNotNull())
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"{x}_text"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(similar, "a long, b long")
+            keep = [np.zeros(0, bool)]
+            for first in range(0, batch.num_rows, CONFIRM_ROWS):
+                part = batch.slice(first, CONFIRM_ROWS)
+                (a, a_at), (b, b_at) = _sets(part.column("a_text")), _sets(part.column("b_text"))
+                rows = np.arange(part.num_rows, dtype=np.uint64)
+                of = lambda value, at: chained(np.repeat(rows, np.diff(at)), value)
+                both = segment_sums(np.isin(of(a, a_at), of(b, b_at)), a_at)
+                keep.append(100 * both >= similarity * (np.diff(a_at) + np.diff(b_at) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(keep)))
+
+    side = lambda x: members.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text"))
+    return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), similar, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in a link; the component is its smallest
     node.  Large and small stars alternate until nothing changes; every round's
-    links are written to the shared folder."""
-    own = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
+    links are written to the shared folder, and those before are deleted."""
+    spark = links.sparkSession
+    folder = shared_folder(spark, "links")
+    own = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links", folder)
     before = None
     while True:
         both = own.unionByName(own.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -219,7 +219,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct()
-        own = stored(small, "stars")
+        last, folder = folder, shared_folder(spark, "stars")
+        own = stored(small, "stars", folder)
+        remove(spark, last)
         now = tuple(own.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return own.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(own.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -233,15 +235,8 @@ class _Members:
         column = lambda name: batch.column(name).to_numpy()
         self.node, self.component, self.size, self.block = (column(c) for c in ("node", "component", "size", "block"))
         self.sketch = _sketch_rows(batch.column("sketch").combine_chunks())
-        self.keys = band_keys(self.sketch)
-        owners, values, first = [], [], 0
-        for s in text_slices(batch.column("text")):
-            owner, value = shingles(s.data, s.offsets)
-            owners.append(owner + first)
-            values.append(value)
-            first += s.last - s.first
-        self.value = np.concatenate(values)
-        self.at = np.searchsorted(np.concatenate(owners), np.arange(first + 1))
+        self.bands = self.sketch.view(np.uint64)  # four registers are a band
+        self.value, self.at = _sets(batch.column("text"))
 
     def links(self, band: int, similarity: int, least: float, apart: bool) -> list[tuple[int, int]]:
         """Links that join components of the bucket, one for each two that a
@@ -262,8 +257,7 @@ class _Members:
             at = np.flatnonzero(other)
             at = at[estimates((self.sketch[at] == self.sketch[k]).mean(1), self.size[at], self.size[k]) >= least]
             if len(at):
-                meet = self.keys[at] == self.keys[k]
-                at = at[np.take_along_axis(self.keys[at], meet.argmax(1)[:, None], 1)[:, 0] == band]
+                at = at[(self.bands[at] == self.bands[k]).argmax(1) == band % self.bands.shape[1]]
             if not len(at):
                 continue
             many = self.at[at + 1] - self.at[at]
@@ -277,21 +271,21 @@ class _Members:
         return found
 
 
-def _rest(buckets: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
+def _rest(buckets: DataFrame, labels: DataFrame, members: DataFrame, similarity: int) -> DataFrame:
     """Links (a, b) between different components of a bucket, on full sets.  Only
     buckets of three and more members with several components come here.  Their
     members are dealt into blocks; each two blocks meet in one task, and each block
-    meets itself in another.  A bucket of up to BLOCK members is one block."""
+    meets itself in another.  A bucket of up to BLOCK members and BLOCK_SHINGLES
+    shingles is one block."""
     least = least_estimate(similarity)
     labelled = buckets.filter("members > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-    members = stored(labelled.join(mixed, "band").select("band", "members", "node", "component"), "mixed-buckets")
-    members = members.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("long")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("node"), "text")
-    nodes = members.select("node").distinct().join(classes.select("node", "size", "sketch"), "node").join(texts, "node")
+    labelled = stored(labelled.join(members.select("node", "size"), "node").select("band", "node", "component", "size"), "labelled")
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    mixed = stored(mixed.filter("low <> high").select("band", "blocks"), "mixed-buckets")
+    placed = labelled.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    meetings = members.withColumn("other", F.explode(others)).select("band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "component", "blocks")
-    dealt = meetings.join(nodes, "node").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "node")
+    meetings = placed.withColumn("other", F.explode(others)).select("band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "component")
+    dealt = meetings.join(members, "node").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "node")
 
     def compare(batches):
         def links(rows: pa.Table) -> pa.RecordBatch:
@@ -315,46 +309,79 @@ def _rest(buckets: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataF
         if kept:
             yield links(pa.concat_tables(kept))
 
-    return dealt.select("band", "x", "y", "block", "node", "component", "size", "sketch", "text").mapInArrow(compare, "a long, b long")
+    return map_arrow(dealt.select("band", "x", "y", "block", "node", "component", "size", "sketch", "text"), compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id and kept.
+def _members(buckets: DataFrame, classes: DataFrame, base: DataFrame) -> DataFrame:
+    """(node, size, sketch, text) of the classes that share a bucket: what all
+    comparing needs, read from the documents once.  Rows with the same id and text
+    give one."""
+    wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("doc").alias("doc_id"), "text_hash", "size", "sketch")
+    found = base.filter(F.col("doc_id").isNotNull()).join(wanted, ["doc_id", "text_hash"])
+    return found.groupBy("doc_id", "text_hash").agg(*[F.first(c).alias(c) for c in ("node", "size", "sketch", "text")]).select("node", "size", "sketch", "text")
 
-    Texts without words (null and empty ones among them) are linked with
-    nothing.  Rows with a null id are kept, with a null component, and linked
-    with nothing, as a component is named by an id.  Rows with equal ids are one
-    document.  Equal texts are always linked.  An empty table gives no rows.
-    """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+def _same_id(with_set: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes that one document id has."""
+    key = F.struct("one", "two")
+    several = with_set.groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).filter("low <> high").select("doc_id")
+    held = with_set.select("doc_id", "one", "two").join(several, "doc_id").distinct().join(classes.select("one", "two", "node"), ["one", "two"]).select("doc_id", "node")
+    return held.join(held.groupBy("doc_id").agg(F.min("node").alias("first")), "doc_id").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+
+
+def _judged(docs: DataFrame, similarity: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``near_duplicates``, and the table of sketches."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sketches = stored(_sketches(base), "sketches")
     with_set = sketches.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = stored(with_set.groupBy("one", "two").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("size"), F.first("sketch").alias("sketch")), "classes")
-    sized = classes.dropDuplicates(["node"])
+    classes = with_set.groupBy("one", "two").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.max("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    classes = stored(classes.select("one", "two", F.col("least.doc_id").alias("doc"), "least.text_hash", "size", "sketch"), "classes").select("*", row_number().alias("node"))
 
-    bands = _bands(sized)
-    hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("members")).filter("members > 1")
+    bands = _bands(classes)
+    hubs = stored(bands.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("members")).filter("members > 1"), "hubs")
     buckets = stored(bands.join(hubs, "band"), "buckets")
+    members = stored(_members(buckets, classes, base), "members")
     pairs = buckets.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = stored(_confirmed(_estimated(pairs, sized, similarity), base, similarity), "star-links")
+    stars = _confirmed(_estimated(pairs, members, similarity), members, similarity)
+    links = stored(stars.unionByName(_same_id(with_set, classes)), "star-links")
     labels = components(links)
-    more = stored(_rest(buckets, labels, sized, base, similarity), "rest-links")
+    more = stored(_rest(buckets, labels, members, similarity), "rest-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
-    of_class = classes.select("one", "two", "node").join(labels, "node", "left").select("one", "two", F.coalesce("component", "node").alias("component_id"))
-    named = with_set.select("doc_id", "n_shingles", "one", "two").join(of_class, ["one", "two"]).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    named = classes.select("node", "doc").join(labels, "node").groupBy("component").agg(F.min("doc").alias("component_id"))
+    of_class = classes.select("one", "two", "node", "doc").join(labels.join(named, "component").select("node", "component_id"), "node", "left").select("one", "two", F.coalesce("component_id", "doc").alias("component_id"))
+    rows = with_set.select("doc_id", "n_shingles", "one", "two").join(of_class, ["one", "two"]).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     alone = sketches.filter("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
-    return named.unionByName(alone)
+    return rows.unionByName(alone), sketches
+
+
+def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id and kept.
+
+    Texts without words (null and empty ones among them) are linked with
+    nothing.  Rows with a null id are kept, with a null component, and linked
+    with nothing, as a component is named by an id.  Rows with equal ids are one
+    document: their different texts lie in one component.  Equal texts are always
+    linked.  An empty table gives no rows.
+    """
+    return _judged(docs, similarity, id_col, text_col)[0]
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, all columns, one document of each component: the one
-    with the smallest id.  Rows with null ids stay; of rows with equal ids one
-    stays."""
-    kept = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    known = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    with the smallest id.  Rows with null ids stay; of rows with equal ids the one
+    with the smallest hash of all columns stays."""
+    rows, sketches = _judged(docs, similarity, "doc_id", "text")
+    kept = rows.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    known = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").select(docs.columns)
+    repeated = stored(sketches.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        several = known.join(repeated, "doc_id", "left_semi").select(docs.columns)
+        whole = F.struct(*[F.col(c) for c in docs.columns])
+        one = several.groupBy("doc_id").agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+        known = known.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(one)
+    return known.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

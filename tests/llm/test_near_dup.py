@@ -8,7 +8,7 @@ import pytest
 from tarnwell.llm import near_dup
 from tarnwell.llm.common import text_slices
 
-from .cases import DOCS, SCHEMA, by_id, docs
+from .cases import DOCS, SCHEMA, by_id, docs, twins
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -78,17 +78,47 @@ def test_rest_links_inside_blocks(spark, monkeypatch):
     rows = [(0, " ".join(words(0)), None, None, None)]
     for k in range(1, 13):
         rows += [(k, " ".join(words(k)), None, None, None), (100 + k, " ".join([*words(k)[:-1], "other"]), None, None, None)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    classes = near_dup._sketches(df).selectExpr("doc_id AS node", "n_shingles AS size", "sketch").cache()
-    keys = {r.node: near_dup.band_keys(np.frombuffer(r.sketch, np.uint16)[None])[0] for r in classes.collect()}
-    first = {k: int(keys[k][(keys[k] == keys[100 + k]).argmax()]) for k in range(1, 13)}
-    assert all(first[k] in keys[100 + k] for k in first)
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "text", "xxhash64(text) AS text_hash")
+    members = near_dup._sketches(df).join(df, ["doc_id", "text_hash"]).selectExpr("doc_id AS node", "n_shingles AS size", "sketch", "text").cache()
+    keys = {}
+    for r in near_dup._bands(members).collect():
+        keys.setdefault(r.node, {})[r.band & 63] = r.band
+    assert all(len(k) == 64 for k in keys.values())
+    first = {k: next(keys[k][n] for n in range(64) if keys[k][n] == keys[100 + k][n]) for k in range(1, 13)}
     buckets = spark.createDataFrame([(band, node, 0, len(rows)) for band in first.values() for node in keys], "band long, node long, hub long, members long")
     labels = spark.createDataFrame([], "node long, component long")
-    block = {r.node: r.block for r in classes.selectExpr("node", "pmod(xxhash64(node), 3) AS block").collect()}
+    block = {r.node: r.block for r in members.selectExpr("node", "pmod(xxhash64(node), 3) AS block").collect()}
     assert {block[k] == block[100 + k] for k in first} == {True, False}
-    got = near_dup._rest(buckets, labels, classes, df, near_dup.SIMILARITY).collect()
-    assert sorted(tuple(sorted((r.a, r.b))) for r in got) == [(k, 100 + k) for k in first]
+    got = near_dup._rest(buckets, labels, members, near_dup.SIMILARITY).collect()
+    # all nodes were put into all buckets, so that a pair may meet in several of one place
+    assert sorted({tuple(sorted((r.a, r.b))) for r in got}) == [(k, 100 + k) for k in first]
+
+
+def test_blocks_are_bounded_in_shingles(spark, monkeypatch):
+    rng = random.Random(18)
+    rows = [(k, t, None, None, None) for k, t in enumerate(family(rng, 40, 60, 6, "s"))]
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 200)
+    got = by_id(near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA)))
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == brute(rows)
+
+
+def test_rows_with_equal_ids_are_one_document(spark):
+    rng = random.Random(4)
+    (a, near_a), (b, near_b) = (list(family(rng, 2, 60, 1, name)) for name in "ab")
+    rows = [(5, a), (5, b), (20, near_b), (21, near_a), (30, "quite another text of several words"), (5, a), (5, ""), (31, ""), (31, near_a)]
+    df = spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)
+    for parts in (1, 7):
+        got = sorted((r.doc_id, r.n_shingles > 0, r.component_id) for r in near_dup.near_duplicates(df.repartition(parts)).collect())
+        assert got == [(5, False, 5), (5, True, 5), (5, True, 5), (5, True, 5), (20, True, 5), (21, True, 5), (30, True, 30), (31, False, 31), (31, True, 5)]
+        kept = near_dup.deduplicated(df.repartition(parts)).collect()
+        assert sorted(r.doc_id for r in kept) == [5, 30, 31]
+    assert len({tuple(map(tuple, sorted(near_dup.deduplicated(df.repartition(n)).collect()))) for n in (1, 3, 8)}) == 1
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    rows = [(k, f"{w} one two three four five", None, None, None) for k, w in enumerate(twins())]
+    got = by_id(near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA)))
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == brute(rows) == {0: (2, 0), 1: (2, 1)}
 
 
 def test_registers_agree_with_jaccard():
