@@ -4,78 +4,85 @@ Documents with equal texts form a group that must stay together.  Groups sorted
 by size, largest first, go to the least-loaded shard through a heap.
 
 The schedule needs only how many groups there are of each size, so the driver
-gets a histogram, not the groups.  Sizes up to ``EXACT`` bytes are classes of
-their own; above, a class spans 1/1024 of its size, which bounds the histogram
-at about 60,000 classes for any input.  A class with many more groups than shards
-fills the shards to a common level in one step, as the heap would one by one.
-Groups and documents get their places from range-sorted files: the place in a
-file plus the rows of the files before it, so no task holds a whole shard.
+gets that histogram, not the groups.  Different sizes add up: with d of them the
+texts have at least d * d / 2 bytes, so 100 TB have at most 14 million (and texts
+of up to 100 kB at most 100,000 among those that are no copies).  Equal groups go
+to the heap in one step where there are many: the shards are filled to a common
+level that whole numbers give exactly as single steps would.
+
+Which shard a group gets follows from its place in the order of sizes; the plan is
+a table of the places where the shard changes, cut by the files of the sorted
+groups and merged into them by a window over each file.  Groups and documents get
+their places from range-sorted files: the place in a file plus the rows of the
+files before it, so no task holds a whole shard.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
-
-EXACT = 4096
-MANTISSA = 10
-BROADCAST_CLASSES = 20_000
-
-
-def size_class(size: Column) -> Column:
-    """A number that grows with the size: the size itself up to EXACT, then
-    1,024 classes for each doubling."""
-    octave = F.floor(F.log2(size.cast("double"))).cast("int")
-    # log2 may round up to the next power for sizes just below it
-    octave = F.when(F.expr("shiftleft(1L, 62)") < size, 62).otherwise(F.when(F.pow(F.lit(2.0), octave).cast("long") > size, octave - 1).otherwise(octave))
-    step = F.call_function("shiftright", size, (octave - MANTISSA).cast("int")) - (1 << MANTISSA)
-    return F.when(size <= EXACT, size).otherwise(F.lit(EXACT) + (octave - 12) * (1 << MANTISSA) + step + 1).cast("long")
-
-
-def schedule(classes: list[tuple[int, int, int]], n_shards: int) -> tuple[dict[int, list[tuple[int, int]]], list[float]]:
-    """LPT over (class, groups, bytes), largest class first.  For each class the
-    shards as (groups before the end of this shard's run, shard), and the loads."""
-    heap = [(0.0, k) for k in range(n_shards)]
-    runs: dict[int, list[tuple[int, int]]] = {}
-    for name, count, total in sorted(classes, reverse=True):
-        each, given = total / count, [0] * n_shards
-        left = count
-        if count > 4 * n_shards:
-            loads = dict((k, load) for load, k in heap)
-            low, high = min(loads.values()), max(loads.values()) + total
-            for _ in range(100):  # the highest level that leaves at least n_shards groups to the heap
-                level = (low + high) / 2
-                low, high = (level, high) if sum(max(0, int((level - x) // each)) for x in loads.values()) <= count - n_shards else (low, level)
-            for k, load in loads.items():
-                given[k] = max(0, int((low - load) // each))
-            left -= sum(given)
-            heap = [(load + given[k] * each, k) for load, k in heap]
+from ..sources.scratch import file_number, stored
+
+
+def _level(loads: list[int], size: int, count: int) -> list[int]:
+    """How many of ``count`` equal groups each shard has had when all loads below
+    the highest possible level are filled up to it; fewer than there are shards
+    are left after that."""
+    low, high = min(loads), max(loads) + size * count
+    while low < high:  # the highest level that takes no more than there are
+        level = (low + high + 1) // 2
+        taken = sum(max(0, -((x - level) // size)) for x in loads)
+        low, high = (level, high) if taken <= count else (low, level - 1)
+    return [max(0, -((x - low) // size)) for x in loads]
+
+
+def schedule(sizes: list[int], counts: list[int], n_shards: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """LPT over groups of distinct sizes, largest first (ties between shards go to
+    the lower number): the places in the order of sizes from which on groups go to
+    another shard, those shards, and the loads."""
+    heap = [(0, k) for k in range(n_shards)]
+    starts, shards, place = [], [], 0
+    for size, count in zip(sizes, counts, strict=True):
+        given = [0] * n_shards
+        if count > 2 * n_shards:
+            loads = [load for load, _ in sorted(heap, key=lambda x: x[1])]
+            given = _level(loads, size, count)
+            heap = [(load + n * size, k) for k, (load, n) in enumerate(zip(loads, given, strict=True))]
             heapq.heapify(heap)
-        for _ in range(left):
+        for _ in range(count - sum(given)):
             load, k = heap[0]
-            heapq.heapreplace(heap, (load + each, k))
+            heapq.heapreplace(heap, (load + size, k))
             given[k] += 1
-        upto, own = 0, []
-        for k in range(n_shards):
-            if given[k]:
-                upto += given[k]
-                own.append((upto, k))
-        runs[name] = own
-    loads = [0.0] * n_shards
+        for k, n in enumerate(given):
+            if n:
+                starts.append(place)
+                shards.append(k)
+                place += n
+    loads = [0] * n_shards
     for load, k in heap:
         loads[k] = load
-    return runs, loads
+    return np.array(starts, np.int64), np.array(shards, np.int32), loads
 
 
-def _placed(df: DataFrame) -> DataFrame:
-    """Of a DataFrame just read from files: each row's file (its number in the
-    order of the sort) and place in that file."""
-    number = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
-    return df.select("*", number.alias("file"), F.col("_metadata.row_index").alias("place"))
+def _plan(spark: SparkSession, files: list[tuple[int, int]], starts: np.ndarray, shards: np.ndarray) -> DataFrame:
+    """(file, place, shard): in each file of the sorted groups, given with its
+    number of rows, the first place and those where the shard changes."""
+    number = np.array([f for f, _ in files], np.int64)
+    first = np.cumsum([0, *(n for _, n in files)])[:-1]
+    opening = np.searchsorted(starts, first, side="right") - 1
+    inside = np.searchsorted(first, starts, side="right") - 1
+    later = starts != first[inside]
+    table = {
+        "file": np.concatenate((number, number[inside[later]])),
+        "place": np.concatenate((np.zeros(len(number), np.int64), (starts - first[inside])[later])),
+        "shard": np.concatenate((shards[opening], shards[later])),
+    }
+    return spark.createDataFrame(pa.table(table))
 
 
 def shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,31 +101,23 @@ def shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col
         F.unhex(F.sha2(text, 256)).alias("key"),
     )
     rows = stored(rows, "shard-rows")
-    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes")).withColumn("class", size_class(F.col("bytes")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = _placed(stored(groups.repartitionByRange(n, F.desc("class"), "key").sortWithinPartitions(F.desc("class"), "key"), "shard-groups"))
+    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
+    groups = stored(groups.repartitionByRange(n, F.desc("bytes"), "key").sortWithinPartitions(F.desc("bytes"), "key"), "shard-groups")
+    groups = groups.select("key", "bytes", file_number().alias("file"), F.col("_metadata.row_index").alias("place"))
 
-    classes = [tuple(r) for r in groups.groupBy("class").agg(F.count("*"), F.sum("bytes")).collect()]
+    histogram = sorted((tuple(r) for r in groups.groupBy("bytes").agg(F.count("*")).collect()), reverse=True)
     files = sorted(tuple(r) for r in groups.groupBy("file").agg(F.count("*")).collect())
-    runs, _ = schedule(classes, n_shards)
-    before, start = 0, {}
-    for name, count, _ in sorted(classes, reverse=True):
-        start[name] = before
-        before += count
-    before, first = 0, []
-    for file, count in files:
-        first.append((file, before))
-        before += count
-    plan = spark.createDataFrame([(c, start[c], [{"upto": u, "shard": s} for u, s in r]) for c, r in runs.items()], "class long, start long, runs array<struct<upto: long, shard: int>>")
-    plan = F.broadcast(plan) if len(classes) <= BROADCAST_CLASSES else plan
-    firsts = F.broadcast(spark.createDataFrame(first, "file long, before long"))
-    rank = F.col("before") + F.col("place") - F.col("start")
-    of_key = (
-        groups.join(firsts, "file").join(plan, "class")
-        .select("key", F.filter("runs", lambda x: x["upto"] > rank)[0]["shard"].alias("shard"))
-    )
+    starts, of_place, _ = schedule([b for b, _ in histogram], [c for _, c in histogram], n_shards)
+    if files:
+        changes = _plan(spark, files, starts, of_place).withColumn("key", F.lit(None).cast("binary"))
+        before = Window.partitionBy("file").orderBy("place", F.col("key").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        merged = groups.select("file", "place", "key", F.lit(None).cast("int").alias("shard")).unionByName(changes)
+        of_key = merged.withColumn("shard", F.last("shard", ignorenulls=True).over(before)).filter("key IS NOT NULL").select("key", "shard")
+    else:
+        of_key = groups.select("key", F.lit(0).alias("shard"))
     placed = rows.join(of_key, "key").repartitionByRange(n, "shard", "key", "doc_id").sortWithinPartitions("shard", "key", "doc_id")
-    placed = _placed(stored(placed.select("doc_id", "size", "text_crc32", "shard"), "shard-slots"))
+    placed = stored(placed.select("doc_id", "size", "text_crc32", "shard"), "shard-slots").select("*", file_number().alias("file"), F.col("_metadata.row_index").alias("place"))
     counts = sorted(tuple(r) for r in placed.groupBy("shard", "file").agg(F.count("*"), F.min("place")).collect())
     offsets, seen = [], [0] * n_shards
     for shard, file, count, lowest in counts:
