@@ -35,9 +35,9 @@ def test_search_equals_brute_force(seed):
     texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 200))) + rng.choice(["", ".", " -"]) for _ in range(30)]
     items = [(f"i{k:02}", ",".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 2, 4, 9, 10, 12, 25])))) for k in range(12)]
     items += [("copy", texts[0][5:90])]
-    ids, tables = decontaminate.compile_patterns(items)
+    ids, words, tables = decontaminate.compile_patterns(items)
     (s,) = text_slices(pa.array(texts))
-    h = decontaminate.hits_of(s.data, s.offsets, tables)
+    h = decontaminate.hits_of(s.data, s.offsets, words, tables)
     for k, text in enumerate(texts):
         assert (h.n_words[k], h.n_hit[k], [ids[i] for i in h.items[np.flatnonzero(h.documents == k)]]) == brute(text, items)
 
@@ -67,5 +67,38 @@ def test_empty_and_too_large(spark):
     none = bench.limit(0)
     assert decontaminate.contamination(docs(spark, []), bench).count() == 0
     assert decontaminate.contamination(docs(spark), none).filter("contaminated").count() == 0
-    with pytest.raises(ValueError, match="at most 10"):
-        decontaminate.broadcast_patterns(bench, max_bytes=10)
+
+
+def test_parts_equal_one_part(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(30)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([1, 3, 10, 14])))) for k in range(25)]
+    rows = [(k % 37, " ".join(rng.choice(words) for _ in range(40)) + " " + rng.choice(items)[1] + " " + rng.choice(items)[1], None, None, None) for k in range(40)]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), docs(spark, rows)
+    assert len(decontaminate.pattern_parts(bench, part_bytes=200)) > 3
+    got = sorted(tuple(r) for r in decontaminate.contamination(df, bench, part_bytes=200).collect())
+    assert got == sorted(tuple(r) for r in decontaminate.contamination(df, bench).collect())
+    wanted = sorted((d, *brute(t, [(str(k), x) for k, x in items])[:2]) for d, t, *_ in rows)
+    assert [r[:3] for r in got] == wanted
+    left = decontaminate.clean(df.filter("doc_id < 20"), bench.filter("length(text) > 20"), part_bytes=200)
+    one = decontaminate.clean(df.filter("doc_id < 20"), bench.filter("length(text) > 20"))
+    assert sorted(r.doc_id for r in left.collect()) == sorted(r.doc_id for r in one.collect())
+
+
+def test_large_buckets_are_compared_in_bounds(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(decontaminate, "EXPAND", 3)
+    items = [(f"i{k}", f"a{k % 3} b{k % 5} " + "x y z " * 3) for k in range(15)]
+    text = " ".join(t for _, t in items)
+    _, words, tables = decontaminate.compile_patterns(items)
+    (s,) = text_slices(pa.array([text]))
+    h = decontaminate.hits_of(s.data, s.offsets, words, tables)
+    assert (h.n_words[0], h.n_hit[0], len(h.items)) == tuple(x if isinstance(x, int) else len(x) for x in brute(text, items))
+
+
+def test_tables_are_small():
+    items = [(str(k), " ".join(f"w{k}x{j}" for j in range(200))) for k in range(200)]
+    ids, words, tables = decontaminate.compile_patterns(items)
+    size = sum(x.nbytes for x in words) + sum(x.nbytes for t in tables for x in t if hasattr(x, "nbytes"))
+    assert size < 120 * 200 * 200
