@@ -1,8 +1,9 @@
 """URL filters (operator 4): a Bloom filter cascade over listed keys.
 
 A key is a host followed by the beginning of a path (`example.com/en/7`).  A
-url's candidate keys are its host and every parent domain, each with every
-prefix of its path whose length some listed key has.  The first level of the
+url's candidate keys are its host and every parent domain with as many labels as
+some listed key has, each with every prefix of its path as long as some listed
+key's.  The first level of the
 cascade holds the listed keys, the second those keys of the whole corpus that
 pass the first without being listed, the third the listed keys that pass the
 second, and so on until a level lets nothing wrong through.  Over the corpus's
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import map_arrow, mix
 
 #: The rules of the query's contract, (host, path, verdict).
 RULES = [
@@ -100,11 +101,13 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _candidates(pages: DataFrame, lengths: list[int]) -> DataFrame:
+def _candidates(pages: DataFrame, labels: list[int], lengths: list[int]) -> DataFrame:
     """Adds ``keys``: candidate keys, longest first (at equal length the longer
-    host first), and two 64-bit hashes of each."""
-    labels = F.split("host", r"\.", -1)
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    host first), and two 64-bit hashes of each.  Only parent domains whose number
+    of labels is in ``labels`` and prefixes of ``lengths`` can be listed, so no
+    others are made: a url costs no more for having many labels."""
+    there = F.length("host") - F.length(F.replace(F.col("host"), F.lit("."), F.lit(""))) + 1
+    hosts = F.transform(F.filter(F.array(*[F.lit(n) for n in labels]), lambda n: n <= there), lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
     cut = F.array(*[F.lit(n) for n in lengths])
     keys = F.flatten(
         F.transform(hosts, lambda h: F.transform(F.filter(cut, lambda n: n <= F.length("path")), lambda n: F.struct((-F.length(h) - n).alias("order"), (-F.length(h)).alias("host_order"), F.concat(h, F.substring(F.col("path"), F.lit(1), n)).alias("key"))))
@@ -136,7 +139,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: s
     listed = {f"{host}{path}": verdict for host, path, verdict in rules}
     lengths = sorted({len(path) for _, path, _ in rules} or {0}, reverse=True)
     base = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    keyed = _candidates(base, lengths)
+    labels = sorted({host.count(".") + 1 for host, _, _ in rules} or {1})
+    keyed = _candidates(base, labels, lengths)
 
     hashed = spark.createDataFrame([(k, v) for k, v in listed.items()] or [("", "allow")], "key string, verdict string").select("verdict", F.xxhash64("key").alias("one"), F.xxhash64("key", F.lit(1)).alias("two")).toPandas()
     if not listed:
@@ -155,7 +159,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: s
             pairs = np.unique(np.stack([one[at], two[at]], 1), axis=0) if len(at) else np.zeros((0, 2), np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy().view(np.int64)), pa.array(pairs[:, 1].copy().view(np.int64))], ["one", "two"])
 
-    others = keyed.select("one", "two").mapInArrow(wrong, "one long, two long").distinct().toPandas()
+    others = map_arrow(keyed.select("one", "two"), wrong, "one long, two long").distinct().toPandas()
     levels = build(inside, pick(others), first)
     # among listed keys alone: which of them block
     blocks = (hashed["verdict"] == "block").to_numpy()
@@ -181,7 +185,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: s
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), batch.column("path"), rule, pa.array(np.where(blocked, "block", "allow"), pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
     id_type = base.schema["page_id"].dataType.simpleString()
-    return keyed.mapInArrow(verdict_of, f"page_id {id_type}, host string, path string, rule string, verdict string")
+    return map_arrow(keyed, verdict_of, f"page_id {id_type}, host string, path string, rule string, verdict string")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
