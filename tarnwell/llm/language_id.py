@@ -12,28 +12,30 @@ slice depends on its bytes alone and every byte of a text is labelled.
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import flat_ranges, hash_below, text_slices
+from .common import flat_ranges, hash_below, map_arrow, text_slices
 
 STRETCH = 64
 HIDDEN = 12
 BATCH = 4096  # stretches read side by side
+CELLS = 1 << 21  # and fewer where there are many languages: probabilities in a step
 UNKNOWN = "und"
-MAX_LANGUAGES = 500  # more are refused
-#: Bounds of the training sample: rows of each language, and characters of each.
+#: Bounds of the training sample: rows of each language, rows of all (but one of
+#: each language at least), and characters of each row.
 SAMPLE_ROWS = 600
+SAMPLE_TOTAL = 300_000
 SAMPLE_CHARS = 512
 #: Training steps for up to FEW languages; more languages get more in proportion.
 STEPS = 300
 FEW = 4
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 class Direction(NamedTuple):
@@ -104,9 +106,10 @@ def pooled(m: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(len(size)), pieces)
     total = np.zeros((len(size), len(m.languages)))
     padded = np.concatenate((data, np.zeros(STRETCH, np.uint8)))
-    for k in range(0, len(start), BATCH):
-        own = length[k : k + BATCH]
-        stretches = padded[start[k : k + BATCH, None] + np.arange(STRETCH)]
+    batch = max(64, min(BATCH, CELLS // max(1, len(m.languages))))
+    for k in range(0, len(start), batch):
+        own = length[k : k + batch]
+        stretches = padded[start[k : k + batch, None] + np.arange(STRETCH)]
         stretches[np.arange(STRETCH) >= own[:, None]] = 0
         sums = np.zeros((len(own), len(m.languages)), np.float32)
         full = int(own.min())
@@ -114,7 +117,7 @@ def pooled(m: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             if t >= full:
                 p *= (t < own)[:, None]
             sums += p
-        np.add.at(total, owner[k : k + BATCH], sums)
+        np.add.at(total, owner[k : k + batch], sums)
     return total / np.maximum(size, 1)[:, None]
 
 
@@ -206,21 +209,21 @@ def remainder(id_col: str, by: int) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, steps: int | None = None) -> Model:
-    """Learn from rows with a language, a text and an id whose crc32 modulo 3 is
-    not 1: of each language the ``sample_rows`` rows with the smallest hash of the
-    id, and of each of them SAMPLE_CHARS characters from a hashed place.  Without
-    ``steps`` they grow with the languages, so that each has its share of
-    stretches.  No such rows give a model without languages; more than
-    MAX_LANGUAGES languages are an error."""
+    """Learn from rows with a language, a text that isn't empty and an id whose
+    crc32 modulo 3 is not 1: of each language the ``sample_rows`` rows (fewer if
+    that came to more than SAMPLE_TOTAL) with the smallest hash of the id, and of
+    each of them SAMPLE_CHARS characters from a hashed place.  Every language that
+    occurs is learned.  Without ``steps`` they grow with the languages, so that
+    each has its share of stretches.  No such rows give a model without
+    languages."""
     order, text = F.xxhash64(F.col(id_col).cast("string")), F.col(text_col)
     place = F.pmod(order, F.greatest(F.length(text) - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
-    rows = docs.filter((remainder(id_col, 3) != 1) & F.col(lang_col).isNotNull())
+    rows = docs.filter((remainder(id_col, 3) != 1) & F.col(lang_col).isNotNull() & (F.length(text) > 0))
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), order.alias("order"), text.alias("text"), place.alias("place"))
-    totals = rows.groupBy("lang").agg(F.count("*").alias("total")).limit(MAX_LANGUAGES + 1).collect()
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} languages to learn")
+    totals = rows.groupBy("lang").agg(F.count("*").alias("total")).collect()  # a row for each language
+    sample_rows = max(1, min(sample_rows, SAMPLE_TOTAL // max(1, len(totals))))
     counts = docs.sparkSession.createDataFrame(totals, "lang string, total long")
-    rows = rows.join(F.broadcast(counts), "lang").filter(hash_below(F.col("order"), sample_rows, F.col("total")) & (F.length("text") > 0))
+    rows = rows.join(F.broadcast(counts), "lang").filter(hash_below(F.col("order"), sample_rows, F.col("total")))
     rows = rows.select("lang", "order", F.substring("text", F.col("place"), F.lit(SAMPLE_CHARS)).alias("text"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "text")))
     sample = ranked.filter(F.col("rank") <= sample_rows).select("lang", "order", "text").collect()
@@ -263,7 +266,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(label, f"doc_id {id_type}, lang_pred string, score double")
+    return map_arrow(rows, label, f"doc_id {id_type}, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model, least: float, languages: list[str] | None = None, text_col: str = "text") -> DataFrame:
@@ -279,7 +282,7 @@ def accepted(docs: DataFrame, model: Model, least: float, languages: list[str] |
             masks = [good[best] & (score >= least) for best, score in (_judged(m, s) for s in text_slices(batch.column(column)))]
             yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *masks])))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_arrow(docs, keep, docs.schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
