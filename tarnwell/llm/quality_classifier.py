@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, hash_below, mix, span_hashes, text_slices, words_of
+from .common import NOT_SPACE, hash_below, map_arrow, mix, span_hashes, text_slices, words_of
 from .language_id import remainder
 
 SLOTS = 1 << 16
@@ -121,7 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from labelled rows whose crc32 of the id modulo 4 is not 2: of each
     label the ``sample_rows`` rows with the smallest hash of the id, and of each
     text SAMPLE_CHARS characters from a hashed place.  Null labels, ids and
-    texts are left out; without rows every score is one half."""
+    texts are left out; of rows with equal ids the text with the smallest hash
+    counts; without rows every score is one half."""
     order = F.xxhash64(F.col(id_col).cast("string"))
     known = labels.filter((remainder(id_col, 4) != 2) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"), order.alias("order")).distinct()
     totals = dict(known.groupBy("label").count().collect())
@@ -131,7 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     text = F.col(text_col)
     place = F.pmod(order, F.greatest(F.length(text) - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
     rows = docs.select(F.col(id_col).alias("doc_id"), F.substring(text, place, F.lit(SAMPLE_CHARS)).alias("text")).filter("text IS NOT NULL")
-    sample = sorted((r.order, r.label, r.text) for r in rows.join(F.broadcast(ids), "doc_id").select("order", "label", "text").collect())
+    # one text an id, however many rows have it
+    chosen_rows = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "order", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    sample = sorted((r.order, r.label, r.text) for r in chosen_rows.select("order", "label", "text").collect())
     return train([t.encode() for _, _, t in sample], [k for _, k, _ in sample], epochs)
 
 
@@ -151,7 +154,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(judge, f"doc_id {id_type}, score double, predicted int")
+    return map_arrow(rows, judge, f"doc_id {id_type}, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -164,7 +167,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_c
             masks = [scores(shared.value, s.data, s.offsets) >= threshold for s in text_slices(batch.column(column))]
             yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *masks])))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_arrow(docs, keep, docs.schema)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
