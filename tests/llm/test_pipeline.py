@@ -1,7 +1,7 @@
 """The pipeline on a fixture, each stage against a plain decision on its input."""
 
 import corpus_pipeline
-from tarnwell.llm.common import stored
+from tarnwell.sources.scratch import stored
 
 from .test_near_dup import brute
 
