@@ -3,46 +3,52 @@
 An analyzer profile is the pluggable point: a column expression that cuts the
 words, and a morphology table (form, lemma, pos, ord) that gives the lemma of a
 form (that of ord 0) and the forms whose part of speech is not indexed.  A form
-that is not in the table is its own lemma.
+that is not in the table is its own lemma.  The table is a seed in the profile or
+one of any size, given as a `Dictionary`.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MORPH_SCHEMA = "form string, lemma string, pos string, ord int"
 #: Interjection, preposition, conjunction, pronoun.
 STOP_POS = ["МЕЖД", "ПРЕДЛ", "СОЮЗ", "МС"]
+#: Letters of Russian words (ё is folded before), and those that cut
+#: a word short when they are doubled at its end.
+RUSSIAN_LETTERS = "а-я"
+RUSSIAN_DOUBLED = "бвгджзклмнпрстхцчшщъыь"
 
+#: Steps from a text in lower case to its words: patterns that become a space, then
+#: the pattern of a word.  Java and Python read them alike.
+RUSSIAN_STEPS = [rf"[^{RUSSIAN_LETTERS}\p{{Z}}]", rf"([{RUSSIAN_DOUBLED}])\1+\p{{Z}}"], rf"[{RUSSIAN_LETTERS}]{{2,}}"
+LATIN_STEPS = [], r"\p{Ll}{2,}"
+BROADCAST_FORMS = 1_000_000
 
-def _russian_words(text: Column) -> Column:
-    """Lower case; other signs than Russian letters and separators are spaces; a
-    doubled consonant goes with the separator after it (words are cut short
-    there, as in the index this profile agrees with)."""
-    text = F.regexp_replace(F.lower(text), r"([^а-яъ\p{Z}])", " ")
-    text = F.regexp_replace(text, r"([б-джзк-н-п-т-х-ь])\1+[\p{Z}\p{Punct}]", " ")
-    return F.filter(F.split(text, r"\p{Z}+"), lambda w: w.rlike(r"^[а-яъ]{2,}$"))
 
+def _words(steps: tuple[list[str], str]) -> Callable[[Column], Column]:
+    def cut(text: Column) -> Column:
+        text = F.lower(text)
+        for pattern in steps[0]:
+            text = F.regexp_replace(text, pattern, " ")
+        return F.regexp_extract_all(text, F.lit(steps[1]), F.lit(0))
 
-def _latin_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{Ll}]{2,})"), F.lit(1))
+    return cut
 
 
-def _russian_words_py(text: str) -> list[str]:
-    text = re.sub(r"[^а-яъ    -     　]", " ", text.lower())
-    text = re.sub(r"([б-джзк-н-п-т-х-ь])\1+[\s!-/:-@\[-`{-~]", " ", text)
-    return [w for w in text.split() if re.fullmatch(r"[а-яъ]{2,}", w)]
+def _words_py(steps: tuple[list[str], str]) -> Callable[[str], list[str]]:
+    def cut(text: str) -> list[str]:
+        text = text.lower()
+        for pattern in steps[0]:
+            text = regex.sub(pattern, " ", text)
+        return regex.findall(steps[1], text)
 
-
-def _latin_words_py(text: str) -> list[str]:
-    import regex
-
-    return regex.findall(r"\p{Ll}{2,}", text.lower())
+    return cut
 
 
 @dataclass(frozen=True)
@@ -59,46 +65,73 @@ class Analyzer:
         return spark.createDataFrame(list(self.morph), MORPH_SCHEMA)
 
 
+@dataclass(frozen=True)
+class Dictionary:
+    """forms: (form, known, stop), one row a form: its lemma, null if it has none,
+    and whether any reading is of a stop class.  small: whether the table was
+    counted and may be broadcast."""
+
+    forms: DataFrame
+    small: bool
+
+    @staticmethod
+    def of(morph: DataFrame, most: int = BROADCAST_FORMS) -> Dictionary:
+        """The dictionary of a morphology table, counted once."""
+        forms = _forms(morph)
+        return Dictionary(forms, forms.limit(most + 1).count() <= most)
+
+    @staticmethod
+    def seed(spark: SparkSession, analyzer: Analyzer) -> Dictionary:
+        """That of a profile's own few forms."""
+        return Dictionary(_forms(analyzer.morph_table(spark)), len(analyzer.morph) <= BROADCAST_FORMS)
+
+    def readings(self, words: DataFrame) -> tuple[dict[str, str], set[str]]:
+        """Lemmas and stop forms among the rows (word) of some pages."""
+        found = words.distinct().join(self.forms, F.col("word") == F.col("form")).select("form", "known", "stop").collect()
+        return {r.form: r.known for r in found if r.known is not None}, {r.form for r in found if r.stop}
+
+
 #: A seed dictionary, enough for the tests; a full one is a table
 #: of the same four columns.
 RUSSIAN_SEED = (
-    ("лошадь", "лошадь", "С", 0), ("лошади", "лошадь", "С", 0), ("лошадях", "лошадь", "С", 0), ("лошадей", "лошадь", "С", 0),
-    ("дикой", "дикий", "П", 0), ("дикие", "дикий", "П", 0), ("расписание", "расписание", "С", 0),
+    ("мельница", "мельница", "С", 0), ("мельницы", "мельница", "С", 0), ("мельницу", "мельница", "С", 0), ("мельниц", "мельница", "С", 0),
+    ("старый", "старый", "П", 0), ("старая", "старый", "П", 0), ("старые", "старый", "П", 0),
     ("или", "или", "СОЮЗ", 0), ("и", "и", "СОЮЗ", 0), ("но", "но", "СОЮЗ", 0), ("на", "на", "ПРЕДЛ", 0), ("до", "до", "ПРЕДЛ", 0),
     ("он", "он", "МС", 0), ("она", "она", "МС", 0), ("ах", "ах", "МЕЖД", 0),
 )
 #: Conjunctions of the four languages of the Latin profile.
 LATIN_STOP = ("and", "und", "et", "por")
 
-RUSSIAN = Analyzer("ru", _russian_words, _russian_words_py, RUSSIAN_SEED)
-LATIN = Analyzer("latin", _latin_words, _latin_words_py, tuple((w, w, "СОЮЗ", 0) for w in LATIN_STOP))
+RUSSIAN = Analyzer("ru", _words(RUSSIAN_STEPS), _words_py(RUSSIAN_STEPS), RUSSIAN_SEED)
+LATIN = Analyzer("latin", _words(LATIN_STEPS), _words_py(LATIN_STEPS), tuple((w, w, "СОЮЗ", 0) for w in LATIN_STOP))
 
 
-def stop_forms(morph: DataFrame) -> DataFrame:
-    """Forms any of whose readings is a stop class."""
-    hit = F.lit(False)
+def _forms(morph: DataFrame) -> DataFrame:
+    stop = F.lit(False)
     for pos in STOP_POS:
-        hit = hit | F.col("pos").contains(pos)
-    return morph.filter(hit).select("form").distinct()
-
-
-def first_lemmas(morph: DataFrame) -> DataFrame:
-    return morph.filter("ord = 0").groupBy("form").agg(F.min("lemma").alias("lemma"))
+        stop = stop | F.coalesce(F.col("pos").contains(pos), F.lit(False))
+    return morph.groupBy("form").agg(F.min(F.when(F.col("ord") == 0, F.col("lemma"))).alias("known"), F.bool_or(stop).alias("stop"))
 
 
-def lemmas_of_words(words: DataFrame, morph: DataFrame, form_col: str = "word") -> DataFrame:
-    """Adds ``lemma`` to rows of words and drops stop forms.  Spark broadcasts
-    the two dictionary sides while their size allows, and shuffles beyond."""
-    stops, lemmas = stop_forms(morph), first_lemmas(morph)
-    kept = words.join(stops, words[form_col] == stops["form"], "left_anti")
-    return kept.join(lemmas.withColumnRenamed("lemma", "known").withColumnRenamed("form", "known_form"), F.col(form_col) == F.col("known_form"), "left").withColumn("lemma", F.coalesce("known", form_col)).drop("known", "known_form")
+def lemmas_of_words(words: DataFrame, dictionary: Dictionary, form_col: str = "word") -> DataFrame:
+    """Adds ``lemma`` to rows of words and drops stop forms.  A small dictionary is
+    broadcast; of a large one only the forms that the words have go on, so that
+    the rows of frequent words are not shuffled where those are few."""
+    forms = dictionary.forms
+    if dictionary.small:
+        forms = F.broadcast(forms)
+    else:
+        met = words.select(F.col(form_col).alias("form")).distinct()
+        forms = forms.join(met, "form", "left_semi").filter(F.col("stop") | (F.col("known") != F.col("form")))
+    found = words.join(forms.withColumnRenamed("form", "_form"), F.col(form_col) == F.col("_form"), "left").filter(~F.coalesce("stop", F.lit(False)))
+    return found.withColumn("lemma", F.coalesce("known", form_col)).drop("_form", "known", "stop")
 
 
-def query_lemmas(queries: DataFrame, analyzer: Analyzer, morph: DataFrame | None = None) -> DataFrame:
+def query_lemmas(queries: DataFrame, analyzer: Analyzer, dictionary: Dictionary | None = None) -> DataFrame:
     """(query_id, lemma), each once, of queries (query_id, query).  Blank queries
     have none."""
     from .text import clean_text
 
-    morph = analyzer.morph_table(queries.sparkSession) if morph is None else morph
+    dictionary = dictionary or Dictionary.seed(queries.sparkSession, analyzer)
     words = queries.select("query_id", F.explode(analyzer.words(clean_text(F.col("query")))).alias("word"))
-    return lemmas_of_words(words, morph).select("query_id", "lemma").distinct()
+    return lemmas_of_words(words, dictionary).select("query_id", "lemma").distinct()

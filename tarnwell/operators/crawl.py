@@ -1,19 +1,18 @@
 """Crawling an offline corpus of fetches, breadth first.
 
-Each round joins the frontier with the corpus, takes the links of good pages and
-drops what was visited.  The rounds are driven from the driver, the data are not:
-frontier and visited set are tables in the shared folder, and only the count of
-the frontier comes back.
+The links of good pages are taken once.  Each round joins the frontier with them
+and drops what was visited.  The rounds are driven from the driver, the data are
+not: links, frontier and visited set are tables in the shared folder, and only
+whether the frontier is empty comes back.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from ..sources.scratch import shared_folder, stored
 
 #: Content types whose links are followed.
 LINK_TYPES = ["text/plain", "text/html", "text/xml", "application/xhtml+xml", "application/xml", "application/rtf"]
@@ -45,31 +44,40 @@ def page_key(url: Column) -> Column:
     return F.lower(urls.remove_trailing_slash(url))
 
 
-def frontier_step(frontier: DataFrame, visited: DataFrame, fetches: DataFrame) -> DataFrame:
-    """(site_url, page_url) of pages first seen from ``frontier``."""
-    reached = fetches.join(frontier.select("site_url", "page_url"), "page_url", "left_semi")
-    found = good_links(reached).join(frontier, "page_url").select("site_url", F.col("link").alias("page_url"))
-    found = found.withColumn("key", page_key(F.col("page_url")))
-    found = found.groupBy("site_url", "key").agg(F.min("page_url").alias("page_url"))
-    known = visited.select("site_url", page_key(F.col("page_url")).alias("key"))
-    return found.join(known, ["site_url", "key"], "left_anti").select("site_url", "page_url")
+def followed(fetches: DataFrame) -> DataFrame:
+    """(key, link, link_key): the links a crawler follows from each page, by the
+    page's key; what several stored forms of one url link to counts together."""
+    found = good_links(fetches)
+    return found.select(page_key(F.col("page_url")).alias("key"), "link", page_key(F.col("link")).alias("link_key")).distinct()
+
+
+def frontier_step(frontier: DataFrame, visited: DataFrame, edges: DataFrame) -> DataFrame:
+    """(site_url, page_url) of pages first seen from ``frontier`` along ``edges``
+    (of ``followed``).  Pages are met by key, so a link with a trailing slash finds
+    the page without one."""
+    own = frontier.select("site_url", page_key(F.col("page_url")).alias("key"))
+    found = edges.join(own, "key").groupBy("site_url", "link_key").agg(F.min("link").alias("page_url"))
+    known = visited.select("site_url", page_key(F.col("page_url")).alias("link_key"))
+    return found.join(known, ["site_url", "link_key"], "left_anti").select("site_url", "page_url")
 
 
 def crawl(sites: DataFrame, fetches: DataFrame, max_depth: int | None = None, cancelled=lambda: False) -> DataFrame:
     """(site_url, page_url, depth) of all pages reached from the sites' home
-    pages; ``max_depth`` 0 takes the home pages only."""
+    pages; ``max_depth`` 0 takes the home pages only.  Pages are read once, for
+    their links; the rounds join small tables of urls."""
     spark: SparkSession = sites.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/crawl-{uuid.uuid4().hex}"
+    root = shared_folder(spark, "crawl")
     schema = "site_url string, page_url string, depth int"
     frontier = sites.select("site_url", F.col("site_url").alias("page_url"))
-    depth = 0
+    edges, depth = None, 0
     while True:
-        frontier.select("site_url", "page_url", F.lit(depth).alias("depth")).write.mode("append").parquet(f"{root}/visited")
-        visited = spark.read.schema(schema).parquet(f"{root}/visited")
+        frontier.select("site_url", "page_url", F.lit(depth).alias("depth")).write.parquet(f"{root}/visited/depth-{depth}")
+        visited = spark.read.schema(schema).parquet(*[f"{root}/visited/depth-{k}" for k in range(depth + 1)])
         if cancelled() or depth == max_depth:
             return visited
-        frontier_step(visited.filter(F.col("depth") == depth), visited, fetches).write.parquet(f"{root}/frontier-{depth}")
-        frontier = spark.read.schema("site_url string, page_url string").parquet(f"{root}/frontier-{depth}")
+        if edges is None:
+            edges = stored(followed(fetches).repartitionByRange("key").sortWithinPartitions("key"), "edges")
+        frontier = stored(frontier_step(visited.filter(F.col("depth") == depth), visited, edges), "frontier")
         if frontier.isEmpty():
             return visited
         depth += 1

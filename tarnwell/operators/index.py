@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..functions.analyzer import Analyzer, lemmas_of_words
+from ..functions.analyzer import Analyzer, Dictionary, lemmas_of_words
 from ..functions.text import clean_text
 
 PAGE_KEY = ["site_url", "path"]
@@ -47,17 +47,18 @@ def words_of(pages: DataFrame, analyzer: Analyzer, is_html: bool = True) -> Data
     return pages.select(*PAGE_KEY, F.explode(analyzer.words(text)).alias("word"))
 
 
-def postings(pages: DataFrame, analyzer: Analyzer, morph: DataFrame | None = None, is_html: bool = True) -> DataFrame:
+def postings(pages: DataFrame, analyzer: Analyzer, dictionary: Dictionary | None = None, is_html: bool = True) -> DataFrame:
     """(site_url, path, lemma, rank): how often a lemma stands on a page with code
-    200.  A page's words are counted where the page is read, so what is shuffled
-    is a row for each word of a page, not for each of its places; forms become
-    lemmas after that, once for each different word."""
-    morph = analyzer.morph_table(pages.sparkSession) if morph is None else morph
-    counted = words_of(good_pages(pages), analyzer, is_html).groupBy(*PAGE_KEY, "word").agg(F.count("*").alias("n"))
-    lemmas = lemmas_of_words(counted, morph)
-    # forms of one lemma add up; a dictionary too large to broadcast is then met by
-    # counted words only, not by every word of every page
-    return lemmas.groupBy(*PAGE_KEY, "lemma").agg(F.sum("n").cast("float").alias("rank"))
+    200.  With a dictionary that may be broadcast, words become lemmas where the
+    page is read and are counted there, so the one exchange carries a row for each
+    lemma of a page.  A larger one is met by counted words, and forms of one lemma
+    add up after that."""
+    dictionary = dictionary or Dictionary.seed(pages.sparkSession, analyzer)
+    words = words_of(good_pages(pages), analyzer, is_html)
+    if dictionary.small:
+        return lemmas_of_words(words, dictionary).groupBy(*PAGE_KEY, "lemma").agg(F.count("*").cast("float").alias("rank"))
+    counted = words.groupBy(*PAGE_KEY, "word").agg(F.count("*").alias("n"))
+    return lemmas_of_words(counted, dictionary).groupBy(*PAGE_KEY, "lemma").agg(F.sum("n").cast("float").alias("rank"))
 
 
 def frequencies(posts: DataFrame) -> DataFrame:
@@ -91,11 +92,11 @@ def delete_pages(pages: DataFrame, posts: DataFrame, lemmas: DataFrame, keys: Da
     return pages.join(keys, PAGE_KEY, "left_anti"), posts.join(keys, PAGE_KEY, "left_anti"), apply_deltas(lemmas, gone)
 
 
-def upsert_pages(pages: DataFrame, posts: DataFrame, lemmas: DataFrame, new: DataFrame, analyzer: Analyzer, morph: DataFrame | None = None, is_html: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def upsert_pages(pages: DataFrame, posts: DataFrame, lemmas: DataFrame, new: DataFrame, analyzer: Analyzer, dictionary: Dictionary | None = None, is_html: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables with the pages ``new`` (keys unique) put in or replaced.
     Only the new pages are analyzed."""
     rest, rest_posts, rest_lemmas = delete_pages(pages, posts, lemmas, new)
-    own = postings(new, analyzer, morph, is_html)
+    own = postings(new, analyzer, dictionary, is_html)
     added = own.groupBy(*LEMMA_KEY).agg(F.count("*").cast("int").alias("delta"))
     return rest.unionByName(new.select(rest.columns)), rest_posts.unionByName(own), apply_deltas(rest_lemmas, added)
 

@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 FREQUENCY_SHARE = 0.9
 
 
-def frequency_limits(pages: DataFrame, share: float = FREQUENCY_SHARE) -> DataFrame:
-    """(site_url, good_pages, frequency_limit)."""
-    counted = pages.groupBy("site_url").agg(F.count_if(F.col("code").eqNullSafe(200)).alias("good_pages"))
-    return counted.withColumn("frequency_limit", F.floor(F.col("good_pages") * F.lit(share)).cast("int"))
+def frequency_limits(counts: DataFrame, share: float = FREQUENCY_SHARE) -> DataFrame:
+    """(site_url, good_pages, frequency_limit) of (site_url, good_pages)."""
+    return counts.select("site_url", "good_pages").withColumn("frequency_limit", F.floor(F.col("good_pages") * F.lit(share)).cast("int"))
 
 
 def usable_lemmas(queries: DataFrame, lemmas: DataFrame, limits: DataFrame) -> DataFrame:
@@ -47,10 +46,19 @@ def with_relative(absolute: DataFrame) -> DataFrame:
     return absolute.join(best, "query_id").select("query_id", "site_url", "path", "abs_relevance", (F.col("abs_relevance") / F.col("best")).cast("float").alias("relevance"), "total")
 
 
-def search(queries: DataFrame, lemmas: DataFrame, posts: DataFrame, pages: DataFrame) -> DataFrame:
+MOST_WORDS = 1000
+
+
+def search(queries: DataFrame, lemmas: DataFrame, posts: DataFrame, counts: DataFrame) -> DataFrame:
     """(query_id, site_url, path, abs_relevance, relevance, total) of all pages
-    that ``queries`` (query_id, lemma) find; not yet in order."""
-    usable = usable_lemmas(queries, lemmas, frequency_limits(pages))
+    that ``queries`` (query_id, lemma) find; not yet in order.  ``counts`` has the
+    good pages of each site.  The words of a batch of queries are looked up first,
+    if they are no more than MOST_WORDS, and become conditions of the scans."""
+    words = [r[0] for r in queries.select("lemma").distinct().limit(MOST_WORDS + 1).collect()]
+    if len(words) <= MOST_WORDS:
+        wanted = F.col("lemma").isin(words) if words else F.lit(False)
+        lemmas, posts = lemmas.filter(wanted), posts.filter(wanted)
+    usable = usable_lemmas(queries, lemmas, frequency_limits(counts))
     return with_relative(absolute_relevance(usable, posts))
 
 

@@ -8,12 +8,13 @@ with hits in bold, is made for the pages of a result only, by a pandas function.
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.analyzer import Analyzer
+
 AROUND = 2
 MOST = 250
 DOTS = "..."
@@ -77,8 +78,8 @@ def bold(text: str, forms: set[str]) -> str:
     the end of a longer word is in bold too."""
     if not forms:
         return text
-    any_form = "|".join(re.escape(f) for f in sorted(forms, key=lambda f: (-len(f), f)))
-    return re.sub(rf"(?<!<b>)({any_form})(?![^\W\d_])", r"<b>\1</b>", text)
+    any_form = "|".join(regex.escape(f) for f in sorted(forms, key=lambda f: (-len(f), f)))
+    return regex.sub(rf"(?<!<b>)({any_form})(?!\p{{L}})", r"<b>\1</b>", text)
 
 
 def make_snippet(text: str, wanted: set[str], words: list[str], lemma: dict[str, str]) -> str:
@@ -107,17 +108,14 @@ def make_snippet(text: str, wanted: set[str], words: list[str], lemma: dict[str,
     return bold(out, {located[k][1] for k in places})
 
 
-def snippet_column(text: Column, lemmas: Column, analyzer, morph: list[tuple] | None = None) -> Column:
-    """The snippet of each row; for the few rows of a result page."""
-    rows = analyzer.morph if morph is None else morph
-    lemma = {form: name for form, name, _, ord_ in sorted(rows, key=lambda r: -r[3]) if ord_ == 0}
-    from ..functions.analyzer import STOP_POS
-
-    stops = {form for form, _, pos, _ in rows if any(p in pos for p in STOP_POS)}
+def snippet_column(text: Column, wanted: Column, analyzer: Analyzer, lemma: dict[str, str], stops: set[str]) -> Column:
+    """The snippet of each row, made one by one in Python; meant for the rows of a
+    result page.  ``lemma`` and ``stops`` are what a dictionary says of the words
+    on those pages."""
     cut = analyzer.words_py
 
     @F.pandas_udf("string")
     def snippets(texts: pd.Series, wanted: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else make_snippet(t, set(w), [x for x in cut(t) if x not in stops], lemma) for t, w in zip(texts, wanted, strict=True)], dtype=object)
 
-    return snippets(text, lemmas)
+    return snippets(text, wanted)

@@ -18,16 +18,17 @@ def lemmas_per_site(lemmas: DataFrame) -> DataFrame:
     return lemmas.groupBy("site_url").agg(F.count("*").alias("lemmas"))
 
 
-def totals(sites: DataFrame, pages: DataFrame, lemmas: DataFrame) -> DataFrame:
-    """One row: sites, pages, lemmas (a lemma on two sites counts twice), and
-    whether any site is being indexed.  Three one-row aggregates, side by side."""
+def totals(sites: DataFrame, counts: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """One row: sites, pages (the sum of ``counts``: site_url, pages), lemmas (a
+    lemma on two sites counts twice), and whether any site is being indexed.  Three
+    one-row aggregates, side by side."""
     s = sites.agg(F.count("*").alias("sites"), F.coalesce(F.bool_or(F.col("status") == "INDEXING"), F.lit(False)).alias("indexing"))
-    return s.crossJoin(pages.agg(F.count("*").alias("pages"))).crossJoin(lemmas.agg(F.count("*").alias("lemmas"))).select("sites", "pages", "lemmas", "indexing")
+    return s.crossJoin(counts.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"))).crossJoin(lemmas.agg(F.count("*").alias("lemmas"))).select("sites", "pages", "lemmas", "indexing")
 
 
-def detailed(sites: DataFrame, pages: DataFrame, lemmas: DataFrame) -> DataFrame:
+def detailed(sites: DataFrame, counts: DataFrame, lemmas: DataFrame) -> DataFrame:
     """A row for each site; sites without pages have zeros."""
-    out = sites.join(pages_per_site(pages), "site_url", "left").join(lemmas_per_site(lemmas), "site_url", "left")
+    out = sites.join(counts.select("site_url", "pages"), "site_url", "left").join(lemmas_per_site(lemmas), "site_url", "left")
     return out.select(
         F.col("site_url").alias("url"), "name", "status", F.unix_millis("status_time").alias("status_time"), F.col("last_error").alias("error"),
         F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("lemmas", F.lit(0)).alias("lemmas"),

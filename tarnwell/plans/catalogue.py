@@ -1,19 +1,23 @@
 """The queries of the site index and the same queries as DuckDB SQL.
 
 Pages come from the table `pages` (site: the origin of the url) or from
-`documents` (site: the source), words from the Latin profile.
+`documents` (site: the source), words from the Latin profile.  Queries on an index
+read a `Store` that the first of them builds; queries on building one don't.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..functions.analyzer import LATIN, LATIN_STOP, RUSSIAN, lemmas_of_words, query_lemmas
+from ..functions.analyzer import LATIN, LATIN_STOP, RUSSIAN, Dictionary, lemmas_of_words, query_lemmas
 from ..operators import crawl, index, search, snippet, stats, status
 from ..sources import document_pages, load, page_rows, unique_pages
-from .engine import NOTHING_FOUND
+from ..sources.scratch import shared_folder
+from .engine import NOTHING_FOUND, to_json
+from .store import Store
 
 QUERY_ROWS = [(1, "the of"), (2, "la les"), (3, "the ing"), (4, "der sch")]
 ONE_SITE, ONE_LEMMA, ONE_DOC = "src1", "the", "/1"
@@ -38,6 +42,21 @@ def _page_posts(spark: SparkSession, d: str) -> DataFrame:
     return index.postings(_site_pages(spark, d), LATIN)
 
 
+_stores: dict[tuple[str, str, str], Store] = {}
+
+
+def _store(spark: SparkSession, d: str, kind: str = "documents") -> Store:
+    """The index of a table, built once for a Spark application."""
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in _stores:
+        store = Store(spark, shared_folder(spark, "index"))
+        pages = _docs(spark, d) if kind == "documents" else _site_pages(spark, d)
+        pages = pages.select("site_url", "path", "code", "content", F.lit(None).cast("timestamp").alias("ts"))
+        store.build(pages, _sites(pages), LATIN, is_html=kind == "pages")
+        _stores[key] = store
+    return _stores[key]
+
+
 def _queries(spark: SparkSession) -> DataFrame:
     return query_lemmas(spark.createDataFrame(QUERY_ROWS, "query_id int, query string"), LATIN)
 
@@ -112,7 +131,7 @@ def tokenize_documents(spark, d):
 
 def token_stopword_filter(spark, d):
     words = index.words_of(_docs(spark, d), LATIN, is_html=False).groupBy("site_url", "word").agg(F.count("*").alias("n"))
-    return lemmas_of_words(words, LATIN.morph_table(spark)).select("site_url", "lemma", "n")
+    return lemmas_of_words(words, Dictionary.seed(spark, LATIN)).select("site_url", "lemma", "n")
 
 
 def double_letter_strip(spark, d):
@@ -139,25 +158,52 @@ def document_frequency(spark, d):
     return index.frequencies(_doc_posts(spark, d))
 
 
+def dictionary_frequency(spark, d):
+    """Words through a dictionary table: a plural in s is its singular, its second
+    reading counts for nothing, and words of four letters in n are prepositions."""
+    words = index.words_of(_docs(spark, d), LATIN, is_html=False).select(F.col("word").alias("form")).distinct()
+    plural = words.filter("length(form) > 3 AND form LIKE '%s'")
+    singular = F.expr("left(form, length(form) - 1)")
+    row = lambda rows, lemma, pos, n: rows.select("form", lemma.alias("lemma"), F.lit(pos).alias("pos"), F.lit(n).alias("ord"))
+    preposition = row(words.filter("length(form) = 4 AND form LIKE '%n'"), F.col("form"), "ПРЕДЛ", 1)
+    morph = row(plural, singular, "С", 0).unionByName(row(plural, F.lit("other"), "С", 1)).unionByName(preposition)
+    posts = index.postings(_docs(spark, d), LATIN, Dictionary.of(morph), is_html=False)
+    return posts.groupBy("site_url", "lemma").agg(F.sum("rank").cast("long").alias("words"), F.count("*").alias("pages"))
+
+
 def lemma_lookup(spark, d):
-    return index.lemma_row(index.frequencies(_doc_posts(spark, d)), ONE_SITE, ONE_LEMMA)
+    return index.lemma_row(_store(spark, d).lemmas(), ONE_SITE, ONE_LEMMA)
 
 
 def postings_by_lemma(spark, d):
-    return index.postings_by_lemma(_doc_posts(spark, d), ONE_SITE, ONE_LEMMA)
+    return index.postings_by_lemma(_store(spark, d).postings(), ONE_SITE, ONE_LEMMA)
+
+
+def _one_page(spark, d):
+    """The site of the one document."""
+    return load(spark, d, "documents").filter(f"doc_id = {ONE_DOC[1:]}").select("source").first()[0]
 
 
 def postings_by_page(spark, d):
-    return _doc_posts(spark, d).filter(F.col("path") == ONE_DOC)
+    return _store(spark, d).postings_by_page(_one_page(spark, d), ONE_DOC)
 
 
 def posting_by_lemma_page(spark, d):
-    return _doc_posts(spark, d).filter((F.col("path") == ONE_DOC) & (F.col("lemma") == ONE_LEMMA))
+    return index.posting(_store(spark, d).postings(), _one_page(spark, d), ONE_DOC, ONE_LEMMA)
+
+
+def _page_zero(spark, d):
+    return page_rows(spark, d).filter("page_id = 0").select("url", "site_url", "path").first()
 
 
 def page_lookup(spark, d):
-    first = _site_pages(spark, d).filter("page_id = 0").select("site_url", "path")
-    return _site_pages(spark, d).join(first, ["site_url", "path"]).select("page_id", "site_url", "path")
+    page = _page_zero(spark, d)
+    return index.page_by_path(_store(spark, d, "pages").pages(), page.site_url, page.path).select("site_url", "path", "code", F.md5("content").alias("digest"))
+
+
+def page_lookup_url(spark, d):
+    page = _page_zero(spark, d)
+    return index.page_by_url(_store(spark, d, "pages").pages(), page.site_url, page.url).select("site_url", "path", "code", F.md5("content").alias("digest"))
 
 
 def page_constructor(spark, d):
@@ -176,37 +222,37 @@ def responsive_pages_per_site(spark, d):
 
 
 def lemmas_per_site(spark, d):
-    return stats.lemmas_per_site(index.frequencies(_doc_posts(spark, d)))
+    return stats.lemmas_per_site(_store(spark, d).lemmas())
 
 
 def stats_total(spark, d):
-    pages = _docs(spark, d)
-    return stats.totals(_sites(pages), pages, index.frequencies(_doc_posts(spark, d)))
+    store = _store(spark, d)
+    return stats.totals(store.sites(), store.counts(), store.lemmas())
 
 
 def stats_detailed(spark, d):
-    pages = _docs(spark, d)
-    return stats.detailed(_sites(pages), pages, index.frequencies(_doc_posts(spark, d)))
+    store = _store(spark, d)
+    return stats.detailed(store.sites(), store.counts(), store.lemmas())
 
 
 def _page_search(spark, d):
-    posts = _page_posts(spark, d)
-    return _queries(spark), index.frequencies(posts), posts, _site_pages(spark, d)
+    store = _store(spark, d, "pages")
+    return _queries(spark), store.lemmas(), store.postings(), store.counts()
 
 
 def _doc_search(spark, d, site=None):
-    pages = _docs(spark, d) if site is None else _docs(spark, d).filter(F.col("site_url") == site)
-    posts = index.postings(pages, LATIN, is_html=False)
-    return _queries(spark), index.frequencies(posts), posts, pages
+    store = _store(spark, d)
+    scope = (lambda df: df) if site is None else (lambda df: df.filter(F.col("site_url") == site))
+    return _queries(spark), scope(store.lemmas()), scope(store.postings()), scope(store.counts())
 
 
 def lemma_frequency_limit(spark, d):
-    return search.frequency_limits(_site_pages(spark, d))
+    return search.frequency_limits(_store(spark, d, "pages").counts())
 
 
 def usable_query_lemmas(spark, d):
-    q, lemmas, _, pages = _page_search(spark, d)
-    return search.usable_lemmas(q, lemmas, search.frequency_limits(pages))
+    q, lemmas, _, counts = _page_search(spark, d)
+    return search.usable_lemmas(q, lemmas, search.frequency_limits(counts))
 
 
 def rarest_query_lemma(spark, d):
@@ -214,8 +260,8 @@ def rarest_query_lemma(spark, d):
 
 
 def search_abs_relevance(spark, d):
-    q, lemmas, posts, pages = _page_search(spark, d)
-    return search.absolute_relevance(search.usable_lemmas(q, lemmas, search.frequency_limits(pages)), posts)
+    q, lemmas, posts, counts = _page_search(spark, d)
+    return search.absolute_relevance(search.usable_lemmas(q, lemmas, search.frequency_limits(counts)), posts)
 
 
 def _rounded(found: DataFrame) -> DataFrame:
@@ -265,40 +311,75 @@ def snippet_bucketed(spark, d):
 
 def snippet_text(spark, d):
     wanted = F.array(F.lit("thing"), F.lit("with"))
-    rows = _docs(spark, d).select("site_url", "path", snippet.snippet_column(text.normalize_space(F.col("content")), wanted, LATIN).alias("snippet"))
+    rows = _docs(spark, d).select("site_url", "path", snippet.snippet_column(text.normalize_space(F.col("content")), wanted, LATIN, {}, set(LATIN_STOP)).alias("snippet"))
     return rows.filter("snippet <> ''")
 
 
 def _three(spark, d):
-    pages = _docs(spark, d)
-    posts = _doc_posts(spark, d)
-    return pages, posts, index.frequencies(posts)
+    store = _store(spark, d)
+    return store.table("pages"), store.postings(), store.lemmas()
 
 
-def index_delete_page(spark, d):
+def _page_digest(pages: DataFrame) -> DataFrame:
+    return pages.select("site_url", "path", "code", F.md5("content").alias("digest"))
+
+
+def _deleted(spark, d):
     pages, posts, lemmas = _three(spark, d)
-    return index.delete_pages(pages, posts, lemmas, pages.filter(F.col("path") == ONE_DOC))[2]
+    return index.delete_pages(pages, posts, lemmas, pages.filter(F.col("path") == ONE_DOC))
+
+
+def index_delete_page(spark, d):
+    return _deleted(spark, d)[2]
+
+
+def index_delete_page_postings(spark, d):
+    return _deleted(spark, d)[1]
+
+
+def index_delete_page_pages(spark, d):
+    return _page_digest(_deleted(spark, d)[0])
+
+
+def _upserted(spark, d):
+    """The index of ``_store`` with two pages put in anew, as a store of its own:
+    the base tables are built once, the update is a part."""
+    key = (spark.sparkContext.applicationId, d, "upserted")
+    if key not in _stores:
+        pages, posts, _ = _three(spark, d)
+        store = Store(spark, shared_folder(spark, "index"))
+        store._base(_store(spark, d).pages(), posts, _store(spark, d).sites())
+        new = pages.filter(F.col("path").isin("/1", "/2")).withColumns({"content": F.concat(F.lit("zebra the "), F.coalesce("content", F.lit(""))), "ts": F.lit(None).cast("timestamp")})
+        store.update(new, store.sites(), LATIN, is_html=False)
+        _stores[key] = store
+    return _stores[key]
 
 
 def index_upsert_page(spark, d):
-    pages, posts, lemmas = _three(spark, d)
-    new = pages.filter(F.col("path").isin("/1", "/2")).withColumn("content", F.concat(F.lit("zebra the "), F.substring("content", 1, 100)))
-    return index.upsert_pages(pages, posts, lemmas, new, LATIN, is_html=False)[2]
+    return _upserted(spark, d).lemmas()
+
+
+def index_upsert_page_postings(spark, d):
+    return _upserted(spark, d).postings()
+
+
+def index_upsert_page_pages(spark, d):
+    return _page_digest(_upserted(spark, d).pages())
 
 
 def frequency_increment(spark, d):
-    lemmas = index.frequencies(_doc_posts(spark, d))
+    lemmas = _store(spark, d).lemmas()
     keys = lemmas.filter("lemma = 'the'").select("site_url", "lemma").unionByName(lemmas.select("site_url").distinct().withColumn("lemma", F.lit("zebra")))
     return index.increase(lemmas, keys)
 
 
 def frequency_decrement(spark, d):
-    lemmas = index.frequencies(_doc_posts(spark, d))
+    lemmas = _store(spark, d).lemmas()
     return index.decrease(lemmas, lemmas.filter("lemma < 'b'").select("site_url", "lemma"))
 
 
 def page_update(spark, d):
-    old = document_pages(spark, d, all_good=False).withColumn("content", F.substring("content", 1, 20))
+    old = document_pages(spark, d, all_good=False)
     new = old.select("site_url", "path", F.when(F.length("path") % 2 == 0, 500).alias("code"), F.when(F.length("path") % 3 == 0, "").otherwise(F.concat("path", F.lit("!"))).alias("content"))
     return index.update_parse_info(old, new)
 
@@ -342,7 +423,8 @@ def _graph(spark, d):
     rows = load(spark, d, "pages").select("page_id")
     site, n = "https://site.example", F.col("page_id").cast("string")
     parent = F.concat(F.lit(f"{site}/"), n)
-    root = rows.filter("page_id % 2 = 0").agg(F.array_sort(F.collect_list(F.concat(F.lit('<a href="/'), n, F.lit('">x</a>')))).alias("l")).select(F.lit(site).alias("page_url"), F.array_join("l", " ").alias("body"))
+    # the home page is fetched once for each of its links
+    root = rows.filter("page_id % 2 = 0").select(F.lit(site).alias("page_url"), F.concat(F.lit('<a href="/'), n, F.lit('">x</a>')).alias("body"))
     pages = rows.select(parent.alias("page_url"), F.concat(F.lit('<a href="/'), n, F.lit('/below">x</a> <a href="/">home</a> <a href="/'), n, F.lit('/a.pdf">file</a>')).alias("body"))
     below = rows.filter("page_id % 4 = 0").select(F.concat(parent, F.lit("/below")).alias("page_url"), F.lit("<p>end</p>").alias("body"))
     return root.unionByName(pages).unionByName(below).select("page_url", F.lit(200).alias("code"), F.lit("text/html").alias("content_type"), "body", F.lit(None).cast("string").alias("error"), F.timestamp_seconds(F.lit(0)).alias("ts"))
@@ -354,7 +436,7 @@ def _root(spark):
 
 def crawl_frontier_step(spark, d):
     start = _root(spark).withColumn("page_url", F.col("site_url"))
-    return crawl.frontier_step(start, start, _graph(spark, d))
+    return crawl.frontier_step(start, start, crawl.followed(_graph(spark, d)))
 
 
 def crawl_closure(spark, d):
@@ -372,13 +454,21 @@ def crawl_pages(spark, d):
 
 def search_response_json(spark, d):
     """The first result page of each query as the JSON of a response."""
-    q, lemmas, posts, pages = _doc_search(spark, d)
-    top = search.result_page(search.search(q, lemmas, posts, pages), 0, LIMIT)
-    rows = top.groupBy("query_id").agg(F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("place", "site_url", "path", F.round(F.col("relevance").cast("double"), 4).alias("relevance")))).alias("data"))
-    data = F.transform("data", lambda r: F.struct(r["site_url"].alias("site"), r["path"].alias("uri"), r["relevance"].alias("relevance")))
+    top = search.result_page(search.search(*_doc_search(spark, d)), 0, LIMIT)
+    relevance = F.round(F.round(F.col("relevance").cast("double"), 6), 4)
+    rows = top.groupBy("query_id").agg(F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("place", "site_url", "path", relevance.alias("relevance")))).alias("data"))
     asked = spark.createDataFrame(QUERY_ROWS, "query_id int, query string").join(rows, "query_id", "left")
-    nothing = F.when(F.col("total").isNull(), F.concat(F.lit(NOTHING_FOUND), F.col("query")))
-    return asked.select("query_id", F.to_json(F.struct(F.lit(True).alias("result"), nothing.alias("error"), F.coalesce("total", F.lit(0)).alias("count"), F.coalesce(data, F.array().cast("array<struct<site:string,uri:string,relevance:double>>")).alias("data"))).alias("response"))
+
+    @F.pandas_udf("string")
+    def response(queries: pd.Series, totals: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for query, total, data in zip(queries, totals, found, strict=True):
+            none = data is None
+            rows = [] if none else [{"site": r["site_url"], "uri": r["path"], "relevance": r["relevance"]} for r in data]
+            out.append(to_json({"result": True, "error": NOTHING_FOUND + query if none else None, "count": 0 if none else int(total), "data": rows}))
+        return pd.Series(out, dtype=object)
+
+    return asked.select("query_id", response("query", "total", "data").alias("response"))
 
 
 QUERIES = {
@@ -386,10 +476,10 @@ QUERIES = {
     for f in (
         url_normalize, url_relative_path, url_is_file_link, url_page_in_site, site_of_page, page_links, page_good_links, page_link_counts, acceptable_content,
         page_title, page_clean_text_len, tokenize_documents, token_stopword_filter, double_letter_strip, term_frequency, page_term_frequency,
-        term_frequency_good_pages, document_frequency, lemma_lookup, postings_by_lemma, postings_by_page, posting_by_lemma_page, page_lookup, page_constructor,
+        term_frequency_good_pages, document_frequency, dictionary_frequency, lemma_lookup, postings_by_lemma, postings_by_page, posting_by_lemma_page, page_lookup, page_lookup_url, page_constructor,
         pages_per_site, responsive_pages_per_site, lemmas_per_site, stats_total, stats_detailed, lemma_frequency_limit, usable_query_lemmas,
         rarest_query_lemma, search_abs_relevance, search_ranked_all_sites, search_ranked_one_site, search_page2, search_total_count, search_batch,
-        snippet_hits, snippet_windows, snippet_bucketed, snippet_text, index_delete_page, index_upsert_page, frequency_increment, frequency_decrement,
+        snippet_hits, snippet_windows, snippet_bucketed, snippet_text, index_delete_page, index_delete_page_postings, index_delete_page_pages, index_upsert_page, index_upsert_page_postings, index_upsert_page_pages, frequency_increment, frequency_decrement,
         page_update, site_status_fold, home_page_accessible, index_finished_check, any_site_not_indexed, site_status_update, crawl_frontier_step, crawl_closure, crawl_pages, search_response_json,
     )
 }
@@ -507,6 +597,8 @@ _LOG = """log AS (
     CASE WHEN doc_id % 401 = 400 THEN 'timeout ' || doc_id END AS error, doc_id AS s FROM documents
 )"""
 
+_UPSERTED_POSTS = _DOC_POSTS.replace("doc_id, text FROM", "doc_id, CASE WHEN doc_id IN (1, 2) THEN 'zebra the ' || coalesce(text, '') ELSE text END AS text FROM", 1)
+
 SQL = {
     "url_normalize": f"SELECT page_id, {_SLASHLESS} AS url, {_ORIGIN} AS origin, {_ORIGIN} || {_RELATIVE} AS again FROM (SELECT *, {_SLASHLESS} AS rtrim_one FROM pages)",
     "url_relative_path": f"WITH {_PAGE_ROWS} SELECT page_id, site_url, path, path = '/' AS is_home FROM page_rows",
@@ -532,7 +624,13 @@ SQL = {
     "postings_by_lemma": f"WITH {_DOC_POSTS} SELECT site_url, path, lemma, rank FROM posts WHERE site_url = '{ONE_SITE}' AND lemma = '{ONE_LEMMA}'",
     "postings_by_page": f"WITH {_DOC_POSTS} SELECT site_url, path, lemma, rank FROM posts WHERE path = '{ONE_DOC}'",
     "posting_by_lemma_page": f"WITH {_DOC_POSTS} SELECT site_url, path, lemma, rank FROM posts WHERE path = '{ONE_DOC}' AND lemma = '{ONE_LEMMA}'",
-    "page_lookup": f"WITH {_PAGE_ROWS} SELECT p.page_id, site_url, path FROM site_pages p JOIN (SELECT site_url, path FROM site_pages WHERE page_id = 0) USING (site_url, path)",
+    "dictionary_frequency": f"""WITH {_DOC_PAGES}, words AS (
+  SELECT site_url, path, word FROM (SELECT site_url, path, unnest({_WORDS.format('text')}) AS word FROM doc_pages) WHERE NOT (length(word) = 4 AND word LIKE '%n')
+), ranks AS (
+  SELECT site_url, path, CASE WHEN length(word) > 3 AND word LIKE '%s' THEN left(word, length(word) - 1) ELSE word END AS lemma, count(*) AS n FROM words GROUP BY ALL
+) SELECT site_url, lemma, CAST(sum(n) AS BIGINT) AS words, count(*) AS pages FROM ranks GROUP BY ALL""",
+    "page_lookup": f"WITH {_PAGE_ROWS} SELECT site_url, path, 200 AS code, md5(html) AS digest FROM site_pages JOIN (SELECT site_url, path FROM page_rows WHERE page_id = 0) USING (site_url, path)",
+    "page_lookup_url": f"WITH {_PAGE_ROWS} SELECT site_url, path, 200 AS code, md5(html) AS digest FROM site_pages JOIN (SELECT site_url, path FROM page_rows WHERE page_id = 0) USING (site_url, path)",
     "page_constructor": f"WITH {_PAGE_ROWS} SELECT site_url, CASE WHEN path = '/' THEN '/' ELSE substr(url, length(site_url) + 1) END AS path, CAST(NULL AS INT) AS code, '' AS content, path AS saved_path FROM page_rows",
     "pages_per_site": "SELECT source AS site_url, count(*) AS pages FROM documents GROUP BY source",
     "responsive_pages_per_site": "SELECT source AS site_url, count(*) FILTER (doc_id % 17 <> 0) AS pages FROM documents GROUP BY source",
@@ -552,10 +650,14 @@ SQL = {
     "snippet_windows": f"WITH {_WINDOWS} SELECT * FROM islands",
     "snippet_bucketed": f"WITH {_WINDOWS} SELECT query_id, site_url, path, hits, string_agg(array_to_string(words[greatest(first_ord - 2, 0) + 1 : last_ord + 3], ' ') || '... ', '' ORDER BY first_ord) AS text FROM islands JOIN doc_words USING (site_url, path) GROUP BY ALL",
     "index_delete_page": f"WITH {_DOC_POSTS} SELECT site_url, lemma, CAST(count(*) AS INT) AS frequency FROM posts WHERE path <> '{ONE_DOC}' GROUP BY ALL",
-    "index_upsert_page": "WITH " + _DOC_POSTS.replace("doc_id, text FROM", "doc_id, CASE WHEN doc_id IN (1, 2) THEN 'zebra the ' || left(text, 100) ELSE text END AS text FROM", 1) + " SELECT site_url, lemma, frequency FROM lemmas",
+    "index_delete_page_postings": f"WITH {_DOC_POSTS} SELECT site_url, path, lemma, rank FROM posts WHERE path <> '{ONE_DOC}'",
+    "index_delete_page_pages": f"WITH {_DOC_PAGES} SELECT site_url, path, 200 AS code, md5(text) AS digest FROM doc_pages WHERE path <> '{ONE_DOC}'",
+    "index_upsert_page": f"WITH {_UPSERTED_POSTS} SELECT site_url, lemma, frequency FROM lemmas",
+    "index_upsert_page_postings": f"WITH {_UPSERTED_POSTS} SELECT site_url, path, lemma, rank FROM posts",
+    "index_upsert_page_pages": f"WITH {_UPSERTED_POSTS} SELECT site_url, path, 200 AS code, md5(text) AS digest FROM doc_pages",
     "frequency_increment": f"WITH {_DOC_POSTS} SELECT site_url, lemma, CAST(sum(n) AS INT) AS frequency FROM (SELECT site_url, lemma, frequency AS n FROM lemmas UNION ALL SELECT site_url, lemma, 1 FROM lemmas WHERE lemma = 'the' UNION ALL SELECT DISTINCT site_url, 'zebra', 1 FROM lemmas) GROUP BY ALL",
     "frequency_decrement": f"WITH {_DOC_POSTS} SELECT site_url, lemma, CASE WHEN lemma < 'b' THEN frequency - 1 ELSE frequency END AS frequency FROM lemmas WHERE lemma >= 'b' OR frequency > 1",
-    "page_update": "SELECT source AS site_url, p AS path, CASE WHEN length(p) % 2 = 0 THEN 500 WHEN doc_id % 17 = 0 THEN 404 ELSE 200 END AS code, CASE WHEN length(p) % 3 = 0 THEN left(text, 20) ELSE p || '!' END AS content FROM (SELECT *, '/' || doc_id AS p FROM documents)",
+    "page_update": "SELECT source AS site_url, p AS path, CASE WHEN length(p) % 2 = 0 THEN 500 WHEN doc_id % 17 = 0 THEN 404 ELSE 200 END AS code, CASE WHEN length(p) % 3 = 0 THEN text ELSE p || '!' END AS content FROM (SELECT *, '/' || doc_id AS p FROM documents)",
     "site_status_fold": f"""WITH {_LOG}, facts AS (
   SELECT site_url, bool_or(error IS NOT NULL) AS bad, arg_min(error, s) FILTER (error IS NOT NULL) AS first_error, bool_or(path = '/' AND code = 200) AS home, max(s) AS last_s FROM log GROUP BY site_url
 ) SELECT site_url, upper(site_url) AS name, CASE WHEN site_url = 'src3' OR bad OR NOT home THEN 'FAILED' ELSE 'INDEXED' END AS status, greatest(length(site_url) * 1000, last_s * 1000) AS status_ms,
@@ -568,4 +670,9 @@ SQL = {
     "crawl_closure": """SELECT 'https://site.example' AS site_url, page_url, depth FROM (
   SELECT 'https://site.example' AS page_url, 0 AS depth UNION ALL SELECT 'https://site.example/' || page_id, 1 FROM pages WHERE page_id % 2 = 0
   UNION ALL SELECT 'https://site.example/' || page_id || '/below', 2 FROM pages WHERE page_id % 2 = 0)""",
+    "search_response_json": f"""{_DOC_SEARCH}, responses AS (
+  SELECT query_id, max(total) AS total, string_agg('{{"site": "' || site_url || '", "uri": "' || path || '", "relevance": ' || CAST(round(relevance, 4) AS VARCHAR) || '}}', ', ' ORDER BY place) AS data FROM ranked WHERE place <= {LIMIT} GROUP BY query_id
+), named(query_id, query) AS (VALUES """ + ", ".join(f"({n}, '{q}')" for n, q in QUERY_ROWS) + f""")
+SELECT query_id, CASE WHEN total IS NULL THEN '{{"result": true, "error": "{NOTHING_FOUND}' || query || '", "count": 0, "data": []}}'
+  ELSE '{{"result": true, "count": ' || total || ', "data": [' || data || ']}}' END AS response FROM named LEFT JOIN responses USING (query_id)""",
 }

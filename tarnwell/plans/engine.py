@@ -1,24 +1,26 @@
 """The engine facade: index sites, index a page, stop, statistics, search.
 
-An index is four Parquet tables in a folder for each version.  The newest whole
-version is found at start; a new one counts when its last table is written, so
-readers never see half an update.  The version is part of the search memo's key.
+The index is a `Store`: base tables and the changes since, so that putting in a
+page writes that page and not the index.  The store's version and part are in the
+search memo's key.
 """
 
 from __future__ import annotations
 
 import json
 import threading
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..functions.analyzer import RUSSIAN, Analyzer, query_lemmas
+from ..functions.analyzer import RUSSIAN, Analyzer, Dictionary, query_lemmas
 from ..operators import crawl as crawling
-from ..operators import index, search, snippet, stats, status
+from ..operators import search, snippet, stats, status
 from ..sources import tables
+from .store import Store, newest
 
 #: Texts that callers see.
 ALREADY_RUNNING = "Индексация уже запущена"
@@ -39,49 +41,28 @@ def error(message: str) -> dict:
 
 @dataclass
 class Engine:
-    """``folder`` holds the index; ``sites`` is a list of {url, name}."""
+    """``folder`` holds the index; ``sites`` is a list of {url, name}.
+    ``dictionary`` is a morphology table (form, lemma, pos, ord) or the path of
+    one; without it the analyzer's own few forms are all."""
 
     spark: SparkSession
     folder: str
     sites: list[dict]
     analyzer: Analyzer = RUSSIAN
     is_html: bool = True
+    dictionary: DataFrame | str | None = None
     _lock: threading.Lock = field(default_factory=threading.Lock)
     _stop: threading.Event = field(default_factory=threading.Event)
+    _job: str | None = None
     _memo: tuple | None = None
-    _version: int = -1
 
     def __post_init__(self) -> None:
-        if self._version < 0:
-            self._version = self._newest()
-
-    # versions
-
-    def _newest(self) -> int:
-        """The newest whole version: the one whose last table, sites, is there."""
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        whole = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/sites/_SUCCESS"))]
-        return max(whole, default=0)
+        self.store = Store(self.spark, self.folder)
+        morph = self.spark.read.parquet(self.dictionary) if isinstance(self.dictionary, str) else self.dictionary
+        self._forms = Dictionary.seed(self.spark, self.analyzer) if morph is None else Dictionary.of(morph)
 
     def table(self, name: str) -> DataFrame:
-        return tables.read_table(self.spark, f"{self.folder}/v{self._version}", name)
-
-    def _write(self, pages: DataFrame, posts: DataFrame, lemmas: DataFrame | None, sites: DataFrame) -> None:
-        """A new version; lemmas are counted from the stored postings if None."""
-        version = self._version + 1
-        folder = f"{self.folder}/v{version}"
-        tables.write_table(pages, folder, "pages", ("site_url", "path"))
-        tables.write_table(posts, folder, "postings", ("lemma", "site_url"))
-        if lemmas is None:
-            lemmas = index.frequencies(tables.read_table(self.spark, folder, "postings"))
-        tables.write_table(lemmas, folder, "lemmas", ("lemma", "site_url"))
-        tables.write_table(sites, folder, "sites")
-        self._version, self._memo = version, None
+        return self.store.table(name)
 
     def _config(self) -> DataFrame:
         rows = tables.site_list(self.spark, self.sites)
@@ -93,42 +74,66 @@ class Engine:
         return fetched.select("site_url", path.alias("path"), "code", F.when(F.col("error").isNotNull(), status.page_error(F.col("page_url"), F.col("error"))).alias("error"), "ts")
 
     def _pages(self, fetched: DataFrame) -> DataFrame:
+        """The last fetch of each page."""
         path = urls.stored_path(urls.relative_path(F.col("page_url"), F.col("site_url")))
         rows = fetched.filter(F.col("code").isNotNull()).select("site_url", path.alias("path"), "code", F.coalesce("body", F.lit("")).alias("content"), "ts")
-        last = rows.groupBy("site_url", "path").agg(F.max_by(F.struct("code", "content"), "ts").alias("p"))
-        return last.select("site_url", "path", "p.code", "p.content")
+        return newest(rows)
 
     # operations
 
-    def index_all(self, fetches: DataFrame, max_depth: int | None = None) -> dict:
-        """Crawl ``fetches`` (page_url, code, content_type, body, error, ts) from
-        the configured sites and build the index anew."""
+    def _run(self, work) -> dict:
+        """Run ``work`` as the one operation under way, its jobs as a group that
+        `stop` cancels."""
         if not self._lock.acquire(blocking=False):
             return error(ALREADY_RUNNING)
+        context = self.spark.sparkContext
         try:
             self._stop.clear()
-            return self._index_all(fetches, max_depth)
-        except Exception as e:  # noqa: BLE001  any failure is told by the sites' status
-            message = status.unexpected_error(str(e))
-            failed = self._config().withColumns({"status": F.lit("FAILED"), "last_error": F.lit(message)})
-            self._write(*(self.spark.createDataFrame([], tables.SCHEMAS[n]) for n in ("pages", "postings", "lemmas")), failed)
-            return error(message)
+            self._job = f"index-{uuid.uuid4().hex}"
+            context.setJobGroup(self._job, "indexing", interruptOnCancel=True)
+            return work()
+        except Exception:
+            if not self._stop.is_set():
+                raise
+            return good()  # stopped: nothing of it counts
         finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+            self._job = None
             self._lock.release()
 
+    def index_all(self, fetches: DataFrame, max_depth: int | None = None) -> dict:
+        """Crawl ``fetches`` (page_url, code, content_type, body, error, ts) from
+        the configured sites and build the index anew.  Where that fails or is
+        stopped, the index stays as it was and its sites are FAILED."""
+        return self._run(lambda: self._index_all(fetches, max_depth))
+
     def _index_all(self, fetches: DataFrame, max_depth: int | None) -> dict:
-        sites = self._config()
-        reached = crawling.crawl(sites, fetches, max_depth, self._stop.is_set)
-        fetched = fetches.join(reached.select("site_url", "page_url"), "page_url")
-        pages = self._pages(fetched)
-        self._write(pages, index.postings(pages, self.analyzer, is_html=self.is_html), None, status.fold_status(sites, self._log(fetched), self._stop.is_set()))
+        try:
+            sites = self._config()
+            reached = crawling.crawl(sites, fetches, max_depth, self._stop.is_set)
+            key = crawling.page_key(F.col("page_url")).alias("key")
+            fetched = fetches.withColumn("key", key).join(reached.select("site_url", key).distinct(), "key").drop("key")
+            if self._stop.is_set():
+                raise InterruptedError(status.STOPPED_BY_USER)
+            self.store.build(self._pages(fetched), status.fold_status(sites, self._log(fetched)), self.analyzer, self._forms, self.is_html)
+            if self._stop.is_set():
+                raise InterruptedError(status.STOPPED_BY_USER)
+        except Exception as e:  # noqa: BLE001  any failure is told by the sites' status
+            # the jobs that tell it are not part of what was stopped
+            self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+            message = status.STOPPED_BY_USER if self._stop.is_set() else status.unexpected_error(str(e))
+            self.store.mark(self._config().withColumns({"status": F.lit("FAILED"), "last_error": F.lit(message)}))
+            return good() if self._stop.is_set() else error(message)
         return good()
 
     def stop(self) -> dict:
-        """Ask a running operation to end; it keeps what it has."""
+        """End a running operation: its jobs are cancelled, the index stays as it
+        was before it."""
         if not self._lock.locked():
             return error(NOT_RUNNING)
         self._stop.set()
+        if self._job is not None:
+            self.spark.sparkContext.cancelJobGroup(self._job)
         return good()
 
     def index_page(self, url: str, fetches: DataFrame) -> dict:
@@ -136,18 +141,12 @@ class Engine:
         known = [s["url"] for s in self.sites if (s["url"].rstrip("/") + "/").lower() in url.lower()]
         if not known:
             return error(NOT_LISTED)
-        if not self._lock.acquire(blocking=False):
-            return error(ALREADY_RUNNING)
-        try:
-            self._stop.clear()
-            site = max(known, key=len)
-            return self._upsert(fetches.filter(urls.same_link(F.col("page_url"), F.lit(url))).withColumn("site_url", F.lit(site)), site)
-        finally:
-            self._lock.release()
+        site = max(known, key=len)
+        fetched = lambda: fetches.filter(urls.same_link(F.col("page_url"), F.lit(url))).withColumn("site_url", F.lit(site))
+        return self._run(lambda: self._upsert(fetched(), site))
 
     def _upsert(self, fetched: DataFrame, *site_urls: str) -> dict:
         fetched = fetched.filter(urls.relative_path(F.col("page_url"), F.col("site_url")).isNotNull())
-        pages, posts, lemmas = index.upsert_pages(self.table("pages"), self.table("postings"), self.table("lemmas"), self._pages(fetched), self.analyzer, is_html=self.is_html)
         old = self.table("sites")
         sites = old.unionByName(self._config().join(old.select("site_url"), "site_url", "left_anti").filter(F.col("site_url").isin(*site_urls)))
         touched = F.col("site_url").isin(*site_urls)
@@ -155,12 +154,13 @@ class Engine:
         home = self.table("pages").filter((F.col("path") == "/") & touched).select("site_url", "path", "code", F.lit(None).cast("string").alias("error"), F.lit(None).cast("timestamp").alias("ts"))
         home = home.join(self._log(fetched).select("site_url", "path"), ["site_url", "path"], "left_anti")
         folded = status.fold_status(sites.filter(touched), self._log(fetched).unionByName(home))
-        self._write(pages, posts, lemmas, sites.filter(~touched).unionByName(folded))
+        self.store.update(self._pages(fetched), sites.filter(~touched).unionByName(folded), self.analyzer, self._forms, self.is_html)
         return good()
 
     def apply_fetches(self, fetches: DataFrame) -> dict:
         """Put in or replace many pages at once, as a stream's batches bring them;
-        fetches of no configured site are left out, the last of a page wins."""
+        fetches of no configured site are left out.  The last fetch of a page by
+        ``ts`` wins, whichever batch brings it."""
         with self._lock:
             sites = tables.site_list(self.spark, self.sites)
             placed = fetches.join(crawling.site_of(fetches.select("page_url").distinct(), sites).filter("site_url IS NOT NULL"), "page_url")
@@ -170,9 +170,9 @@ class Engine:
     def statistics(self) -> dict:
         """Totals and a row for each site; `result` false if they can't be had."""
         try:
-            sites, pages, lemmas = (self.table(n) for n in ("sites", "pages", "lemmas"))
-            total = stats.totals(sites, pages, lemmas).first().asDict()
-            rows = [r.asDict() for r in stats.detailed(sites, pages, lemmas).orderBy("url").collect()]
+            sites, counts, lemmas = (self.table(n) for n in ("sites", "counts", "lemmas"))
+            total = stats.totals(sites, counts, lemmas).first().asDict()
+            rows = [r.asDict() for r in stats.detailed(sites, counts, lemmas).orderBy("url").collect()]
         except Exception:  # noqa: BLE001  the contract: any failure is a false result
             return {"result": False}
         detailed = [{"statusTime" if k == "status_time" else k: v for k, v in r.items()} for r in rows]
@@ -180,33 +180,41 @@ class Engine:
 
     def search(self, query: str, site: str | None = None, offset: int = 0, limit: int = 10) -> dict:
         """A page of results.  The ranked list of the last query is kept, by the
-        query in lower case, the site and the index version."""
+        query in lower case, the site and the state of the index."""
         if not query.strip():
             return error(EMPTY_QUERY)
         if search.sites_not_indexed(self.table("sites"), site).first()[0]:
             return error(NOT_INDEXED)
         query = query.strip()
         asked = self.spark.createDataFrame([(0, query)], "query_id int, query string")
-        wanted = query_lemmas(asked, self.analyzer)
-        key = (query.lower(), site, self._version)
+        lemmas = [r.lemma for r in query_lemmas(asked, self.analyzer, self._forms).collect()]  # the words of one query
+        wanted = self.spark.createDataFrame([(0, x) for x in lemmas], "query_id int, lemma string")
+        key = (query.lower(), site, self.store.version, self.store.part)
         if self._memo is None or self._memo[0] != key:
             if self._memo is not None:
                 self._memo[1].unpersist()
             scope = (lambda df: df) if site is None else (lambda df: df.filter(F.col("site_url") == site))
-            found = search.search(wanted, scope(self.table("lemmas")), scope(self.table("postings")), scope(self.table("pages")))
+            found = search.search(wanted, *(scope(self.table(n)) for n in ("lemmas", "postings", "counts")))
             self._memo = (key, found.persist())
         found = self._memo[1]
-        top = search.result_page(found, offset, limit)
-        rows = top.join(self.table("pages"), ["site_url", "path"]).join(self.table("sites").select("site_url", F.col("name").alias("site_name")), "site_url")
-        lemmas = [r.lemma for r in wanted.collect()]  # the words of one query
-        shown = text.clean_text(F.col("content")) if self.is_html else F.col("content")
-        data = rows.select(
-            "place", "total", F.col("site_url").alias("site"), F.col("site_name").alias("siteName"), F.col("path").alias("uri"), text.html_title(F.col("content")).alias("title"),
-            snippet.snippet_column(shown, F.array(*[F.lit(x) for x in lemmas]).cast("array<string>"), self.analyzer).alias("snippet"), "relevance",
-        ).orderBy("place").collect()
-        if not data:
+        top = search.result_page(found, offset, limit).collect()  # at most ``limit`` rows, or all if those are fewer
+        if not top:
             return {"result": True, "error": NOTHING_FOUND + query, "count": 0, "data": []}
-        return {"result": True, "count": data[0]["total"], "data": [{k: v for k, v in r.asDict().items() if k not in ("place", "total")} for r in data]}
+        of_top = F.lit(False)
+        for r in top:
+            of_top = of_top | ((F.col("site_url") == r.site_url) & (F.col("path") == r.path))
+        names = self.table("sites").select("site_url", F.col("name").alias("site_name"))
+        shown = text.clean_text(F.col("content")) if self.is_html else F.col("content")
+        rows = self.table("pages").filter(of_top).join(names, "site_url").withColumn("shown", shown).persist()
+        lemma, stops = self._forms.readings(rows.select(F.explode(self.analyzer.words(F.col("shown"))).alias("word")))
+        snippets = snippet.snippet_column(F.col("shown"), F.array(*[F.lit(x) for x in lemmas]).cast("array<string>"), self.analyzer, lemma, stops)
+        made = {(r.site_url, r.path): r for r in rows.select("site_url", "path", "site_name", text.html_title(F.col("content")).alias("title"), snippets.alias("snippet")).collect()}
+        rows.unpersist()
+        data = []
+        for r in sorted(top, key=lambda r: r.place):
+            page = made[r.site_url, r.path]
+            data.append({"site": r.site_url, "siteName": page.site_name, "uri": r.path, "title": page.title, "snippet": page.snippet, "relevance": r.relevance})
+        return {"result": True, "count": top[0].total, "data": data}
 
 
 def to_json(response: dict) -> str:

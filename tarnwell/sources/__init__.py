@@ -1,5 +1,5 @@
 """Where pages come from and where tables go."""
 
-from .tables import document_pages, load, page_rows, read_table, site_list, unique_pages, write_table
+from .tables import document_pages, load, page_rows, site_list, unique_pages
 
-__all__ = ["document_pages", "load", "page_rows", "read_table", "site_list", "unique_pages", "write_table"]
+__all__ = ["document_pages", "load", "page_rows", "site_list", "unique_pages"]

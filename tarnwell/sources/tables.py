@@ -1,4 +1,4 @@
-"""Site lists, page tables and the Parquet tables of an index."""
+"""Site lists and page tables."""
 
 from __future__ import annotations
 
@@ -10,12 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 
-SITES = "site_url string, name string, status string, status_time timestamp, last_error string"
-PAGES = "site_url string, path string, code int, content string"
-POSTINGS = "site_url string, path string, lemma string, rank float"
-LEMMAS = "site_url string, lemma string, frequency int"
 FETCHES = "page_url string, code int, content_type string, body string, error string, ts timestamp"
-SCHEMAS = {"sites": SITES, "pages": PAGES, "postings": POSTINGS, "lemmas": LEMMAS}
 
 
 def site_list(spark: SparkSession, config: str | Path | list[dict]) -> DataFrame:
@@ -57,22 +52,3 @@ def document_pages(spark: SparkSession, sf_dir: str, all_good: bool = True) -> D
     ``all_good`` is false, every 17th document has code 404."""
     code = F.lit(200) if all_good else F.when(F.col("doc_id") % 17 == 0, 404).otherwise(200)
     return load(spark, sf_dir, "documents").select(F.col("source").alias("site_url"), F.concat(F.lit("/"), F.col("doc_id").cast("string")).alias("path"), code.alias("code"), F.col("text").alias("content"))
-
-
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of an index; empty where it was never written."""
-    path = f"{folder}/{name}"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        return spark.createDataFrame([], SCHEMAS[name])
-    return spark.read.schema(SCHEMAS[name]).parquet(path)
-
-
-def write_table(df: DataFrame, folder: str, name: str, sort: tuple[str, ...] = ()) -> None:
-    """Overwrite a table.  Sorted files have narrow min/max ranges, so lookups by
-    the sort columns skip most row groups."""
-    df = df.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in SCHEMAS[name].split(", ")])
-    if sort:
-        df = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
-    df.write.mode("overwrite").parquet(f"{folder}/{name}")

@@ -1,8 +1,9 @@
 """Keep an index up to date from a stream of fetches.
 
-Each micro-batch is an upsert of its pages, so "late" means only that the last
-fetch of a page wins.  A batch that is replayed after a failure puts the same
-pages in again and changes nothing, which makes the sink idempotent.
+Each micro-batch is an upsert of its pages.  A page keeps the time of its fetch,
+and an older fetch that a later batch brings changes nothing; of equal times the
+later batch wins.  A batch that is replayed after a failure puts the same pages in
+again and changes nothing, which makes the sink idempotent.
 """
 
 from __future__ import annotations

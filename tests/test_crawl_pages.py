@@ -6,7 +6,20 @@ from collections import defaultdict
 from urllib.parse import urljoin
 
 from tarnwell.functions.urls import FILE_ENDINGS
+from tarnwell.operators import crawl
 from tarnwell.plans import catalogue
+from tarnwell.sources.tables import FETCHES
+
+
+def key(url):
+    return url.removesuffix("/").lower()
+
+
+def test_a_link_finds_the_page_stored_with_a_slash(spark):
+    row = lambda url, body: (url, 200, "text/html", body, None, None)
+    corpus = spark.createDataFrame([row("https://s", '<a href="/x">x</a>'), row("https://s/X/", '<a href="/x/y">y</a>'), row("https://s/x/y", "end")], FETCHES)
+    got = {(r.page_url, r.depth) for r in crawl.crawl(spark.createDataFrame([("https://s",)], "site_url string"), corpus).collect()}
+    assert got == {("https://s", 0), ("https://s/x", 1), ("https://s/x/y", 2)}
 
 
 def test_crawl_pages_equals_walk(spark):
@@ -16,14 +29,11 @@ def test_crawl_pages_equals_walk(spark):
     for r in spark.read.parquet(f"{d}/pages.parquet").collect():
         origin = re.match("https?://[^/?#]+", r.url)[0]
         sites.add(origin)
-        bodies[r.url].append(r.html)
-        bodies[origin].append(r.html)
-
-    def key(url):
-        return url.removesuffix("/").lower()
+        bodies[key(r.url)].append((r.url, r.html))
+        bodies[key(origin)].append((origin, r.html))
 
-    def good(page):
-        for body in bodies[page]:
+    def good(url):
+        for page, body in bodies[key(url)]:
             for href in re.findall(r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"'>]*)["']""", body):
                 link = urljoin(page, html.unescape(href).strip())
                 if key(link).startswith(key(page)) and key(link) != key(page) and "#" not in link and not any(e in link.lower() for e in FILE_ENDINGS):

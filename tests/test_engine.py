@@ -1,11 +1,12 @@
 import datetime as dt
 import http.server
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwell.functions.analyzer import LATIN
+from tarnwell.functions.analyzer import LATIN, MORPH_SCHEMA
 from tarnwell.operators import crawl
 from tarnwell.plans import engine as engine_module
 from tarnwell.plans.engine import Engine, to_json
@@ -109,6 +110,95 @@ def test_unexpected_failure_is_in_the_status(spark, tmp_path):
     assert own.statistics()["statistics"]["total"] == {"sites": 1, "pages": 0, "lemmas": 0, "indexing": False}
 
 
+def test_a_failure_keeps_the_index(spark, engine):
+    before = rows(engine, "postings"), rows(engine, "lemmas"), rows(engine, "pages")
+    assert not engine.index_all(fetches(spark, CORPUS).withColumn("code", F.raise_error(F.lit("broken disk")).cast("int")))["result"]
+    assert before == (rows(engine, "postings"), rows(engine, "lemmas"), rows(engine, "pages"))
+    assert {r.status for r in engine.table("sites").collect()} == {"FAILED"}
+    assert engine.index_all(fetches(spark, CORPUS)) == {"result": True}
+    assert {r.status for r in engine.table("sites").collect()} == {"INDEXED"}
+
+
+def test_stop_ends_the_running_jobs(spark, engine):
+    before = rows(engine, "postings")
+
+    @F.udf("string")
+    def slow(body):
+        time.sleep(60)
+        return body
+
+    answers = []
+    run = threading.Thread(target=lambda: answers.append(engine.index_all(fetches(spark, CORPUS).withColumn("body", slow("body")))))
+    began = time.time()
+    run.start()
+    while engine.stop() != {"result": True} or engine._job is None:
+        time.sleep(0.1)
+    time.sleep(2)
+    engine.stop()
+    run.join(40)
+    assert not run.is_alive() and time.time() - began < 50 and answers == [{"result": True}]
+    assert {(r.status, r.last_error) for r in engine.table("sites").collect()} == {("FAILED", engine_module.status.STOPPED_BY_USER)}
+    assert rows(engine, "postings") == before
+
+
+def test_updates_write_parts_and_are_folded_into_a_new_version(spark, engine, monkeypatch, tmp_path):
+    version = engine.store.version
+    for k in range(3):
+        assert engine.index_page(f"{A}/x", fetches(spark, [page(f"{A}/x", f"zebra run number{'x' * k}")])) == {"result": True}
+    assert (engine.store.version, engine.store.part) == (version, 3)
+    assert [r.rank for r in engine.store.postings_by_page(A, "/x").orderBy("lemma").collect()] == [1.0, 1.0, 1.0]
+    assert engine.search("numberxx")["count"] == 1 and engine.search("number")["count"] == 0
+    kept = [rows(engine, n) for n in ("pages", "postings", "lemmas", "counts")]
+    monkeypatch.setattr("tarnwell.plans.store.MAX_PARTS", 3)
+    assert engine.index_page(f"{A}/x", fetches(spark, [page(f"{A}/x", "zebra run numberxx")])) == {"result": True}
+    assert (engine.store.version, engine.store.part) == (version + 1, 0)
+    assert kept == [rows(engine, n) for n in ("pages", "postings", "lemmas", "counts")]
+    engine.index_all(fetches(spark, CORPUS))
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == [f"v{version + 1}", f"v{version + 2}"]
+    again = Engine(spark, str(tmp_path / "index"), engine.sites, analyzer=LATIN)
+    assert (again.store.version, again.store.part) == (version + 2, 0) and rows(again, "lemmas") == rows(engine, "lemmas")
+
+
+def test_delete_and_an_unfinished_part(spark, engine, tmp_path):
+    engine.store._write(spark.createDataFrame([(A, "/y")], "site_url string, path string"), "touched", 1)  # as a lost driver leaves it
+    again = Engine(spark, str(tmp_path / "index"), engine.sites, analyzer=LATIN)
+    assert rows(again, "postings") == rows(engine, "postings")
+    again.store.delete(spark.createDataFrame([(A, "/x")], "site_url string, path string"))
+    assert (A, "/x") not in {r[:2] for r in rows(again, "pages")} and again.search("run")["count"] == 0
+    from tarnwell.operators import index
+
+    posts = index.postings(again.table("pages"), LATIN)
+    assert sorted(tuple(r) for r in posts.collect()) == rows(again, "postings")
+    assert sorted(tuple(r) for r in index.frequencies(posts).collect()) == rows(again, "lemmas")
+    assert rows(again, "counts") == [(A, 4, 3), (B, 1, 1)]
+
+
+def test_the_last_fetch_wins_whatever_batch_brings_it(spark, engine):
+    old, new = T - dt.timedelta(days=1), T + dt.timedelta(days=1)
+    row = lambda url, body, ts: (url, 200, "text/html", body, None, ts)
+    engine.apply_fetches(fetches(spark, [row(f"{A}/x", "newest words", new), row(f"{B}/q", "first", T)]))
+    engine.apply_fetches(fetches(spark, [row(f"{A}/x", "older words", old), row(f"{B}/q", "second", T), row(f"{B}/q", "third", old)]))
+    assert [engine.search(w)["count"] for w in ("newest", "older", "first", "second", "third")] == [1, 0, 0, 1, 0]
+
+
+def test_dictionary_table(spark, tmp_path):
+    spark.createDataFrame([("ponies", "pony", "С", 0), ("and", "and", "СОЮЗ", 0), ("sleep", "sleep", "С", 0)], MORPH_SCHEMA).write.parquet(str(tmp_path / "morph"))
+    own = Engine(spark, str(tmp_path / "i"), [{"url": A, "name": "a"}], analyzer=LATIN, dictionary=str(tmp_path / "morph"))
+    own.index_all(fetches(spark, CORPUS))
+    answer = own.search("pony")
+    assert [d["uri"] for d in answer["data"]] == ["/y", "/x"] and "<b>ponies</b>" in answer["data"][0]["snippet"]
+    assert own.search("ponies and")["count"] == 2
+
+
+def test_search_reads_what_it_needs(spark, engine):
+    from tarnwell.operators import search
+
+    asked = spark.createDataFrame([(1, "ponies")], "query_id int, lemma string")
+    plan = search.search(asked, *(engine.table(n) for n in ("lemmas", "postings", "counts")))._jdf.queryExecution().executedPlan().toString()
+    assert "In(lemma, [ponies])" in plan or "EqualTo(lemma,ponies)" in plan
+    assert "Generate" not in plan
+
+
 def test_new_pages(spark):
     from tarnwell.operators import index
 

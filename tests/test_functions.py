@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwell.functions import text, urls
-from tarnwell.functions.analyzer import LATIN, RUSSIAN, query_lemmas
+from tarnwell.functions.analyzer import LATIN, MORPH_SCHEMA, RUSSIAN, Dictionary, lemmas_of_words, query_lemmas
 
 SITE = "https://test-site-url"
 
@@ -68,7 +68,7 @@ def test_russian_words(spark):
     words = lambda t: value(spark, RUSSIAN.words(text.fold_yo(F.lit(t))))
     assert words("класс и грамм, масс") == ["кла", "гра", "масс"]
     assert words("ещё Ёж памc") == ["еще", "пам"]
-    for t in ("класс и грамм, масс", "ещё Ёж памc", "Расписание занятий - да!"):
+    for t in ("класс и грамм, масс", "ещё Ёж памc", "Да - нет, класс! грамм\u00a0и металл", "лл ссс аа"):
         assert RUSSIAN.words_py(t.replace("ё", "е")) == words(t)
 
 
@@ -78,6 +78,25 @@ def test_latin_words(spark):
 
 
 def test_query_lemmas(spark):
-    asked = spark.createDataFrame([(1, "Дикие лошади или лошадь"), (2, "  "), (3, "и")], "query_id int, query string")
+    asked = spark.createDataFrame([(1, "Старые мельницы или мельница"), (2, "  "), (3, "и")], "query_id int, query string")
     got = sorted(tuple(r) for r in query_lemmas(asked, RUSSIAN).collect())
-    assert got == [(1, "дикий"), (1, "лошадь")]
+    assert got == [(1, "мельница"), (1, "старый")]
+
+
+def test_large_dictionary_equals_small(spark):
+    morph = spark.createDataFrame([("mice", "mouse", "С", 0), ("mice", "mica", "С", 1), ("ran", "run", "Г", 0), ("of", "of", "С", 0), ("of", "of", "ПРЕДЛ", 1), ("odd", "never", "С", 1), ("same", "same", "С", 0), ("null", None, None, 0)], MORPH_SCHEMA)
+    words = spark.createDataFrame([(w,) for w in "mice mice ran of odd same null other of mice".split()], "word string")
+    small, large = Dictionary.of(morph), Dictionary.of(morph, most=3)
+    assert small.small and not large.small
+    got = [sorted(tuple(r) for r in lemmas_of_words(words, d).select("word", "lemma").collect()) for d in (small, large)]
+    assert got[0] == got[1] == sorted([("mice", "mouse")] * 3 + [("ran", "run"), ("odd", "odd"), ("same", "same"), ("null", "null"), ("other", "other")])
+    assert small.readings(words) == ({"mice": "mouse", "ran": "run", "of": "of", "same": "same"}, {"of"})
+
+
+def test_large_dictionary_gives_the_same_postings(spark):
+    from tarnwell.operators import index
+
+    morph = spark.createDataFrame([("mice", "mouse", "С", 0), ("and", "and", "СОЮЗ", 0)], MORPH_SCHEMA)
+    pages = spark.createDataFrame([("s", "/a", 200, "mice and mouse mice"), ("s", "/b", 200, "mouse")], "site_url string, path string, code int, content string")
+    got = [sorted(tuple(r) for r in index.postings(pages, LATIN, Dictionary.of(morph, most=n)).collect()) for n in (9, 1)]
+    assert got[0] == got[1] == [("s", "/a", "mouse", 3.0), ("s", "/b", "mouse", 1.0)]

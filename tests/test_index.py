@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions.analyzer import LATIN
 from tarnwell.operators import index, search, stats, status
+from tarnwell.plans.store import Store
 
 PAGES = "site_url string, path string, code int, content string"
 
@@ -65,7 +66,7 @@ def _search(spark, rows, query):
     asked = spark.createDataFrame([(1, w) for w in query.split()], "query_id int, lemma string")
     own = pages(spark, rows)
     posts = index.postings(own, LATIN)
-    return search.search(asked, index.frequencies(posts), posts, own)
+    return search.search(asked, index.frequencies(posts), posts, Store._counts_of(own))
 
 
 def test_frequency_ceiling(spark):
@@ -123,7 +124,7 @@ def test_status_update_keeps_error(spark):
 
 def test_statistics_of_a_site_without_pages(spark):
     sites = spark.createDataFrame([("a", "A", "INDEXING", T0, "")], SITES)
-    none = spark.createDataFrame([], PAGES)
+    none = Store._counts_of(spark.createDataFrame([], PAGES))
     lemmas = spark.createDataFrame([], "site_url string, lemma string, frequency int")
     assert tuple(stats.totals(sites, none, lemmas).first()) == (1, 0, 0, True)
     row = stats.detailed(sites, none, lemmas).first()
