@@ -206,13 +206,18 @@ class Store:
                 at = at | ((F.col("site_url") == site) & (F.col("path") == path))
         old = self._forward(keys, at)
         before = old.select("site_url", "path", F.col("ts").alias("old_ts"))
-        # without what is older than the stored page; that page then stays as it is
+        own, kept = new, None
+        # a page that is older than the stored one is left out, and that one stays
         late = new.join(F.broadcast(before), ["site_url", "path"]).filter(F.col("ts") < F.col("old_ts")).select("site_url", "path")
-        own = new.join(F.broadcast(late), ["site_url", "path"], "left_anti")
+        if not late.isEmpty():
+            own = new.join(F.broadcast(late), ["site_url", "path"], "left_anti")
+            stored = self._rows("pages") if at is None else self._rows("pages").filter(at)
+            kept = self._live(stored).join(F.broadcast(late), ["site_url", "path"], "left_semi")
         own_posts = index.postings(own, analyzer, dictionary, is_html)
         terms = own_posts.groupBy("site_url", "path").agg(F.collect_list(F.struct("lemma", "rank")).alias("terms"))
-        kept = self.pages().join(F.broadcast(late), ["site_url", "path"], "left_semi")
-        self._write(own.join(terms, ["site_url", "path"], "left").select(*self._empty("pages").columns).unionByName(kept.select(*self._empty("pages").columns)), "pages", seq)
+        columns = self._empty("pages").columns
+        rows = own.join(terms, ["site_url", "path"], "left").select(*columns)
+        self._write(rows if kept is None else rows.unionByName(kept.select(*columns)), "pages", seq)
         written = self.spark.read.schema(SCHEMAS["pages"]).parquet(self._path("pages", seq))
         exploded = lambda rows, sign: rows.select("site_url", "path", F.explode("terms").alias("t")).select("site_url", "path", "t.lemma", "t.rank", F.lit(sign).alias("frequency"))
         self._write(exploded(written, 1), "postings", seq)
