@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import bpe, chat, decontaminate, language_id, near_dup, quality_classifier, quality_rules, sharding, token_file, url_filter
 
 QUERIES = {
@@ -17,7 +15,6 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_token_files": token_file.op9_token_files,
     "op10_quality_rules": quality_rules.op10_quality_rules,
-    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
@@ -27,5 +24,3 @@ SQL = {
     "op8_chat_formatting": chat.OP8_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
 }
-if corpus_pipeline.ORACLE_SQL:
-    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -41,6 +43,14 @@ def test_many_listed_keys(spark):
         assert tuple(r)[1:] == brute(urls[r.page_id], rules)
 
 
+def test_urls_of_very_many_labels(spark):
+    urls = ["https://" + "a." * 16_000 + "example.org/es/1", "https://" + "a." * 16_000 + "example.com/en/7" + "/x" * 50_000, "https://a..org/es/", "https://.org/es/", "https://org./es/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    began = time.time()
+    got = {r.page_id: tuple(r)[1:] for r in url_filter.judge(pages).collect()}
+    assert got == {k: brute(u, url_filter.RULES) for k, u in enumerate(urls)} and time.time() - began < 60
+
+
 @pytest.mark.parametrize("rate", [0.9, 0.5, 0.01])
 def test_cascade_is_exact_over_the_universe(rate):
     rng = np.random.default_rng(1)
