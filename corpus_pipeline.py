@@ -1,7 +1,10 @@
 """From raw documents to token ids, in five stages.
 
 Every stage takes all that the one before it kept and returns the columns of
-``documents``; the last returns the encoded documents.
+``documents``; the last returns the encoded documents.  Rows that repeat are judged
+alike.  Near-duplicate search takes rows of one id for one document and keeps one of
+them, the same in every run; rows without an id pass it.  Of ties the smallest id
+stays.  No rows in, no rows out; columns beyond those of ``documents`` go along.
 """
 
 from __future__ import annotations
