@@ -83,8 +83,22 @@ def crawl(sites: DataFrame, fetches: DataFrame, max_depth: int | None = None, ca
         depth += 1
 
 
+MOST_SITES = 10_000
+
+
 def site_of(page_urls: DataFrame, sites: DataFrame) -> DataFrame:
     """(page_url, site_url): the configured site of each url, the longest that
-    the url contains; null for none.  The site list is the side that is small."""
-    hits = page_urls.join(sites.select("site_url"), urls.page_in_site(F.col("site_url"), F.col("page_url")), "left")
+    the url contains; null for none.  A list of up to MOST_SITES sites is broadcast
+    and compared with every url; beyond that urls meet sites by those of their
+    parts that end before a slash."""
+    sites = sites.select("site_url").distinct()
+    if sites.limit(MOST_SITES + 1).count() <= MOST_SITES:
+        hits = page_urls.join(F.broadcast(sites), urls.page_in_site(F.col("site_url"), F.col("page_url")), "left")
+    else:
+        low = F.lower("page_url")
+        ends = F.filter(F.sequence(F.lit(1), F.length(low)), lambda k: F.substring(low, k, F.lit(1)) == "/")
+        parts = F.array_distinct(F.flatten(F.transform(ends, lambda e: F.transform(F.sequence(F.lit(1), e), lambda k: F.substring(low, k, e - k)))))
+        keyed = sites.select("site_url", F.lower(urls.remove_trailing_slash(F.col("site_url"))).alias("part"))
+        met = page_urls.filter(F.length("page_url") > 0).select("page_url", F.explode(parts).alias("part")).join(keyed, "part").select("page_url", "site_url")
+        hits = page_urls.join(met, "page_url", "left")
     return hits.groupBy("page_url").agg(F.max_by("site_url", F.struct(F.length("site_url"), "site_url")).alias("site_url"))

@@ -124,6 +124,11 @@ def page_clean_text_len(spark, d):
     return load(spark, d, "pages").select("page_id", F.length(clean).cast("long").alias("n_chars"), F.md5(clean).alias("digest"))
 
 
+def fold_yo(spark, d):
+    letters = F.translate("text", "eE", "ёЁ")
+    return load(spark, d, "documents").select("doc_id", F.md5(text.fold_yo(letters)).alias("digest"))
+
+
 def tokenize_documents(spark, d):
     words = index.words_of(_docs(spark, d), LATIN, is_html=False)
     return words.groupBy("word").agg(F.count("*").alias("n"))
@@ -154,6 +159,13 @@ def term_frequency_good_pages(spark, d):
     return posts.groupBy("site_url", "path").agg(F.count("*").alias("lemmas"), F.sum("rank").cast("long").alias("words"))
 
 
+def fetched_pages(spark, d):
+    """Pages with a code; every 17th has 404, every 5th none."""
+    pages = document_pages(spark, d, all_good=False)
+    pages = pages.withColumn("code", F.when(F.substring("path", 2, 100).cast("long") % 5 != 0, F.col("code")))
+    return index.fetched_pages(pages).select("site_url", "path", "code")
+
+
 def document_frequency(spark, d):
     return index.frequencies(_doc_posts(spark, d))
 
@@ -221,6 +233,11 @@ def responsive_pages_per_site(spark, d):
     return stats.good_pages_per_site(document_pages(spark, d, all_good=False))
 
 
+def index_counts(spark, d):
+    """The pages of each site as a built index counts them."""
+    return _store(spark, d, "pages").counts()
+
+
 def lemmas_per_site(spark, d):
     return stats.lemmas_per_site(_store(spark, d).lemmas())
 
@@ -399,6 +416,13 @@ def site_status_fold(spark, d):
     return out.select("site_url", "name", "status", F.unix_millis("status_time").alias("status_ms"), "last_error")
 
 
+def site_status_cancelled(spark, d):
+    """All sites after a stop."""
+    log = _log(spark, d)
+    out = status.fold_status(_sites(log), log, cancelled=True)
+    return out.select("site_url", "status", "last_error")
+
+
 def home_page_accessible(spark, d):
     return status.home_accessible(_log(spark, d))
 
@@ -443,6 +467,13 @@ def crawl_closure(spark, d):
     return crawl.crawl(_root(spark), _graph(spark, d))
 
 
+def crawl_depth_zero(spark, d):
+    """The home pages alone, of all sites of `pages`."""
+    fetches = _fetches(spark, d)
+    sites = fetches.select(urls.origin(F.col("page_url")).alias("site_url")).filter("site_url <> ''").distinct()
+    return crawl.crawl(sites, fetches, max_depth=0)
+
+
 def crawl_pages(spark, d):
     """All sites of `pages` over its fetches.  The table holds no home pages, so
     every page also stands at its site's root."""
@@ -475,12 +506,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         url_normalize, url_relative_path, url_is_file_link, url_page_in_site, site_of_page, page_links, page_good_links, page_link_counts, acceptable_content,
-        page_title, page_clean_text_len, tokenize_documents, token_stopword_filter, double_letter_strip, term_frequency, page_term_frequency,
-        term_frequency_good_pages, document_frequency, dictionary_frequency, lemma_lookup, postings_by_lemma, postings_by_page, posting_by_lemma_page, page_lookup, page_lookup_url, page_constructor,
-        pages_per_site, responsive_pages_per_site, lemmas_per_site, stats_total, stats_detailed, lemma_frequency_limit, usable_query_lemmas,
+        page_title, page_clean_text_len, fold_yo, tokenize_documents, token_stopword_filter, double_letter_strip, term_frequency, page_term_frequency,
+        term_frequency_good_pages, fetched_pages, document_frequency, dictionary_frequency, lemma_lookup, postings_by_lemma, postings_by_page, posting_by_lemma_page, page_lookup, page_lookup_url, page_constructor,
+        pages_per_site, responsive_pages_per_site, index_counts, lemmas_per_site, stats_total, stats_detailed, lemma_frequency_limit, usable_query_lemmas,
         rarest_query_lemma, search_abs_relevance, search_ranked_all_sites, search_ranked_one_site, search_page2, search_total_count, search_batch,
         snippet_hits, snippet_windows, snippet_bucketed, snippet_text, index_delete_page, index_delete_page_postings, index_delete_page_pages, index_upsert_page, index_upsert_page_postings, index_upsert_page_pages, frequency_increment, frequency_decrement,
-        page_update, site_status_fold, home_page_accessible, index_finished_check, any_site_not_indexed, site_status_update, crawl_frontier_step, crawl_closure, crawl_pages, search_response_json,
+        page_update, site_status_fold, site_status_cancelled, home_page_accessible, index_finished_check, any_site_not_indexed, site_status_update, crawl_frontier_step, crawl_closure, crawl_depth_zero, crawl_pages, search_response_json,
     )
 }
 
@@ -611,6 +642,11 @@ SQL = {
     "acceptable_content": "SELECT page_id, page_id % 5 IN (0, 1, 3) AS has_links FROM pages",
     "page_title": "SELECT page_id, " + _plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + " AS title FROM pages",
     "page_clean_text_len": f"SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT page_id, replace({_clean('html')}, 'ё', 'е') AS t FROM pages)",
+    "fold_yo": "SELECT doc_id, md5(translate(text, 'eE', 'еЁ')) AS digest FROM documents",
+    "fetched_pages": "SELECT source AS site_url, '/' || doc_id AS path, CASE WHEN doc_id % 17 = 0 THEN 404 ELSE 200 END AS code FROM documents WHERE doc_id % 5 <> 0",
+    "index_counts": f"WITH {_PAGE_ROWS} SELECT site_url, count(*) AS pages, count(*) AS good_pages FROM site_pages GROUP BY site_url",
+    "site_status_cancelled": f"SELECT DISTINCT source AS site_url, 'FAILED' AS status, '{status.STOPPED_BY_USER}' AS last_error FROM documents",
+    "crawl_depth_zero": f"SELECT DISTINCT {_ORIGIN} AS site_url, {_ORIGIN} AS page_url, 0 AS depth FROM pages WHERE {_ORIGIN} <> ''",
     "tokenize_documents": f"SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS.format('text')}) AS word FROM documents) GROUP BY word",
     "token_stopword_filter": f"SELECT site_url, lemma, count(*) AS n FROM (SELECT source AS site_url, unnest({_WORDS.format('text')}) AS lemma FROM documents) WHERE lemma NOT IN ({_STOPS}) GROUP BY ALL",
     "double_letter_strip": f"""WITH RECURSIVE digits(doc_id, rest, base) AS (

@@ -53,3 +53,12 @@ def test_crawl_pages_equals_walk(spark):
     got = [(r.site_url, r.page_url, r.depth) for r in catalogue.QUERIES["crawl_pages"](spark, d).collect()]
     assert len(got) == len(set(got)) and set(got) == expected
     assert len(got) > len(sites)
+
+
+def test_sites_by_parts_equal_sites_by_comparison(spark, monkeypatch):
+    sites = [("https://a.b",), ("https://a.b/c/",), ("a.b",), ("B/c",), ("https://other",), ("https://a.b",), ("x",)]
+    pages = [(u,) for u in ("https://a.b/c/d", "https://a.b/", "https://a.b", "HTTPS://A.B/C/", "https://other.example/x/y", "nothing", "", "/")]
+    rows = spark.createDataFrame(pages, "page_url string"), spark.createDataFrame(sites, "site_url string")
+    one = sorted(map(str, crawl.site_of(*rows).collect()))
+    monkeypatch.setattr(crawl, "MOST_SITES", 2)
+    assert sorted(map(str, crawl.site_of(*rows).collect())) == one
