@@ -1,4 +1,7 @@
-from tarnwell.functions.analyzer import RUSSIAN, STOP_POS
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tarnwell.functions.analyzer import LATIN, LATIN_STOP, RUSSIAN, STOP_POS
 from tarnwell.operators.snippet import MOST, bold, make_snippet
 
 STOPS = {f for f, _, pos, _ in RUSSIAN.morph if any(p in pos for p in STOP_POS)}
@@ -52,3 +55,50 @@ def test_length():
     text = "мельница " + " ".join(["слово мельница стоит"] * 60)
     out = snip(text, "мельница").replace("<b>", "").replace("</b>", "")
     assert len(out) <= MOST + 3 and out.endswith("...")
+
+
+def plain_snippet(text, wanted, words):
+    """The snippet by scans over single signs, with identity lemmas."""
+    spans, cursor = [], 0
+    for word in words:
+        for i in range(cursor, len(text) - len(word) + 1):
+            if text[i : i + len(word)].lower() == word:
+                spans.append((i, i + len(word)))
+                cursor = i + len(word)
+                break
+    hit = [text[a:b].lower() in wanted for a, b in spans]
+    pieces, k = [], 0
+    while k < len(spans):
+        if hit[k]:
+            first = last = k
+            while any(hit[last + 1 : last + 6]):
+                last = next(j for j in range(last + 1, last + 6) if hit[j])
+            a, b = spans[max(0, first - 2)][0], spans[min(len(spans) - 1, last + 2)][1]
+            pieces.append((sum(hit[first : last + 1]), text[a:b] + "... "))
+            k = last
+        k += 1
+    out = ""
+    for count in sorted({c for c, _ in pieces}, reverse=True):
+        out += "".join(p for c, p in pieces if c == count)
+        if len(out) > 250:
+            dots = [i for i in range(248) if out[i : i + 3] == "..."]
+            spaces = [i for i in range(250) if out[i] == " "]
+            out = out[: dots[-1] + 3] if dots else out[: (spaces or [0])[-1]] + "..."
+            break
+    forms = sorted({text[a:b] for (a, b), h in zip(spans, hit, strict=True) if h}, key=lambda f: (-len(f), f))
+    bolded, i = "", 0
+    while i < len(out):
+        form = next((f for f in forms if out.startswith(f, i) and not out[i + len(f) : i + len(f) + 1].isalpha()), None)
+        bolded += f"<b>{form}</b>" if form else out[i]
+        i += len(form) if form else 1
+    return bolded
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["the", "then", "and", "ant", "Hen", "x", "...", ",", "über", "an", "12", "at-the", "longerwords", "The"]), max_size=120), st.sets(st.sampled_from(["the", "hen", "ant", "über", "an"]), max_size=3))
+def test_snippet_equals_plain_scan(parts, wanted):
+    text = " ".join(parts)
+    words = [w for w in LATIN.words_py(text) if w not in LATIN_STOP]
+    if not any(w in wanted for w in words):
+        wanted = set()
+    assert make_snippet(text, wanted, words, {}) == plain_snippet(text, wanted, words)
