@@ -8,6 +8,7 @@ bounded in bytes; one text longer than the bound makes a slice of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from hashlib import blake2b
 from typing import NamedTuple
@@ -15,7 +16,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 SLICE_ROWS = 4096
 BATCH_BYTES = 4 << 20
 
@@ -246,12 +247,26 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
+def _release() -> None:
+    """Give memory that is free back to the system; a worker lives for many tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass  # another C library
+
+
 def map_arrow(df, function, schema: str):
     """``mapInArrow`` with batches of at most BATCH_BYTES (or one row): a batch
     stands in memory twice on both sides.  The bound is a setting of the session
     and stays set."""
+
+    def bounded(batches):
+        yield from function(batches)
+        _release()
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(bounded, schema)
 
 
 def hash_below(order, wanted: int, total):
