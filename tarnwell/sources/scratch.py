@@ -58,3 +58,11 @@ def file_number() -> Column:
 def row_number() -> Column:
     """Of a table from ``stored``: a number that is each row's own in every read."""
     return F.shiftleft(file_number(), 40) + F.col("_metadata.row_index")
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder; the parents of the target are made."""
+    there, files = _path(spark, target)
+    files.mkdirs(there.getParent())
+    if not files.rename(_path(spark, source)[0], there):
+        raise OSError(f"{source} could not be renamed to {target}")
