@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, language_id, near_dup, quality_classifier, quality_rules, reassembly, sharding, token_file, url_filter
+from . import bpe, centroids, chat, decontaminate, language_id, near_dup, quality_classifier, quality_rules, reassembly, sharding, token_file, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_token_files": token_file.op9_token_files,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_centroids": centroids.op11_centroids,
     "op13_turn_reassembly": reassembly.op13_turn_reassembly,
 }
 
@@ -24,4 +25,5 @@ SQL = {
     "op7_near_dedup": near_dup.OP7_SQL,
     "op8_chat_formatting": chat.OP8_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
+    "op11_centroids": centroids.OP11_SQL,
 }
