@@ -44,6 +44,10 @@ _CONF = {
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     # a commit writes what changed, not the whole store
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # every start has stores of its own: close them with their tasks, and no files larger than what is in them
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
     # all state stores of an executor share one bound on memory
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
