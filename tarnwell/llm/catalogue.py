@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, centroids, chat, decontaminate, language_id, near_dup, quality_classifier, quality_rules, reassembly, sharding, token_file, url_filter
+from . import bpe, centroids, chat, context_mixing, decontaminate, language_id, near_dup, quality_classifier, quality_rules, reassembly, sharding, token_file, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_files": token_file.op9_token_files,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_centroids": centroids.op11_centroids,
+    "op12_lm_scoring": context_mixing.op12_lm_scoring,
     "op13_turn_reassembly": reassembly.op13_turn_reassembly,
 }
 

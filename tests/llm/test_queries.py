@@ -13,5 +13,5 @@ def test_query_equals_sql(name, same):
 def test_entry_has_all_queries():
     import __spark_entry__
 
-    assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in __spark_entry__.queries()}
+    assert {f"op{n}" for n in range(1, 14)} <= {q.split("_")[0] for q in __spark_entry__.queries()}
     assert "pipeline" in __spark_entry__.queries()
