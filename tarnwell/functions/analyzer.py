@@ -10,12 +10,15 @@ one of any size, given as a `Dictionary`.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.automaton import TooLarge
+from .morphology import Morphology, compiled, reader
+
 MORPH_SCHEMA = "form string, lemma string, pos string, ord int"
 #: Interjection, preposition, conjunction, pronoun.
 STOP_POS = ["МЕЖД", "ПРЕДЛ", "СОЮЗ", "МС"]
@@ -69,10 +72,12 @@ class Analyzer:
 class Dictionary:
     """forms: (form, known, stop), one row a form: its lemma, null if it has none,
     and whether any reading is of a stop class.  small: whether the table was
-    counted and may be broadcast."""
+    counted and may be broadcast.  morphology: the same as an automaton, with or
+    without a guesser for other forms; words are then read where they stand."""
 
     forms: DataFrame
     small: bool
+    morphology: Morphology | None = None
 
     @staticmethod
     def of(morph: DataFrame, most: int = BROADCAST_FORMS) -> Dictionary:
@@ -80,6 +85,14 @@ class Dictionary:
         forms = _forms(morph)
         return Dictionary(forms, forms.limit(most + 1).count() <= most)
 
+    def compile(self, guess: bool = False) -> Dictionary:
+        """The same as an automaton, where that may be broadcast; beyond that forms are
+        met by a join and there is no guessing."""
+        try:
+            return replace(self, morphology=compiled(self.forms, guess))
+        except TooLarge:
+            return self
+
     @staticmethod
     def seed(spark: SparkSession, analyzer: Analyzer) -> Dictionary:
         """That of a profile's own few forms."""
@@ -87,6 +100,9 @@ class Dictionary:
 
     def readings(self, words: DataFrame) -> tuple[dict[str, str], set[str]]:
         """Lemmas and stop forms among the rows (word) of some pages."""
+        if self.morphology is not None:
+            rows = words.distinct().select("word", reader(self.morphology, words.sparkSession)(F.col("word")).alias("r")).select("word", "r.*").filter("word IS NOT NULL").collect()
+            return {r.word: r.lemma for r in rows}, {r.word for r in rows if r.stop}
         found = words.distinct().join(self.forms, F.col("word") == F.col("form")).select("form", "known", "stop").collect()
         return {r.form: r.known for r in found if r.known is not None}, {r.form for r in found if r.stop}
 
@@ -114,9 +130,12 @@ def _forms(morph: DataFrame) -> DataFrame:
 
 
 def lemmas_of_words(words: DataFrame, dictionary: Dictionary, form_col: str = "word") -> DataFrame:
-    """Adds ``lemma`` to rows of words and drops stop forms.  A small dictionary is
-    broadcast; of a large one only the forms that the words have go on, so that
+    """Adds ``lemma`` to rows of words and drops stop forms.  A compiled dictionary
+    reads the words in place, whatever their number.  A small table is broadcast; of a large one only the forms that the words have go on, so that
     the rows of frequent words are not shuffled where those are few."""
+    if dictionary.morphology is not None:
+        read = reader(dictionary.morphology, words.sparkSession)(F.col(form_col)).alias("_read")
+        return words.select("*", read).filter("NOT _read.stop").select("*", F.col("_read.lemma").alias("lemma")).drop("_read")
     forms = dictionary.forms
     if dictionary.small:
         forms = F.broadcast(forms)

@@ -49,13 +49,13 @@ def words_of(pages: DataFrame, analyzer: Analyzer, is_html: bool = True) -> Data
 
 def postings(pages: DataFrame, analyzer: Analyzer, dictionary: Dictionary | None = None, is_html: bool = True) -> DataFrame:
     """(site_url, path, lemma, rank): how often a lemma stands on a page with code
-    200.  With a dictionary that may be broadcast, words become lemmas where the
+    200.  With a dictionary that may be broadcast, as a table or compiled, words become lemmas where the
     page is read and are counted there, so the one exchange carries a row for each
     lemma of a page.  A larger one is met by counted words, and forms of one lemma
     add up after that."""
     dictionary = dictionary or Dictionary.seed(pages.sparkSession, analyzer)
     words = words_of(good_pages(pages), analyzer, is_html)
-    if dictionary.small:
+    if dictionary.small or dictionary.morphology is not None:
         return lemmas_of_words(words, dictionary).groupBy(*PAGE_KEY, "lemma").agg(F.count("*").cast("float").alias("rank"))
     counted = words.groupBy(*PAGE_KEY, "word").agg(F.count("*").alias("n"))
     return lemmas_of_words(counted, dictionary).groupBy(*PAGE_KEY, "lemma").agg(F.sum("n").cast("float").alias("rank"))

@@ -16,6 +16,7 @@ from ..functions.analyzer import LATIN, LATIN_STOP, RUSSIAN, Dictionary, lemmas_
 from ..operators import crawl, index, search, snippet, stats, status
 from ..sources import document_pages, load, page_rows, unique_pages
 from ..sources.scratch import shared_folder
+from . import catalogue_text
 from .engine import NOTHING_FOUND, to_json
 from .store import Store
 
@@ -513,7 +514,7 @@ QUERIES = {
         snippet_hits, snippet_windows, snippet_bucketed, snippet_text, index_delete_page, index_delete_page_postings, index_delete_page_pages, index_upsert_page, index_upsert_page_postings, index_upsert_page_pages, frequency_increment, frequency_decrement,
         page_update, site_status_fold, site_status_cancelled, home_page_accessible, index_finished_check, any_site_not_indexed, site_status_update, crawl_frontier_step, crawl_closure, crawl_depth_zero, crawl_pages, search_response_json,
     )
-}
+} | catalogue_text.QUERIES
 
 
 # SQL side
@@ -711,4 +712,4 @@ SQL = {
 ), named(query_id, query) AS (VALUES """ + ", ".join(f"({n}, '{q}')" for n, q in QUERY_ROWS) + f""")
 SELECT query_id, CASE WHEN total IS NULL THEN '{{"result": true, "error": "{NOTHING_FOUND}' || query || '", "count": 0, "data": []}}'
   ELSE '{{"result": true, "count": ' || total || ', "data": [' || data || ']}}' END AS response FROM named LEFT JOIN responses USING (query_id)""",
-}
+} | catalogue_text.SQL

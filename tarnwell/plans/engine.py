@@ -43,7 +43,8 @@ def error(message: str) -> dict:
 class Engine:
     """``folder`` holds the index; ``sites`` is a list of {url, name}.
     ``dictionary`` is a morphology table (form, lemma, pos, ord) or the path of
-    one; without it the analyzer's own few forms are all."""
+    one; without it the analyzer's own few forms are all.  A large one is compiled to
+    an automaton; with ``guess`` any, and other forms get lemmas by their endings."""
 
     spark: SparkSession
     folder: str
@@ -51,6 +52,7 @@ class Engine:
     analyzer: Analyzer = RUSSIAN
     is_html: bool = True
     dictionary: DataFrame | str | None = None
+    guess: bool = False
     _lock: threading.Lock = field(default_factory=threading.Lock)
     _stop: threading.Event = field(default_factory=threading.Event)
     _job: str | None = None
@@ -59,7 +61,8 @@ class Engine:
     def __post_init__(self) -> None:
         self.store = Store(self.spark, self.folder)
         morph = self.spark.read.parquet(self.dictionary) if isinstance(self.dictionary, str) else self.dictionary
-        self._forms = Dictionary.seed(self.spark, self.analyzer) if morph is None else Dictionary.of(morph)
+        forms = Dictionary.seed(self.spark, self.analyzer) if morph is None else Dictionary.of(morph)
+        self._forms = forms.compile(self.guess) if self.guess or not forms.small else forms
 
     def table(self, name: str) -> DataFrame:
         return self.store.table(name)
