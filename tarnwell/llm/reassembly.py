@@ -42,8 +42,6 @@ _CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # timers fire in the micro-batch of the next batch's rows, after those
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
-    # a commit writes what changed, not the whole store
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # every start has stores of its own: close them with their tasks, and no files larger than what is in them
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
