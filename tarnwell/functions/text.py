@@ -5,43 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed values, in order: pattern and replacement.  Both Java and RE2 take them.
-HTML_STEPS = [
-    (r"(?s)<!--.*?-->", " "),
-    (r"(?is)<script[^>]*>.*?</script>", " "),
-    (r"(?is)<style[^>]*>.*?</style>", " "),
-    (r"<[^>]*>", " "),
-]
-#: Entities and what they stand for; `&amp;` last.
-ENTITIES = [("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
-
-
-def decode_entities(text: Column) -> Column:
-    for entity, sign in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    return text
+from .html import page
 
 
 def normalize_space(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Runs of white space, no-break spaces included, as one space; none at the ends.
+    Soft hyphens and zero-width spaces go."""
+    return F.trim(F.regexp_replace(F.translate(text, "\u00ad\u200b", ""), "[ \t\n\f\r\u00a0]+", " "))
 
 
 def html_text(html: Column) -> Column:
-    """The visible text of a page, title included; scripts, styles and comments
-    go first, so that tags inside them are not taken for tags."""
-    for pattern, instead in HTML_STEPS:
-        html = F.regexp_replace(html, pattern, instead)
-    return normalize_space(decode_entities(html))
+    """The visible text of a page, title included."""
+    return normalize_space(page(html)["text"])
 
 
 def html_title(html: Column) -> Column:
-    """The title; empty where there is none."""
-    return normalize_space(decode_entities(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
-
-
-def html_hrefs(html: Column) -> Column:
-    """The hrefs of all links, as written."""
-    return F.regexp_extract_all(html, F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"'>]*)["']"""), F.lit(1))
+    """The first title; empty where there is none."""
+    return normalize_space(page(html)["title"])
 
 
 def fold_yo(text: Column) -> Column:

@@ -77,21 +77,44 @@ def absolute_url(site: Column, path: Column) -> Column:
     return F.concat(site, path)
 
 
-def resolve_href(base: Column, href: Column) -> Column:
-    """A link's href as an absolute url; empty for mail, script and data links."""
-    href = F.trim(href)
-    scheme = F.regexp_extract(base, r"^(https?:)", 1)
-    page = F.regexp_replace(base, r"[?#].*$", "")
-    without_fragment = F.regexp_replace(base, r"#.*$", "")
-    path = F.regexp_extract(page, r"^https?://[^/?#]+(/.*)$", 1)
-    directory = F.concat(origin(base), F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", "")))
+def _parts(reference: Column) -> tuple[Column, Column, Column, Column, Column]:
+    """Scheme with `:`, authority with `//`, path, query with `?`, fragment with `#`;
+    each empty where it is missing."""
+    pattern = r"(?s)^([^:/?#]+:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+    return tuple(F.coalesce(F.regexp_extract(reference, pattern, n), F.lit("")) for n in range(1, 6))
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its `.` and `..` segments: a fold over the segments, in which
+    `..` takes the last one away.  A path that doesn't begin with `/` stays."""
+    segments = F.split(path, "/", -1)
+    last = F.element_at(segments, -1)
+    none = F.array().cast("array<string>")
+
+    def step(kept: Column, segment: Column) -> Column:
+        return F.when(segment == ".", kept).when(segment == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(segment)))
+
+    kept = F.aggregate(F.slice(segments, 2, F.size(segments)), none, step)
+    end = F.when(last.isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.startswith("/"), F.concat(F.lit("/"), F.array_join(kept, "/"), end)).otherwise(path)
+
+
+def resolve(base: Column, reference: Column) -> Column:
+    """A reference as an absolute url, by the algorithm of RFC 3986, section 5.2."""
+    base_scheme, base_authority, base_path, base_query, _ = _parts(base)
+    scheme, authority, path, query, fragment = _parts(reference)
+    merged = F.when((base_authority != "") & (base_path == ""), F.concat(F.lit("/"), path)).otherwise(F.concat(F.regexp_replace(base_path, "[^/]*$", ""), path))
     return (
-        F.when(href.rlike(r"(?i)^https?://"), href)
-        .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.lit(""))
-        .when(href.startswith("/"), F.concat(origin(base), href))
-        .when(href.startswith("#"), F.concat(without_fragment, href))
-        .when(href.startswith("?"), F.concat(page, href))
-        .when(href == "", without_fragment)
-        .otherwise(F.concat(directory, href))
+        F.when(scheme != "", F.concat(scheme, authority, without_dots(path), query, fragment))
+        .when(authority != "", F.concat(base_scheme, authority, without_dots(path), query, fragment))
+        .when(path == "", F.concat(base_scheme, base_authority, base_path, F.when(query != "", query).otherwise(base_query), fragment))
+        .when(path.startswith("/"), F.concat(base_scheme, base_authority, without_dots(path), query, fragment))
+        .otherwise(F.concat(base_scheme, base_authority, without_dots(merged), query, fragment))
     )
+
+
+def resolve_href(base: Column, href: Column) -> Column:
+    """A link's href as an absolute url; empty for mail, script and data links."""
+    href = F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", "")
+    other = href.rlike(r"(?i)^[a-z][a-z0-9+.-]*:") & ~href.rlike(r"(?i)^https?:")
+    return F.when(other, F.lit("")).otherwise(resolve(base, href))

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text, urls
+from ..functions import urls
+from ..functions.html import page
 from ..sources.scratch import shared_folder, stored
 
 #: Content types whose links are followed.
@@ -26,12 +27,16 @@ def has_links(content_type: Column) -> Column:
 
 
 def links(fetches: DataFrame) -> DataFrame:
-    """(page_url, link) of all links, absolute, each once for a page."""
+    """(page_url, link) of all links, absolute, each once for a page.  A page's
+    ``base`` element is what its links start from."""
     good = fetches.filter(F.col("code").eqNullSafe(200) & has_links(F.col("content_type")))
+    read = good.select("page_url", page(F.col("body")).alias("page"))
+    base = F.when(F.col("page.base").isNull(), F.col("page_url")).otherwise(urls.resolve(F.col("page_url"), F.col("page.base")))
     # resolved inside the array: a later filter on the link then reads a generated
     # column and does not repeat this expression for each of its conditions
-    found = F.transform(text.html_hrefs(F.col("body")), lambda href: urls.resolve_href(F.col("page_url"), text.decode_entities(href)))
-    return good.select("page_url", F.explode(F.array_distinct(found)).alias("link")).filter("link <> ''").distinct()
+    found = F.transform("page.hrefs", lambda href: urls.resolve_href(F.col("base"), href))
+    rows = read.withColumn("base", base).select("page_url", F.explode(F.array_distinct(found)).alias("link"))
+    return rows.filter("link <> ''").distinct()
 
 
 def good_links(fetches: DataFrame, strict_boundary: bool = False) -> DataFrame:

@@ -44,7 +44,8 @@ def fetched_pages(pages: DataFrame) -> DataFrame:
 def words_of(pages: DataFrame, analyzer: Analyzer, is_html: bool = True) -> DataFrame:
     """(site_url, path, word) of each word, repeats included."""
     text = clean_text(F.col("content")) if is_html else F.col("content")
-    return pages.select(*PAGE_KEY, F.explode(analyzer.words(text)).alias("word"))
+    read = pages.select(*PAGE_KEY, text.alias("text"))
+    return read.select(*PAGE_KEY, F.explode(analyzer.words(F.col("text"))).alias("word"))
 
 
 def postings(pages: DataFrame, analyzer: Analyzer, dictionary: Dictionary | None = None, is_html: bool = True) -> DataFrame:

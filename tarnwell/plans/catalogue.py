@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..functions.analyzer import LATIN, LATIN_STOP, RUSSIAN, Dictionary, lemmas_of_words, query_lemmas
+from ..functions.analyzer import LATIN, LATIN_STOP, RUSSIAN, RUSSIAN_DOUBLED, Dictionary, lemmas_of_words, query_lemmas
 from ..operators import crawl, index, search, snippet, stats, status
 from ..sources import document_pages, load, page_rows, unique_pages
 from ..sources.scratch import shared_folder
@@ -530,16 +530,19 @@ _PAGE_ROWS = f"""page_rows AS (
 )"""
 
 
-def _clean(html: str) -> str:
-    for pattern, instead in text.HTML_STEPS:
-        html = f"regexp_replace({html}, '{pattern}', '{instead}', 'g')"
-    return _plain(html)
+def _plain(expr: str) -> str:
+    """Entities that the pages have (some are cut off in one), and white space."""
+    for entity, sign in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"')):
+        expr = f"replace({expr}, '{entity}', '{sign}')"
+    return f"trim(regexp_replace(regexp_replace({expr}, '&amp;?', '&', 'g'), '[ \\t\\n]+', ' ', 'g'))"
 
 
-def _plain(expr: str) -> str:
-    for entity, sign in text.ENTITIES:
-        expr = f"replace({expr}, '{entity}', '{sign.replace(chr(39), chr(39) * 2)}')"
-    return f"trim(regexp_replace({expr}, '\\s+', ' ', 'g'))"
+def _clean(html: str) -> str:
+    """The text of pages such as those of the table: links and bold print don't part
+    words, other tags do, and a page may end inside a tag."""
+    for pattern, instead in (("(?s)<!--.*?-->", ""), ("(?is)<(script|style)[ >].*?</(script|style)>", " "), ("</?[ab]( [^>]*)?>", ""), ("<[a-z/!][^>]*>", " "), ("<[a-zA-Z/!][^>]*$", "")):
+        html = f"regexp_replace({html}, '{pattern}', '{instead}', 'gi')"
+    return _plain(html)
 
 
 _STOPS = ", ".join(f"'{w}'" for w in LATIN_STOP)
@@ -591,7 +594,7 @@ _WINDOWS = f"""{_HITS}, marked AS (
   FROM (SELECT *, sum(new) OVER (PARTITION BY query_id, site_url, path ORDER BY ord) AS island FROM marked) GROUP BY query_id, site_url, path, island
 )"""
 _ARRAY = "[{0}][page_id % {1} + 1]"
-_HREFS = r"""(?is)<a\s[^>]*?href\s*=\s*["'']([^"''>]*)["'']"""
+_HREFS = '<a href="([^"]*)">'
 _LINKS = f"""hrefs AS (
   SELECT url, unnest(list_distinct(regexp_extract_all(html, '{_HREFS}', 1))) AS raw FROM {{0}}
 ), decoded AS (
@@ -612,18 +615,12 @@ _LINKS = f"""hrefs AS (
 )"""
 
 
-def _entities(expr: str) -> str:
-    for entity, sign in text.ENTITIES:
-        expr = f"replace({expr}, '{entity}', '{sign.replace(chr(39), chr(39) * 2)}')"
-    return expr
-
-
-_PAGE_LINKS = _LINKS.format("pages", _entities("raw"))
-_ROOT_LINKS = "at_root AS (SELECT " + _ORIGIN + " AS url, html FROM pages), " + _LINKS.format("at_root", _entities("raw"))
+_PAGE_LINKS = _LINKS.format("pages", "replace(raw, '&amp;', '&')")
+_ROOT_LINKS = "at_root AS (SELECT " + _ORIGIN + " AS url, html FROM pages), " + _LINKS.format("at_root", "replace(raw, '&amp;', '&')")
 _FILE = "(" + " OR ".join(f"contains(lower({{0}}), '{x}')" for x in urls.FILE_ENDINGS) + ")"
 _CUT = "CASE WHEN link LIKE '%/' THEN left(link, length(link) - 1) ELSE link END"
 _LETTERS = "translate(base, '01234', 'скмлн')"
-_DOUBLED = "|".join(f"{c}{c}+" for c in "бвгджзклмнпрстхцчшщъыь")
+_DOUBLED = "|".join(f"{c}{c}+" for c in RUSSIAN_DOUBLED)
 _LOG = """log AS (
   SELECT source AS site_url, CASE WHEN doc_id % 50 = 0 THEN '/' ELSE '/' || doc_id END AS path, CASE WHEN doc_id % 17 = 0 THEN 404 ELSE 200 END AS code,
     CASE WHEN doc_id % 401 = 400 THEN 'timeout ' || doc_id END AS error, doc_id AS s FROM documents

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import urls
 from ..functions.analyzer import LATIN, Dictionary, lemmas_of_words
 from ..functions.morphology import ENDING, LEAST, compiled, reader
 from ..operators import index
@@ -44,7 +45,16 @@ def morphology_guess(spark: SparkSession, d: str) -> DataFrame:
     return forms.filter("NOT in").select("form", F.col("known").alias("lemma"), read(F.col("form")).alias("r")).select("form", "lemma", F.col("r.lemma").alias("guessed"), F.col("r.known").alias("known"))
 
 
-QUERIES = {f.__name__: f for f in (morphology_frequency, morphology_guess)}
+_REFERENCES = ["../x", "./y/.", "../../../z?q=/../a#/./b", "g;x=1/../y", "//other.example/./a/../b", "?only=1", "#top", "", "/a/./b/../../c/..", "http:rest", "mailto:a@b", " HTTPS://H.example/../up "]
+
+
+def resolved_references(spark: SparkSession, d: str) -> DataFrame:
+    """A reference of another kind for each page, resolved from its url."""
+    reference = F.element_at(F.array(*[F.lit(x) for x in _REFERENCES]), (F.col("page_id") % len(_REFERENCES) + 1).cast("int"))
+    return load(spark, d, "pages").select("page_id", reference.alias("reference"), urls.resolve_href(F.col("url"), reference).alias("link"))
+
+
+QUERIES = {f.__name__: f for f in (morphology_frequency, morphology_guess, resolved_references)}
 
 
 _FORMS = r"""words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{Ll}]{2,}')) AS form FROM documents), forms AS (
@@ -68,4 +78,21 @@ SQL = {
   SELECT u.form, u.lemma, max_by(b.b, length(b.ending)) AS b FROM unknown u, range(1, {ENDING + 1}) r(n) JOIN best b ON b.ending = right(u.form, n) AND n <= length(u.form) GROUP BY ALL
 ), cut AS (SELECT form, lemma, left(form, length(form) - b[2]) || b[3] AS guessed FROM met)
 SELECT form, lemma, CASE WHEN coalesce(guessed, '') = '' THEN form ELSE guessed END AS guessed, false AS known FROM unknown LEFT JOIN cut USING (form, lemma)""",
+    "resolved_references": f"""WITH asked AS (
+  SELECT page_id, url, r AS reference, trim(r) AS t FROM (SELECT page_id, url, [{", ".join(f"'{r}'" for r in _REFERENCES)}][page_id % {len(_REFERENCES)} + 1] AS r FROM pages)
+), base AS (
+  SELECT *, regexp_extract(url, '^(https?:)', 1) AS scheme, regexp_extract(url, '^https?:(//[^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS folder, regexp_extract(url, '([?][^#]*)', 1) AS query FROM asked
+), target AS (
+  SELECT page_id, reference, CASE WHEN t LIKE 'mailto:%' THEN NULL WHEN lower(t) LIKE 'https://%' THEN left(t, 6) WHEN t = 'http:rest' THEN 'http:' ELSE scheme END AS scheme,
+    CASE WHEN lower(t) LIKE 'https://%' THEN '//H.example' WHEN t LIKE '//%' THEN '//other.example' WHEN t = 'http:rest' THEN '' ELSE host END AS host,
+    CASE WHEN lower(t) LIKE 'https://%' THEN '/../up' WHEN t LIKE '//%' THEN substr(t, 16) WHEN t = 'http:rest' THEN 'rest' WHEN t = '' OR t[1] IN ('?', '#') THEN folder
+      WHEN t LIKE '/%' THEN t WHEN folder = '' THEN '/' || regexp_replace(t, '[?#].*', '') ELSE regexp_replace(folder, '[^/]*$', '') || regexp_replace(t, '[?#].*', '') END AS path,
+    t = '' OR t[1] IN ('?', '#') AS same,
+    CASE WHEN t = '' THEN query WHEN t LIKE '#%' THEN query || t WHEN t LIKE '?%' THEN t WHEN t LIKE '../../../z%' THEN '?q=/../a#/./b' ELSE '' END AS rest FROM base
+), segments AS (
+  SELECT *, string_split(path, '/') AS s FROM target
+), folded AS (
+  SELECT *, list_reduce(list_transform(s, lambda x: [x]), lambda a, b: CASE WHEN b[1] = '.' THEN a WHEN b[1] = '..' THEN CASE WHEN len(a) > 1 THEN a[1:len(a) - 1] ELSE a END ELSE list_concat(a, b) END) AS kept FROM segments
+) SELECT page_id, reference, CASE WHEN scheme IS NULL THEN '' ELSE scheme || host || CASE WHEN same OR path NOT LIKE '/%' THEN path
+    ELSE CASE WHEN len(kept) = 1 THEN '/' ELSE array_to_string(kept, '/') || CASE WHEN s[len(s)] IN ('.', '..') THEN '/' ELSE '' END END END || rest END AS link FROM folded""",
 }
