@@ -21,17 +21,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.automaton import MOST_EDGES, Automaton, TooLarge, build
+from ..sources.scratch import stored
 
 ENDING = 5
 LEAST = 3
 MOST_RULES = 1_000_000
 
 
+NEAR = 8
+
+
 def rule_of(form: Column, lemma: Column) -> tuple[Column, Column]:
-    """(cut, add): letters to take off a form's end, and what comes instead."""
-    n = F.least(F.length(form), F.length(lemma))
-    same = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda k, i: F.when((k == i - 1) & (i <= n) & (F.substring(form, i, F.lit(1)) == F.substring(lemma, i, F.lit(1))), i).otherwise(k))
-    return F.length(form) - same, F.substring(lemma, same + 1, F.length(lemma))
+    """(cut, add): letters to take off a form's end, and what comes instead.  Most
+    rules cut few letters and are found by comparing beginnings; for others the shared
+    beginning is counted letter by letter."""
+    size = F.length(form)
+    n = F.least(size, F.length(lemma))
+    same = F.aggregate(F.sequence(F.lit(0), n), F.lit(0), lambda k, i: F.when((i > 0) & (k == i - 1) & (F.substring(form, i, F.lit(1)) == F.substring(lemma, i, F.lit(1))), i).otherwise(k))
+    cut = F.when(lemma.startswith(form), 0)
+    for k in range(1, NEAR + 1):
+        cut = cut.when((size >= k) & lemma.startswith(F.substring(form, F.lit(1), size - k)), k)
+    cut = cut.otherwise(size - same)
+    return cut, F.substring(lemma, size - cut + 1, F.length(lemma))
 
 
 def with_rules(forms: DataFrame) -> DataFrame:
@@ -97,7 +108,7 @@ def compiled(forms: DataFrame, guess: bool = False, most_edges: int = MOST_EDGES
     lemma ``known`` (their own where it is null).  Raises ``TooLarge`` beyond
     ``most_edges`` or a million different rules."""
     spark = forms.sparkSession
-    rules = with_rules(forms)
+    rules = stored(with_rules(forms), "rules")
     found = rules.select("cut", "add", "stop").distinct().limit(MOST_RULES + 1).collect()
     if len(found) > MOST_RULES:
         raise TooLarge(f"more than {MOST_RULES} rules")
