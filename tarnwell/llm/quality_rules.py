@@ -1,9 +1,9 @@
 """Quality rules (operator 10): cross-document line frequency.
 
 Lines are normalised (A-Z lower-cased, words only) and hashed; for each host the
-documents that hold a line are counted.  A line in at least ``min_docs``
-documents and in more than ``max_share`` percent of the host's documents is
-boilerplate and is removed; a document is rejected when less than
+distinct documents that hold a line are counted.  A line in at least ``many_docs``
+documents, or in at least ``min_docs`` that are ``min_share`` percent of the host's
+documents, is boilerplate and is removed; a document is rejected when less than
 ``min_left_share`` percent or ``min_left_words`` of its words are left.  Before
 that, base rules fail documents that are too short or repeat themselves.
 
@@ -20,7 +20,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import row_number, stored
@@ -29,10 +29,15 @@ from .common import NOT_SPACE, chained, fold, map_arrow, segment_sums, span_keys
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_SHARE = 20
+#: A line that so many documents of a host hold is the host's and not theirs, however
+#: large the host; on a small host a tenth of its documents will do, five at least.
+MANY_DOCS = 30
 MIN_DOCS = 5
-MAX_SHARE = 8
-MIN_LEFT_SHARE = 25
-MIN_LEFT_WORDS = 5
+MIN_SHARE = 10
+#: A document that loses half of its words to such lines has no body of its own, and
+#: what is left must have as many words as any document.
+MIN_LEFT_SHARE = 50
+MIN_LEFT_WORDS = MIN_WORDS
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -129,27 +134,39 @@ def _measured(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, measure, f"{own}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines {LINES}")
 
 
-def boilerplate(measured: DataFrame, min_docs: int, max_share: int) -> DataFrame:
-    """(host, one, two, n_docs) of the lines above the limits."""
-    counts = measured.select("host", F.explode("lines").alias("l")).groupBy("host", "l.one", "l.two").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
-    sizes = measured.groupBy("host").agg(F.count("*").alias("host_docs"))
-    return counts.join(sizes, "host").filter(F.col("n_docs") * 100 > F.col("host_docs") * max_share).select("host", "one", "two", "n_docs")
+def _documents(id_col: Column) -> Column:
+    """Distinct ids, and rows without one each by itself."""
+    return F.count_distinct(id_col) + F.count_if(id_col.isNull())
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: int = MAX_SHARE, min_left_share: int = MIN_LEFT_SHARE, min_left_words: int = MIN_LEFT_WORDS, with_text: bool = True) -> DataFrame:
+def boilerplate(measured: DataFrame, many_docs: int, min_docs: int, min_share: int) -> DataFrame:
+    """(host, one, two, n_docs) of the lines above the limits.  A line stands once in a
+    row's list, so rows bound documents from above: ids are told apart only for
+    lines that enough rows hold."""
+    lines = measured.select("host", "doc_id", F.explode("lines").alias("l")).select("host", "doc_id", "l.one", "l.two")
+    line = ["host", "one", "two"]
+    candidates = lines.groupBy(*line).agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") >= min(many_docs, min_docs)).drop("n_rows")
+    counts = lines.join(candidates, line).groupBy(*line).agg(_documents(F.col("doc_id")).alias("n_docs"))
+    sizes = measured.groupBy("host").agg(_documents(F.col("doc_id")).alias("host_docs"))
+    above = (F.col("n_docs") >= many_docs) | ((F.col("n_docs") >= min_docs) & (F.col("n_docs") * 100 >= F.col("host_docs") * min_share))
+    return counts.join(sizes, "host").filter(above).select(*line, "n_docs")
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", many_docs: int = MANY_DOCS, min_docs: int = MIN_DOCS, min_share: int = MIN_SHARE, min_left_share: int = MIN_LEFT_SHARE, min_left_words: int = MIN_LEFT_WORDS, with_text: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words and, with
     ``with_text``, cleaned (the text without boilerplate lines; null for a null
     text).
 
     Null and empty texts have no words and fail.  Null hosts are one host, the
-    empty one.  Repeated rows count as documents of their own, here and in line
-    counts; null ids are allowed; an empty table gives no rows.
+    empty one.  Rows of one id are one document in the counts of lines and hosts,
+    rows with a null id each one of its own; every row is judged by itself.  An
+    empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"))
     measured = _measured(rows)
     measured = stored(measured if with_text else measured.drop("text"), "measured").select("*", row_number().alias("row"))
-    frequent = stored(boilerplate(measured, min_docs, max_share), "frequent-lines")
+    frequent = stored(boilerplate(measured, many_docs, min_docs, min_share), "frequent-lines")
     held = measured.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.one", "l.two", "l.n").join(frequent, ["host", "one", "two"])
     removed = held.groupBy("row").agg(F.sum("n").alias("n_removed_words"), *([F.collect_list(F.struct("one", "two")).alias("bad")] if with_text else []))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_SHARE * F.col("n_words"))
@@ -187,32 +204,32 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH base AS (
-  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+  SELECT doc_id, row_number() OVER () AS rid, coalesce(CAST(doc_id AS VARCHAR), 'row ' || row_number() OVER ()) AS document, coalesce(source, '') AS host, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), windows AS (
-  SELECT doc_id, k, array_to_string(w[k : k + 4], ' ') AS phrase FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS k FROM base WHERE len(w) >= 5)
+  SELECT rid, k, array_to_string(w[k : k + 4], ' ') AS phrase FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 4)) AS k FROM base WHERE len(w) >= 5)
 ), repeats AS (
-  SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (
-    SELECT doc_id, unnest(generate_series(k, k + 4)) AS j FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, phrase) AS n FROM windows) WHERE n > 1) GROUP BY doc_id
+  SELECT rid, count(DISTINCT j) AS n_repeat_words FROM (
+    SELECT rid, unnest(generate_series(k, k + 4)) AS j FROM (SELECT rid, k, count(*) OVER (PARTITION BY rid, phrase) AS n FROM windows) WHERE n > 1) GROUP BY rid
 ), lines AS (
-  SELECT doc_id, host, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lw
-  FROM (SELECT doc_id, host, unnest(string_split(body, chr(10))) AS line FROM base)
+  SELECT rid, document, host, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lw
+  FROM (SELECT rid, document, host, unnest(string_split(body, chr(10))) AS line FROM base)
 ), worded AS (
-  SELECT doc_id, host, line, len(lw) AS n, array_to_string(lw, ' ') AS normal FROM lines WHERE len(lw) > 0
+  SELECT rid, document, host, line, len(lw) AS n, array_to_string(lw, ' ') AS normal FROM lines WHERE len(lw) > 0
 ), dups AS (
-  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY doc_id
+  SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY rid
 ), frequent AS (
-  SELECT host, normal FROM (SELECT host, normal, count(DISTINCT doc_id) AS n_docs FROM worded GROUP BY host, normal)
-  JOIN (SELECT host, count(*) AS host_docs FROM base GROUP BY host) USING (host)
-  WHERE n_docs >= 5 AND n_docs * 100 > host_docs * 8
+  SELECT host, normal FROM (SELECT host, normal, count(DISTINCT document) AS n_docs FROM worded GROUP BY host, normal)
+  JOIN (SELECT host, count(DISTINCT document) AS host_docs FROM base GROUP BY host) USING (host)
+  WHERE n_docs >= 30 OR (n_docs >= 5 AND n_docs * 100 >= host_docs * 10)
 ), removed AS (
-  SELECT doc_id, sum(n) AS n_removed FROM worded JOIN frequent USING (host, normal) GROUP BY doc_id
+  SELECT rid, sum(n) AS n_removed FROM worded JOIN frequent USING (host, normal) GROUP BY rid
 ), judged AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(body, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed_words
-  FROM base LEFT JOIN dups USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN removed USING (doc_id)
+  FROM base LEFT JOIN dups USING (rid) LEFT JOIN repeats USING (rid) LEFT JOIN removed USING (rid)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * (n_words - n_removed_words) >= 25 * n_words AND n_words - n_removed_words >= 5 AS kept, n_removed_words
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * (n_words - n_removed_words) >= 50 * n_words AND n_words - n_removed_words >= 10 AS kept, n_removed_words
 FROM judged
 """

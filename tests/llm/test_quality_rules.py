@@ -75,3 +75,36 @@ def test_rows(spark):
     assert kept[1] and kept[6] and not any(kept[k] for k in (2, 3, 4, 5, 8, 9, None))
     assert {r.cleaned for r in got if r.doc_id == 2} == {None}
     assert quality_rules.judge(docs(spark, [])).count() == 0
+
+
+def counted(rows):
+    """Removed words and verdicts of (id, text, host), by counting sets of ids."""
+    normal = lambda line: tuple(W.findall(re.sub("[A-Z]", lambda m: m[0].lower(), line)))
+    key = [(n, None) if i is None else i for n, (i, *_) in enumerate(rows)]
+    holders, hosts = {}, {}
+    for k, (_, text, host) in zip(key, rows, strict=True):
+        hosts.setdefault(host or "", set()).add(k)
+        for line in (text or "").split("\n"):
+            if normal(line):
+                holders.setdefault((host or "", normal(line)), set()).add(k)
+    bad = {x for x, ids in holders.items() if len(ids) >= 30 or (len(ids) >= 5 and 10 * len(ids) >= len(hosts[x[0]]))}
+    for i, text, host in rows:
+        n, *_, again = brute(text)
+        gone = sum(len(normal(x)) for x in (text or "").split("\n") if (host or "", normal(x)) in bad)
+        failed = n < 10 or 100 * again > 20 * n
+        yield str(i), n, gone, not failed and 2 * (n - gone) >= n and n - gone >= 10
+
+
+def test_distinct_documents_of_large_and_small_hosts(spark):
+    body = lambda k: " ".join(f"w{k}x{j}" for j in range(14))
+    many, some = "Read all about it here and tell every friend of yours today", "Sign in to vote now"
+    rows = [(k, body(k), "large") for k in range(400)]  # two lines: in 30 and in 29 of 460 documents and more
+    rows += [(1000 + k, f"{body(1000 + k)}\n{many if k < 30 else some}", "large") for k in range(59)]
+    rows += [(2000, f"{many}\n{many}\nonly eight words of its own are left", "large")]
+    rows += [(3000, f"mine alone {body(1)}\n{some}", "large")] * 40  # one document, forty times
+    rows += [(None, f"nobody's line {body(2)}", "nulls")] * 5 + [(k, body(k), None) for k in range(4)]
+    rows += [(k, f"{some}\n{body(k)}", "small") for k in range(5)] + [(k, body(k), "small") for k in range(5, 51)]
+    got = quality_rules.judge(spark.createDataFrame([(i, t, "en", h, 0) for i, t, h in rows], SCHEMA).repartition(3), with_text=False).collect()
+    want = sorted(counted(rows))
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed_words, r.kept) for r in got) == want
+    assert {w[2] for w in want if w[0] == "3000"} == {5} and not [w for w in want if w[0] == "2000"][0][3]
