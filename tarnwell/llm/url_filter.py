@@ -22,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,8 +47,9 @@ class Level(NamedTuple):
 
 
 def _slots(level_bits: int, hashes: int, salt: int, one: np.ndarray, two: np.ndarray) -> Iterable[np.ndarray]:
-    a = mix(one ^ np.uint64(0x9E3779B97F4A7C15 * (salt + 1) & (1 << 64) - 1))
-    b = mix(two + np.uint64(salt)) | np.uint64(1)
+    b = mix(two + np.uint64(salt))
+    a = mix(one ^ b ^ np.uint64(0x9E3779B97F4A7C15 * (salt + 1) & (1 << 64) - 1))  # either half changes every slot
+    b |= np.uint64(1)
     for i in range(hashes):
         yield (a + np.uint64(i) * b) % np.uint64(level_bits)
 
@@ -101,9 +103,14 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def digest_of(key: Column) -> Column:
+    """128 bits of the key's SHA-256: what the filters know of a key."""
+    return F.unhex(F.substring(F.sha2(key, 256), 1, 32))
+
+
 def _candidates(pages: DataFrame, labels: list[int], lengths: list[int]) -> DataFrame:
     """Adds ``keys``: candidate keys, longest first (at equal length the longer
-    host first), and two 64-bit hashes of each.  Only parent domains whose number
+    host first), and the digest of each.  Only parent domains whose number
     of labels is in ``labels`` and prefixes of ``lengths`` can be listed, so no
     others are made: a url costs no more for having many labels."""
     there = F.length("host") - F.length(F.replace(F.col("host"), F.lit("."), F.lit(""))) + 1
@@ -112,16 +119,20 @@ def _candidates(pages: DataFrame, labels: list[int], lengths: list[int]) -> Data
     keys = F.flatten(
         F.transform(hosts, lambda h: F.transform(F.filter(cut, lambda n: n <= F.length("path")), lambda n: F.struct((-F.length(h) - n).alias("order"), (-F.length(h)).alias("host_order"), F.concat(h, F.substring(F.col("path"), F.lit(1), n)).alias("key"))))
     )
-    return pages.withColumn("keys", F.transform(F.array_sort(keys), lambda k: k["key"])).withColumns(
-        {"one": F.transform("keys", lambda k: F.xxhash64(k)), "two": F.transform("keys", lambda k: F.xxhash64(k, F.lit(1)))}
-    )
+    return pages.withColumn("keys", F.transform(F.array_sort(keys), lambda k: k["key"])).withColumn("digests", F.transform("keys", digest_of))
+
+
+def _halves(digests: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Digests as two 64-bit words each."""
+    words = np.frombuffer(b"".join(digests.to_pylist()), "<u8").reshape(-1, 2)
+    return np.ascontiguousarray(words[:, 0]), np.ascontiguousarray(words[:, 1])
 
 
-def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets of the key lists and both hashes, flat."""
-    keys = batch.column("one")
-    offsets = keys.offsets.to_numpy().astype(np.int64)
-    return offsets - offsets[0], keys.flatten().to_numpy().view(np.uint64), batch.column("two").flatten().to_numpy().view(np.uint64)
+def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
+    """Offsets of the key lists and all digests, flat."""
+    lists = batch.column("digests")
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return offsets - offsets[0], lists.flatten()
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", max_listed: int = MAX_LISTED) -> DataFrame:
@@ -142,27 +153,27 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: s
     labels = sorted({host.count(".") + 1 for host, _, _ in rules} or {1})
     keyed = _candidates(base, labels, lengths)
 
-    hashed = spark.createDataFrame([(k, v) for k, v in listed.items()] or [("", "allow")], "key string, verdict string").select("verdict", F.xxhash64("key").alias("one"), F.xxhash64("key", F.lit(1)).alias("two")).toPandas()
-    if not listed:
-        hashed = hashed[:0]
-    pick = lambda rows: (rows["one"].to_numpy(np.int64).view(np.uint64), rows["two"].to_numpy(np.int64).view(np.uint64))
-    inside = pick(hashed)
-    known = set(zip(*(x.tolist() for x in inside), strict=True))
-    universe = keyed.select(F.explode("one").alias("one")).agg(F.approx_count_distinct("one")).first()[0]
+    hashed = spark.createDataFrame(list(listed.items()), "key string, verdict string").select("verdict", digest_of(F.col("key")).alias("digest")).collect()
+    own = pa.array([bytes(r.digest) for r in hashed], pa.binary())
+    inside = _halves(own)
+    universe = keyed.select(F.explode("digests").alias("digest")).agg(F.approx_count_distinct("digest")).first()[0]
     first = _level(*inside, min(0.5, max(len(listed), 1) / (math.sqrt(2) * max(universe, 1))), 0)
 
     def wrong(batches):
         for batch in batches:
-            _, one, two = _lists(batch)
-            at = np.flatnonzero(_passes(first, one, two))
-            at = np.array([i for i in at if (int(one[i]), int(two[i])) not in known], np.int64)
-            pairs = np.unique(np.stack([one[at], two[at]], 1), axis=0) if len(at) else np.zeros((0, 2), np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy().view(np.int64)), pa.array(pairs[:, 1].copy().view(np.int64))], ["one", "two"])
-
-    others = map_arrow(keyed.select("one", "two"), wrong, "one long, two long").distinct().toPandas()
-    levels = build(inside, pick(others), first)
+            digests = _lists(batch)[1]
+            found = digests.filter(pa.array(_passes(first, *_halves(digests))))
+            found = found.filter(pc.invert(pc.is_in(found, value_set=own)))
+            yield pa.RecordBatch.from_arrays([found.unique()], ["digest"])
+
+    # some 0.7 for each listed key are to be expected
+    most = 1000 + 4 * len(listed)
+    others = [bytes(r.digest) for r in map_arrow(keyed.select("digests"), wrong, "digest binary").distinct().limit(most + 1).collect()]
+    if len(others) > most:
+        raise ValueError(f"more than {most} keys pass the first filter, which was made for {universe}")
+    levels = build(inside, _halves(pa.array(sorted(others), pa.binary())), first)
     # among listed keys alone: which of them block
-    blocks = (hashed["verdict"] == "block").to_numpy()
+    blocks = np.array([r.verdict == "block" for r in hashed], bool)
     of_block, of_allow = tuple(x[blocks] for x in inside), tuple(x[~blocks] for x in inside)
     one_block = _level(*of_block, LATER_RATE, 1 << 20)
     through = _passes(one_block, *of_allow)
@@ -172,7 +183,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: s
     def verdict_of(batches):
         levels, verdicts = filters.value
         for batch in batches:
-            offsets, one, two = _lists(batch)
+            offsets, digests = _lists(batch)
+            one, two = _halves(digests)
             hit = np.flatnonzero(member(levels, one, two))
             at = np.searchsorted(hit, offsets[:-1])
             found = at < np.searchsorted(hit, offsets[1:])

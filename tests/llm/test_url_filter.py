@@ -61,3 +61,12 @@ def test_cascade_is_exact_over_the_universe(rate):
     levels = url_filter.build(inside, (outside[0][through], outside[1][through]), first)
     assert url_filter.member(levels, *inside).all() and not url_filter.member(levels, *outside).any()
     assert through.any() and len(levels) > 1
+
+
+def test_keys_of_one_first_half_are_told_apart(spark, monkeypatch):
+    """All keys have the same first 64 bits."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(url_filter, "digest_of", lambda key: F.unhex(F.concat(F.lit("0123456789abcdef"), F.substring(F.sha2(key, 256), 1, 16))))
+    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    assert sorted(map(str, (tuple(r) for r in url_filter.judge(pages).collect()))) == sorted(str((k, *brute(u, url_filter.RULES))) for k, u in enumerate(URLS))
