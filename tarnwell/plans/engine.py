@@ -10,6 +10,8 @@ from __future__ import annotations
 import json
 import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,12 +56,14 @@ class Engine:
     dictionary: DataFrame | str | None = None
     guess: bool = False
     _lock: threading.Lock = field(default_factory=threading.Lock)
+    _gate: threading.Lock = field(default_factory=threading.Lock)
     _stop: threading.Event = field(default_factory=threading.Event)
     _job: str | None = None
     _memo: tuple | None = None
 
     def __post_init__(self) -> None:
         self.store = Store(self.spark, self.folder)
+        self.store.deciding = self._deciding
         morph = self.spark.read.parquet(self.dictionary) if isinstance(self.dictionary, str) else self.dictionary
         forms = Dictionary.seed(self.spark, self.analyzer) if morph is None else Dictionary.of(morph)
         self._forms = forms.compile(self.guess) if self.guess or not forms.small else forms
@@ -84,26 +88,48 @@ class Engine:
 
     # operations
 
-    def _run(self, work) -> dict:
-        """Run ``work`` as the one operation under way, its jobs as a group that
-        `stop` cancels."""
-        if not self._lock.acquire(blocking=False):
-            return error(ALREADY_RUNNING)
+    @contextmanager
+    def _operation(self, wait: bool) -> Iterator[bool]:
+        """The one operation under way, its jobs as a group that `stop` cancels; false
+        where another is under way.  A stop and the commit decide by one lock which
+        of them comes first."""
+        if not self._lock.acquire(blocking=wait):
+            yield False
+            return
         context = self.spark.sparkContext
         try:
-            self._stop.clear()
-            self._job = f"index-{uuid.uuid4().hex}"
+            with self._gate:
+                self._stop.clear()
+                self._job = f"index-{uuid.uuid4().hex}"
             context.setJobGroup(self._job, "indexing", interruptOnCancel=True)
-            return work()
-        except Exception:
-            if not self._stop.is_set():
-                raise
-            return good()  # stopped: nothing of it counts
+            yield True
         finally:
+            with self._gate:
+                self._job = None
             context.setLocalProperty("spark.jobGroup.id", None)
-            self._job = None
             self._lock.release()
 
+    @contextmanager
+    def _deciding(self) -> Iterator[None]:
+        """Where the store commits: not after a stop, and after it there is nothing
+        left to stop."""
+        with self._gate:
+            if self._stop.is_set():
+                raise InterruptedError(status.STOPPED_BY_USER)
+            yield
+            self._job = None
+
+    def _run(self, work) -> dict:
+        with self._operation(wait=False) as begun:
+            if not begun:
+                return error(ALREADY_RUNNING)
+            try:
+                return work()
+            except Exception:
+                if not self._stop.is_set():
+                    raise
+                return good()  # stopped: nothing of it counts
+
     def index_all(self, fetches: DataFrame, max_depth: int | None = None) -> dict:
         """Crawl ``fetches`` (page_url, code, content_type, body, error, ts) from
         the configured sites and build the index anew.  Where that fails or is
@@ -119,8 +145,6 @@ class Engine:
             if self._stop.is_set():
                 raise InterruptedError(status.STOPPED_BY_USER)
             self.store.build(self._pages(fetched), status.fold_status(sites, self._log(fetched)), self.analyzer, self._forms, self.is_html)
-            if self._stop.is_set():
-                raise InterruptedError(status.STOPPED_BY_USER)
         except Exception as e:  # noqa: BLE001  any failure is told by the sites' status
             # the jobs that tell it are not part of what was stopped
             self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
@@ -131,12 +155,13 @@ class Engine:
 
     def stop(self) -> dict:
         """End a running operation: its jobs are cancelled, the index stays as it
-        was before it."""
-        if not self._lock.locked():
-            return error(NOT_RUNNING)
-        self._stop.set()
-        if self._job is not None:
-            self.spark.sparkContext.cancelJobGroup(self._job)
+        was before it.  Once it has committed there is none to stop."""
+        with self._gate:
+            if self._job is None:
+                return error(NOT_RUNNING)
+            self._stop.set()
+            job = self._job
+        self.spark.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs(job)  # the group is this operation's alone
         return good()
 
     def index_page(self, url: str, fetches: DataFrame) -> dict:
@@ -163,8 +188,9 @@ class Engine:
     def apply_fetches(self, fetches: DataFrame) -> dict:
         """Put in or replace many pages at once, as a stream's batches bring them;
         fetches of no configured site are left out.  The last fetch of a page by
-        ``ts`` wins, whichever batch brings it."""
-        with self._lock:
+        ``ts`` wins, whichever batch brings it.  A stop in between raises, so that a
+        stream brings the batch again."""
+        with self._operation(wait=True):
             sites = tables.site_list(self.spark, self.sites)
             placed = fetches.join(crawling.site_of(fetches.select("page_url").distinct(), sites).filter("site_url IS NOT NULL"), "page_url")
             touched = [r[0] for r in placed.select("site_url").distinct().collect()]  # at most the configured sites
@@ -192,7 +218,7 @@ class Engine:
         asked = self.spark.createDataFrame([(0, query)], "query_id int, query string")
         lemmas = [r.lemma for r in query_lemmas(asked, self.analyzer, self._forms).collect()]  # the words of one query
         wanted = self.spark.createDataFrame([(0, x) for x in lemmas], "query_id int, lemma string")
-        key = (query.lower(), site, self.store.version, self.store.part)
+        key = (query.lower(), site, self.store.entry)
         if self._memo is None or self._memo[0] != key:
             if self._memo is not None:
                 self._memo[1].unpersist()

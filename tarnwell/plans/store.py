@@ -7,19 +7,26 @@ A row counts while no later part touches its page.  Lookups read the base tables
 by sorted columns: postings and lemmas by lemma, pages by site and path.  A page's
 row also holds its postings, so what an update takes away is found by page key.
 
-A part counts once its table ``sites`` is written, so readers never see half an
-update.  When the parts or the keys they touch are many, everything is written
+What counts is said by a log of numbered entries, each the version and the folders of
+its parts.  An entry is created only if its number is free, so of two writers that began
+on one state one commits and the other is refused; what a writer leaves without an
+entry is never read.  When the parts or the keys they touch are many, everything is written
 anew as the next version; the version before stays for readers that began on it,
 older ones are deleted.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from contextlib import nullcontext
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.analyzer import Analyzer, Dictionary
 from ..operators import index
+from ..sources.scratch import create_new, read_text
 
 TERMS = "array<struct<lemma: string, rank: float>>"
 SCHEMAS = {
@@ -36,16 +43,56 @@ MAX_TOUCHED = 100_000  # keys that the parts of a version touch; they are broadc
 MAX_LITERALS = 64  # keys that become conditions of the scan
 
 
+def _name() -> str:
+    """A name for a part's folders that no other writer has."""
+    return f"part-{uuid.uuid4().hex}"
+
+
 def _without_seq(df: DataFrame) -> DataFrame:
     return df.drop("seq")
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer has changed the index since this one began."""
+
+
 class Store:
-    """The tables of an index in ``folder``."""
+    """The tables of an index in ``folder``.  ``deciding`` makes a context in which an
+    operation commits: it may raise, and nothing is committed then."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self.version, self.part = self._newest()
+        self.deciding = nullcontext
+        self.refresh()
+
+    @property
+    def part(self) -> int:
+        return max(len(self.parts) - 1, 0)
+
+    def refresh(self) -> None:
+        """Go to the newest state; version 0 is an index without tables."""
+        self.entry = max(self._numbers(f"{self.folder}/log", "entry-"), default=0)
+        state = json.loads(read_text(self.spark, self._entry(self.entry))) if self.entry else {"version": 0, "parts": []}
+        self.version, self.parts = state["version"], state["parts"]
+
+    def _entry(self, number: int) -> str:
+        return f"{self.folder}/log/entry-{number}"
+
+    def _commit(self, version: int, parts: list[str], decided: bool = False) -> None:
+        """Make ``parts`` what counts, unless another writer was faster."""
+        with nullcontext() if decided else self.deciding():
+            if not create_new(self.spark, self._entry(self.entry + 1), json.dumps({"version": version, "parts": parts})):
+                self._drop(version, parts[-1])
+                self.refresh()
+                raise ConcurrentWrite("the index was changed by another writer")
+            self.entry, self.version, self.parts = self.entry + 1, version, parts
+
+    def _drop(self, version: int, part: str) -> None:
+        """Delete the folders of a part that doesn't count."""
+        for name in SCHEMAS:
+            for seq in self._numbers(f"{self.folder}/v{version}/{name}", "seq="):
+                there, files = self._hadoop(f"{self.folder}/v{version}/{name}/seq={seq}/{part}")
+                files.delete(there, True)
 
     # files
 
@@ -63,25 +110,17 @@ class Store:
         names = [s.getPath().getName() for s in files.listStatus(there)] if files.exists(there) else []
         return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit())
 
-    def _newest(self) -> tuple[int, int]:
-        """The newest version with whole base tables, and its last whole part;
-        version 0 is an index without tables."""
-        for version in reversed(self._numbers(self.folder, "v")):
-            whole = [k for k in self._numbers(f"{self.folder}/v{version}/sites", "seq=") if self._exists(f"{self.folder}/v{version}/sites/seq={k}/_SUCCESS")]
-            if whole:
-                return version, max(whole)
-        return 0, 0
-
-    def _path(self, name: str, seq: int, version: int | None = None) -> str:
-        return f"{self.folder}/v{self.version if version is None else version}/{name}/seq={seq}"
+    def _path(self, name: str, seq: int, part: str | None = None, version: int | None = None) -> str:
+        """The folder of a part's table: of one that counts, or of a new one."""
+        return f"{self.folder}/v{self.version if version is None else version}/{name}/seq={seq}/{part or self.parts[seq]}"
 
-    def _write(self, df: DataFrame, name: str, seq: int, version: int | None = None) -> None:
+    def _write(self, df: DataFrame, name: str, seq: int, part: str, version: int | None = None) -> None:
         df = df.select(*[F.col(c).cast(kind) for c, kind in ((f.name, f.dataType) for f in self._empty(name).schema)])
         if name in SORTED_BY:
             if not seq:
                 df = df.repartitionByRange(*SORTED_BY[name])
             df = df.sortWithinPartitions(*SORTED_BY[name])
-        df.write.mode("overwrite").parquet(self._path(name, seq, version))
+        df.write.parquet(self._path(name, seq, part, version))
 
     def _empty(self, name: str) -> DataFrame:
         return self.spark.createDataFrame([], SCHEMAS[name])
@@ -146,19 +185,21 @@ class Store:
         """The next version, of pages (site_url, path, code, content, ts)."""
         self._base(pages, index.postings(pages, analyzer, dictionary, is_html), sites)
 
-    def _base(self, pages: DataFrame, posts: DataFrame, sites: DataFrame) -> None:
-        version = max(self.version, *self._numbers(self.folder, "v"), 0) + 1
-        self._write(posts, "postings", 0, version)
-        posts = self.spark.read.schema(SCHEMAS["postings"]).parquet(self._path("postings", 0, version))
-        self._write(index.frequencies(posts), "lemmas", 0, version)
+    def _base(self, pages: DataFrame, posts: DataFrame, sites: DataFrame, decided: bool = False) -> None:
+        version, part = max(self.version, *self._numbers(self.folder, "v"), 0) + 1, _name()
+        path = lambda name: self._path(name, 0, part, version)
+        self._write(posts, "postings", 0, part, version)
+        posts = self.spark.read.schema(SCHEMAS["postings"]).parquet(path("postings"))
+        self._write(index.frequencies(posts), "lemmas", 0, part, version)
         terms = posts.groupBy("site_url", "path").agg(F.collect_list(F.struct("lemma", "rank")).alias("terms"))
-        self._write(pages.drop("terms").join(terms, ["site_url", "path"], "left"), "pages", 0, version)
-        pages = self.spark.read.schema(SCHEMAS["pages"]).parquet(self._path("pages", 0, version))
-        self._write(self._counts_of(pages), "counts", 0, version)
-        self._write(sites, "sites", 0, version)
-        self.version, self.part = version, 0
+        self._write(pages.drop("terms").join(terms, ["site_url", "path"], "left"), "pages", 0, part, version)
+        pages = self.spark.read.schema(SCHEMAS["pages"]).parquet(path("pages"))
+        self._write(self._counts_of(pages), "counts", 0, part, version)
+        self._write(sites, "sites", 0, part, version)
+        before = self.version
+        self._commit(version, [part], decided)
         for old in self._numbers(self.folder, "v"):
-            if old < version - 1:
+            if old < before:
                 there, files = self._hadoop(f"{self.folder}/v{old}")
                 files.delete(there, True)
 
@@ -166,33 +207,28 @@ class Store:
     def _counts_of(pages: DataFrame, sign: int = 1) -> DataFrame:
         return pages.groupBy("site_url").agg((sign * F.count("*")).alias("pages"), (sign * F.count_if(F.col("code").eqNullSafe(index.GOOD_CODE))).alias("good_pages"))
 
-    def _cleared(self, seq: int) -> int:
-        """The number of a new part, without what an unfinished one of that number
-        may have left."""
-        for name in SCHEMAS:
-            there, files = self._hadoop(self._path(name, seq))
-            files.delete(there, True)
-        return seq
-
     def mark(self, sites: DataFrame) -> None:
-        """The same index with another table of sites."""
+        """The same index with another table of sites, whatever was decided."""
         if not self.version:
-            self._base(self._empty("pages"), self._empty("postings"), sites)
+            self._base(self._empty("pages"), self._empty("postings"), sites, decided=True)
             return
-        seq = self._cleared(self.part + 1)
-        self._write(sites, "sites", seq)
-        self.part = seq
+        part = _name()
+        self._write(sites, "sites", self.part + 1, part)
+        self._commit(self.version, [*self.parts, part], decided=True)
 
     def update(self, new: DataFrame, sites: DataFrame, analyzer: Analyzer, dictionary: Dictionary | None = None, is_html: bool = True, gone: DataFrame | None = None) -> None:
         """Put in or replace the pages ``new`` (site_url, path, code, content, ts;
         keys unique), and take out the pages ``gone`` (site_url, path).  A new page
         that is older than the stored one is left out; a page without a time is
         newer than any."""
-        seq = self._cleared(self.part + 1)
+        if not self.version:
+            self._base(new, index.postings(new, analyzer, dictionary, is_html), sites)
+            return
+        seq, part = self.part + 1, _name()
         keys = new.select("site_url", "path")
         keys = (keys if gone is None else keys.unionByName(gone.select("site_url", "path"))).distinct()
-        self._write(keys, "touched", seq)
-        keys = self.spark.read.schema(SCHEMAS["touched"]).parquet(self._path("touched", seq))
+        self._write(keys, "touched", seq, part)
+        keys = self.spark.read.schema(SCHEMAS["touched"]).parquet(self._path("touched", seq, part))
         n_new = keys.count()
         touched = n_new + (self._rows("touched", 1).count() if self.part else 0)
         if seq > MAX_PARTS or touched > MAX_TOUCHED:
@@ -217,16 +253,16 @@ class Store:
         terms = own_posts.groupBy("site_url", "path").agg(F.collect_list(F.struct("lemma", "rank")).alias("terms"))
         columns = self._empty("pages").columns
         rows = own.join(terms, ["site_url", "path"], "left").select(*columns)
-        self._write(rows if kept is None else rows.unionByName(kept.select(*columns)), "pages", seq)
-        written = self.spark.read.schema(SCHEMAS["pages"]).parquet(self._path("pages", seq))
+        self._write(rows if kept is None else rows.unionByName(kept.select(*columns)), "pages", seq, part)
+        written = self.spark.read.schema(SCHEMAS["pages"]).parquet(self._path("pages", seq, part))
         exploded = lambda rows, sign: rows.select("site_url", "path", F.explode("terms").alias("t")).select("site_url", "path", "t.lemma", "t.rank", F.lit(sign).alias("frequency"))
-        self._write(exploded(written, 1), "postings", seq)
+        self._write(exploded(written, 1), "postings", seq, part)
         signed = exploded(written, 1).unionByName(exploded(old, -1)).groupBy("lemma", "site_url").agg(F.sum("frequency").alias("frequency"))
-        self._write(signed.filter("frequency <> 0"), "lemmas", seq)
+        self._write(signed.filter("frequency <> 0"), "lemmas", seq, part)
         counts = self._counts_of(written).unionByName(self._counts_of(old, -1)).groupBy("site_url").agg(F.sum("pages").alias("pages"), F.sum("good_pages").alias("good_pages"))
-        self._write(counts, "counts", seq)
-        self._write(sites, "sites", seq)
-        self.part = seq
+        self._write(counts, "counts", seq, part)
+        self._write(sites, "sites", seq, part)
+        self._commit(self.version, [*self.parts, part])
 
     def _rebuilt(self, new: DataFrame, keys: DataFrame, sites: DataFrame, analyzer: Analyzer, dictionary: Dictionary | None, is_html: bool) -> None:
         """The next version, with the new pages among the old ones."""

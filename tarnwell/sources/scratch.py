@@ -11,6 +11,7 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +67,35 @@ def move(spark: SparkSession, source: str, target: str) -> None:
     files.mkdirs(there.getParent())
     if not files.rename(_path(spark, source)[0], there):
         raise OSError(f"{source} could not be renamed to {target}")
+
+
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file if there is none of that name; false if there is.  The text is
+    written aside first, so nobody reads half of it."""
+    there, files = _path(spark, path)
+    aside = _path(spark, f"{path}.{uuid.uuid4().hex}")[0]
+    out = files.create(aside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        jvm = spark.sparkContext._jvm
+        if files.getScheme() == "file":  # a hard link is made only where there is no file
+            local = jvm.java.nio.file.Paths.get
+            jvm.java.nio.file.Files.createLink(local(jvm.java.net.URI.create(f"file://{there.toUri().getPath()}")), local(jvm.java.net.URI.create(f"file://{aside.toUri().getPath()}")))
+            return True
+        return files.rename(aside, there)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    finally:
+        files.delete(aside, False)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    there, files = _path(spark, path)
+    stream = files.open(there)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()

@@ -2,6 +2,7 @@ import datetime as dt
 import http.server
 import threading
 import time
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from tarnwell.functions.analyzer import LATIN, MORPH_SCHEMA
 from tarnwell.operators import crawl
 from tarnwell.plans import engine as engine_module
 from tarnwell.plans.engine import Engine, to_json
+from tarnwell.plans.store import SCHEMAS, ConcurrentWrite, Store
+from tarnwell.sources.scratch import create_new, read_text
 from tarnwell.sources.tables import FETCHES
 from tarnwell.streaming import fetch_stream, keep_index
 
@@ -87,8 +90,8 @@ def test_index_page_equals_rebuild(spark, engine, tmp_path):
 
 def test_stop_and_running(engine):
     assert engine.stop()["error"] == engine_module.NOT_RUNNING
-    with engine._lock:
-        assert engine.stop() == {"result": True}
+    with engine._operation(wait=False) as begun:
+        assert begun and engine.stop() == {"result": True}
         assert engine.index_all(None)["error"] == engine_module.ALREADY_RUNNING
         assert engine.index_page(f"{A}/x", None)["error"] == engine_module.ALREADY_RUNNING
 
@@ -154,7 +157,7 @@ def test_updates_write_parts_and_are_folded_into_a_new_version(spark, engine, mo
     assert (engine.store.version, engine.store.part) == (version + 1, 0)
     assert kept == [rows(engine, n) for n in ("pages", "postings", "lemmas", "counts")]
     engine.index_all(fetches(spark, CORPUS))
-    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == [f"v{version + 1}", f"v{version + 2}"]
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["log", f"v{version + 1}", f"v{version + 2}"]
     again = Engine(spark, str(tmp_path / "index"), engine.sites, analyzer=LATIN)
     assert (again.store.version, again.store.part) == (version + 2, 0) and rows(again, "lemmas") == rows(engine, "lemmas")
 
@@ -245,3 +248,94 @@ def test_http_source(spark):
     assert (got[f"{at}/"].code, got[f"{at}/"].body) == (200, "<p>привет")
     assert got[f"{at}/no"].code == 404 and got[f"{at}/no"].error is None
     assert got["http://127.0.0.1:9/"].code is None and got["http://127.0.0.1:9/"].error
+
+
+def deciding(engine, monkeypatch, before):
+    """Stop just before or after the next commit; returns the answers."""
+    inner, answers = engine._deciding, []
+
+    @contextmanager
+    def stopped():
+        if before:
+            answers.append(engine.stop())
+        with inner():
+            yield
+        if not before:
+            answers.append(engine.stop())
+
+    monkeypatch.setattr(engine.store, "deciding", stopped)
+    return answers
+
+
+NEW = [(A, 200, "text/html", "<p>zebras only</p>", None, T)]
+
+
+def test_stop_before_the_commit_keeps_the_index(spark, engine, monkeypatch):
+    before, version = rows(engine, "postings"), engine.store.version
+    answers = deciding(engine, monkeypatch, before=True)
+    assert engine.index_all(fetches(spark, NEW)) == {"result": True} and answers == [{"result": True}]
+    assert rows(engine, "postings") == before and engine.store.version == version
+    assert {(r.status, r.last_error) for r in engine.table("sites").collect()} == {("FAILED", engine_module.status.STOPPED_BY_USER)}
+    again = Engine(spark, engine.folder, engine.sites, analyzer=LATIN)
+    assert rows(again, "postings") == before
+
+
+def test_stop_after_the_commit_is_too_late(spark, engine, monkeypatch):
+    answers = deciding(engine, monkeypatch, before=False)
+    assert engine.index_all(fetches(spark, NEW)) == {"result": True}
+    assert answers == [{"result": False, "error": engine_module.NOT_RUNNING}]
+    assert {r.lemma for r in engine.table("lemmas").collect()} == {"zebras", "only"}
+    assert {r.site_url: r.status for r in engine.table("sites").collect()}[A] == "INDEXED"
+
+
+def test_stop_during_a_batch_of_updates(spark, engine):
+    before, version = rows(engine, "postings"), (engine.store.version, engine.store.part)
+    batch_rows = fetches(spark, [(f"{A}/x", 200, "text/html", "<p>zebras only</p>", None, T)])
+
+    @F.udf("string")
+    def slow(body):
+        time.sleep(60)
+        return body
+
+    raised = []
+
+    def batch():
+        try:
+            engine.apply_fetches(batch_rows.withColumn("body", slow("body")))
+        except Exception as e:  # noqa: BLE001  a cancelled job has many names
+            raised.append(e)
+
+    run = threading.Thread(target=batch)
+    run.start()
+    while engine.stop() != {"result": True}:
+        time.sleep(0.1)
+    run.join(40)  # jobs that come after the stop don't run either
+    assert raised and rows(engine, "postings") == before and (engine.store.version, engine.store.part) == version
+    engine.apply_fetches(batch_rows)  # as a stream brings it again
+    assert engine.search("zebras")["count"] == 1 and engine.stop()["error"] == engine_module.NOT_RUNNING
+
+
+def test_of_two_writers_one_commits(spark, tmp_path):
+    pages = lambda text: spark.createDataFrame([(A, "/x", 200, text, None)], "site_url string, path string, code int, content string, ts timestamp")
+    sites = spark.createDataFrame([(A, "a", "INDEXED", None, "")], SCHEMAS["sites"])
+    one = Store(spark, str(tmp_path / "i"))
+    one.update(pages("first page"), sites, LATIN, is_html=False)  # an index begins with its first page
+    other = Store(spark, str(tmp_path / "i"))
+    one.update(pages("second page"), sites, LATIN, is_html=False)
+    with pytest.raises(ConcurrentWrite):
+        other.update(pages("third page"), sites, LATIN, is_html=False)
+    for store in (one, other, Store(spark, str(tmp_path / "i"))):
+        assert sorted(r.lemma for r in store.lemmas().collect()) == ["page", "second"]
+    other.update(pages("fourth"), sites, LATIN, is_html=False)
+    with pytest.raises(ConcurrentWrite):
+        one.build(pages("fifth"), sites, LATIN, is_html=False)
+    assert sorted(r.lemma for r in one.lemmas().collect()) == ["fourth"]
+
+
+def test_a_file_is_created_once(spark, tmp_path):
+    path, made = f"file://{tmp_path}/log/entry-1", []
+    threads = [threading.Thread(target=lambda n=n: made.append((create_new(spark, path, str(n)), n))) for n in range(8)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert [n for ok, n in made if ok] == [int(read_text(spark, path))] and len(made) == 8
+    assert len(list((tmp_path / "log").iterdir())) <= 2  # the file and its checksum
