@@ -10,8 +10,12 @@ row also holds its postings, so what an update takes away is found by page key.
 What counts is said by a log of numbered entries, each the version and the folders of
 its parts.  An entry is created only if its number is free, so of two writers that began
 on one state one commits and the other is refused; what a writer leaves without an
-entry is never read.  When the parts or the keys they touch are many, everything is written
-anew as the next version; the version before stays for readers that began on it,
+entry is never read.
+
+Parts are merged in levels: the last ``FANOUT`` or more parts of one level (by the power
+of FANOUT that their number of touched keys has) become one part, so a row is written
+once a level and n updates of a page write O(n log n) rows.  Only when the touched keys
+are too many to be broadcast is everything written anew as the next version; the version before stays for readers that began on it,
 older ones are deleted.
 """
 
@@ -38,7 +42,8 @@ SCHEMAS = {
     "sites": "site_url string, name string, status string, status_time timestamp, last_error string",
 }
 SORTED_BY = {"pages": ["site_url", "path"], "postings": ["lemma", "site_url"], "lemmas": ["lemma", "site_url"]}
-MAX_PARTS = 32
+FANOUT = 4
+MAX_PARTS = 64  # levels keep them below that
 MAX_TOUCHED = 100_000  # keys that the parts of a version touch; they are broadcast
 MAX_LITERALS = 64  # keys that become conditions of the scan
 
@@ -52,6 +57,23 @@ def _without_seq(df: DataFrame) -> DataFrame:
     return df.drop("seq")
 
 
+def level(weight: int) -> int:
+    """The power of FANOUT that a part's touched keys have."""
+    n = 0
+    while weight >= FANOUT:
+        weight, n = weight // FANOUT, n + 1
+    return n
+
+
+def merge_from(weights: list[int]) -> int | None:
+    """Where the parts begin that are to be merged: the last FANOUT or more, if none
+    before them and among them is of a higher level; null if there are too few."""
+    start = len(weights)
+    while start and level(weights[start - 1]) <= level(weights[-1]):
+        start -= 1
+    return start if len(weights) - start >= FANOUT else None
+
+
 class ConcurrentWrite(RuntimeError):
     """Another writer has changed the index since this one began."""
 
@@ -63,26 +85,29 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self.deciding = nullcontext
+        self.merged: list[tuple[int, str, int]] = []
         self.refresh()
 
     @property
     def part(self) -> int:
-        return max(len(self.parts) - 1, 0)
+        """The number of the last part; numbers grow, merged parts keep the last one's."""
+        return self.parts[-1][0] if self.parts else 0
 
     def refresh(self) -> None:
         """Go to the newest state; version 0 is an index without tables."""
         self.entry = max(self._numbers(f"{self.folder}/log", "entry-"), default=0)
         state = json.loads(read_text(self.spark, self._entry(self.entry))) if self.entry else {"version": 0, "parts": []}
-        self.version, self.parts = state["version"], state["parts"]
+        self.version, self.parts = state["version"], [tuple(p) for p in state["parts"]]
 
     def _entry(self, number: int) -> str:
         return f"{self.folder}/log/entry-{number}"
 
-    def _commit(self, version: int, parts: list[str], decided: bool = False) -> None:
-        """Make ``parts`` what counts, unless another writer was faster."""
+    def _commit(self, version: int, parts: list[tuple[int, str, int]], decided: bool = False) -> None:
+        """Make ``parts`` (number, folder, touched keys) what counts, unless another
+        writer was faster."""
         with nullcontext() if decided else self.deciding():
             if not create_new(self.spark, self._entry(self.entry + 1), json.dumps({"version": version, "parts": parts})):
-                self._drop(version, parts[-1])
+                self._drop(version, parts[-1][1])
                 self.refresh()
                 raise ConcurrentWrite("the index was changed by another writer")
             self.entry, self.version, self.parts = self.entry + 1, version, parts
@@ -112,7 +137,7 @@ class Store:
 
     def _path(self, name: str, seq: int, part: str | None = None, version: int | None = None) -> str:
         """The folder of a part's table: of one that counts, or of a new one."""
-        return f"{self.folder}/v{self.version if version is None else version}/{name}/seq={seq}/{part or self.parts[seq]}"
+        return f"{self.folder}/v{self.version if version is None else version}/{name}/seq={seq}/{part or dict(p[:2] for p in self.parts)[seq]}"
 
     def _write(self, df: DataFrame, name: str, seq: int, part: str, version: int | None = None) -> None:
         df = df.select(*[F.col(c).cast(kind) for c, kind in ((f.name, f.dataType) for f in self._empty(name).schema)])
@@ -128,7 +153,7 @@ class Store:
     def _rows(self, name: str, first: int = 0) -> DataFrame:
         """Rows of the parts from ``first`` on that count, with their number; part
         0 is the base."""
-        paths = [p for p in (self._path(name, k) for k in range(first, self.part + 1)) if self.version and self._exists(p)]
+        paths = [p for p in (self._path(name, k) for k, *_ in self.parts if k >= first) if self.version and self._exists(p)]
         if not paths:
             return self._empty(name).withColumn("seq", F.lit(0))
         reader = self.spark.read.schema(f"{SCHEMAS[name]}, seq int").option("basePath", f"{self.folder}/v{self.version}/{name}")
@@ -197,7 +222,8 @@ class Store:
         self._write(self._counts_of(pages), "counts", 0, part, version)
         self._write(sites, "sites", 0, part, version)
         before = self.version
-        self._commit(version, [part], decided)
+        self._commit(version, [(0, part, 0)], decided)
+        self.merged = []
         for old in self._numbers(self.folder, "v"):
             if old < before:
                 there, files = self._hadoop(f"{self.folder}/v{old}")
@@ -212,9 +238,10 @@ class Store:
         if not self.version:
             self._base(self._empty("pages"), self._empty("postings"), sites, decided=True)
             return
-        part = _name()
-        self._write(sites, "sites", self.part + 1, part)
-        self._commit(self.version, [*self.parts, part], decided=True)
+        seq, part = self.part + 1, _name()
+        self._write(sites, "sites", seq, part)
+        self._commit(self.version, [*self.parts, (seq, part, 0)], decided=True)
+        self._merge()
 
     def update(self, new: DataFrame, sites: DataFrame, analyzer: Analyzer, dictionary: Dictionary | None = None, is_html: bool = True, gone: DataFrame | None = None) -> None:
         """Put in or replace the pages ``new`` (site_url, path, code, content, ts;
@@ -231,7 +258,7 @@ class Store:
         keys = self.spark.read.schema(SCHEMAS["touched"]).parquet(self._path("touched", seq, part))
         n_new = keys.count()
         touched = n_new + (self._rows("touched", 1).count() if self.part else 0)
-        if seq > MAX_PARTS or touched > MAX_TOUCHED:
+        if len(self.parts) > MAX_PARTS or touched > MAX_TOUCHED:
             self._rebuilt(new, keys, sites, analyzer, dictionary, is_html)
             return
         at = None
@@ -262,7 +289,30 @@ class Store:
         counts = self._counts_of(written).unionByName(self._counts_of(old, -1)).groupBy("site_url").agg(F.sum("pages").alias("pages"), F.sum("good_pages").alias("good_pages"))
         self._write(counts, "counts", seq, part)
         self._write(sites, "sites", seq, part)
-        self._commit(self.version, [*self.parts, part])
+        self._commit(self.version, [*self.parts, (seq, part, n_new)])
+        self._merge()
+
+    def _merge(self) -> None:
+        """Merge the last parts while they fill a level.  What they say stays the same,
+        so another writer who comes before only makes it needless."""
+        while (start := merge_from([w for _, _, w in self.parts[1:]])) is not None:
+            first, seq, part = self.parts[start + 1][0], self.part, _name()
+            self._write(self._rows("touched", first).select("site_url", "path").distinct(), "touched", seq, part)
+            for name in ("pages", "postings"):
+                self._write(self._live(self._rows(name, first)), name, seq, part)
+            for name, keys, values in (("lemmas", ["lemma", "site_url"], ["frequency"]), ("counts", ["site_url"], ["pages", "good_pages"])):
+                sums = self._rows(name, first).groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
+                self._write(sums.filter(" OR ".join(f"{v} <> 0" for v in values)), name, seq, part)
+            self._write(self.sites(), "sites", seq, part)
+            weight = self.spark.read.schema(SCHEMAS["touched"]).parquet(self._path("touched", seq, part)).count()
+            gone = self.parts[start + 1 :]
+            try:
+                self._commit(self.version, [*self.parts[: start + 1], (seq, part, weight)], decided=True)
+            except ConcurrentWrite:
+                return
+            for _, old, _ in self.merged:  # of the merge before: readers of one state ago still find theirs
+                self._drop(self.version, old)
+            self.merged = gone
 
     def _rebuilt(self, new: DataFrame, keys: DataFrame, sites: DataFrame, analyzer: Analyzer, dictionary: Dictionary | None, is_html: bool) -> None:
         """The next version, with the new pages among the old ones."""

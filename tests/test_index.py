@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions.analyzer import LATIN
 from tarnwell.operators import index, search, stats, status
-from tarnwell.plans.store import Store
+from tarnwell.plans import store as store_module
+from tarnwell.plans.store import SCHEMAS, Store, merge_from
 
 PAGES = "site_url string, path string, code int, content string"
 
@@ -130,3 +131,35 @@ def test_statistics_of_a_site_without_pages(spark):
     row = stats.detailed(sites, none, lemmas).first()
     assert (row.pages, row.lemmas, row.status_time) == (0, 0, int(T0.replace(tzinfo=dt.timezone.utc).timestamp() * 1000))
     assert F is not None
+
+
+def test_parts_are_merged_in_levels():
+    """1,000 updates of a page each: what is written, counted in pages."""
+    weights, written, most = [], 0, 0
+    for _ in range(1000):
+        weights.append(1)
+        written += 1
+        while (start := merge_from(weights)) is not None:
+            weights[start:] = [sum(weights[start:])]
+            written += weights[-1]
+        most = max(most, len(weights))
+    assert sum(weights) == 1000 and most <= 3 * 5 + 1
+    assert written <= 1000 * (1 + 5)  # once at first and once a level: 4 ** 5 > 1000
+    assert merge_from([]) is None and merge_from([64, 1, 1, 1]) is None and merge_from([64, 1, 0, 1, 2]) == 1
+
+
+def test_merged_parts_say_the_same(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "FANOUT", 2)
+    sites = spark.createDataFrame([("https://s", "s", "INDEXED", None, "")], SCHEMAS["sites"])
+    page = lambda *rows: spark.createDataFrame([("https://s", p, code, text, None) for p, code, text in rows], "site_url string, path string, code int, content string, ts timestamp")
+    store = Store(spark, str(tmp_path / "i"))
+    store.build(page(("/a", 200, "alpha beta"), ("/b", 200, "beta"), ("/c", 404, "gone")), sites, LATIN, is_html=False)
+    for rows in ([("/a", 200, "beta gamma")], [("/d", 200, "delta")], [("/a", 404, "nothing"), ("/c", 200, "gamma")], [("/b", 200, "beta beta")]):
+        store.update(page(*rows), sites, LATIN, is_html=False)
+    store.delete(page(("/d", 200, "")).select("site_url", "path"), sites)
+    assert len(store.parts) <= 4
+    final = Store(spark, str(tmp_path / "j"))
+    final.build(page(("/a", 404, "nothing"), ("/b", 200, "beta beta"), ("/c", 200, "gamma")), sites, LATIN, is_html=False)
+    for name in ("pages", "postings", "lemmas", "counts", "sites"):
+        of = [sorted(map(str, s.table(name).collect())) for s in (store, Store(spark, str(tmp_path / "i")), final)]
+        assert of[0] == of[1] == of[2], name
