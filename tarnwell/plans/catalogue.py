@@ -23,6 +23,8 @@ from .store import Store
 QUERY_ROWS = [(1, "the of"), (2, "la les"), (3, "the ing"), (4, "der sch")]
 ONE_SITE, ONE_LEMMA, ONE_DOC = "src1", "the", "/1"
 LIMIT = 10
+#: Latin letters and the Cyrillic ones that stand for them.
+_LATIN_LETTERS, _CYRILLIC_LETTERS = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ"
 
 
 # Spark side
@@ -141,9 +143,10 @@ def token_stopword_filter(spark, d):
 
 
 def double_letter_strip(spark, d):
-    """The Russian profile's doubled letters, on words made of numbers."""
-    letters = F.translate(F.conv(F.col("doc_id").cast("string"), 10, 5), "01234", "скмлн")
-    return load(spark, d, "documents").select("doc_id", F.array_join(RUSSIAN.words(F.concat(letters, F.lit(" и "), letters, F.lit(", конец"))), " ").alias("words"))
+    """The Russian profile's words, doubled letters included, of all documents with
+    their Latin letters taken for Cyrillic ones."""
+    words = RUSSIAN.words(F.translate(F.lower(F.coalesce("text", F.lit(""))), _LATIN_LETTERS, _CYRILLIC_LETTERS))
+    return load(spark, d, "documents").select("doc_id", words.alias("words")).select("doc_id", F.size("words").cast("long").alias("n_words"), F.md5(F.array_join("words", " ")).alias("digest"))
 
 
 def term_frequency(spark, d):
@@ -619,7 +622,6 @@ _PAGE_LINKS = _LINKS.format("pages", "replace(raw, '&amp;', '&')")
 _ROOT_LINKS = "at_root AS (SELECT " + _ORIGIN + " AS url, html FROM pages), " + _LINKS.format("at_root", "replace(raw, '&amp;', '&')")
 _FILE = "(" + " OR ".join(f"contains(lower({{0}}), '{x}')" for x in urls.FILE_ENDINGS) + ")"
 _CUT = "CASE WHEN link LIKE '%/' THEN left(link, length(link) - 1) ELSE link END"
-_LETTERS = "translate(base, '01234', 'скмлн')"
 _DOUBLED = "|".join(f"{c}{c}+" for c in RUSSIAN_DOUBLED)
 _LOG = """log AS (
   SELECT source AS site_url, CASE WHEN doc_id % 50 = 0 THEN '/' ELSE '/' || doc_id END AS path, CASE WHEN doc_id % 17 = 0 THEN 404 ELSE 200 END AS code,
@@ -647,9 +649,11 @@ SQL = {
     "crawl_depth_zero": f"SELECT DISTINCT {_ORIGIN} AS site_url, {_ORIGIN} AS page_url, 0 AS depth FROM pages WHERE {_ORIGIN} <> ''",
     "tokenize_documents": f"SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS.format('text')}) AS word FROM documents) GROUP BY word",
     "token_stopword_filter": f"SELECT site_url, lemma, count(*) AS n FROM (SELECT source AS site_url, unnest({_WORDS.format('text')}) AS lemma FROM documents) WHERE lemma NOT IN ({_STOPS}) GROUP BY ALL",
-    "double_letter_strip": f"""WITH RECURSIVE digits(doc_id, rest, base) AS (
-  SELECT doc_id, doc_id // 5, CAST(doc_id % 5 AS VARCHAR) FROM documents UNION ALL SELECT doc_id, rest // 5, (rest % 5) || base FROM digits WHERE rest > 0
-) SELECT doc_id, array_to_string(list_filter(string_split_regex(regexp_replace(regexp_replace(lower({_LETTERS} || ' и ' || {_LETTERS} || ', конец'), '[^а-яъ ]', ' ', 'g'), '(?:{_DOUBLED})[ ]', ' ', 'g'), ' +'), lambda w: regexp_full_match(w, '[а-яъ]{{2,}}')), ' ') AS words FROM digits WHERE rest = 0""",
+    "double_letter_strip": f"""WITH letters AS (
+  SELECT doc_id, regexp_replace(translate(lower(coalesce(text, '')), '{_LATIN_LETTERS}', '{_CYRILLIC_LETTERS}'), '[^а-я\\p{{Z}}]', ' ', 'g') AS t FROM documents
+), words AS (
+  SELECT doc_id, regexp_extract_all(regexp_replace(t, '(?:{_DOUBLED})\\p{{Z}}', ' ', 'g'), '[а-я]{{2,}}') AS w FROM letters
+) SELECT doc_id, len(w) AS n_words, md5(array_to_string(w, ' ')) AS digest FROM words""",
     "term_frequency": f"WITH {_DOC_POSTS} SELECT site_url, path, lemma, rank FROM posts",
     "page_term_frequency": f"WITH {_PAGE_POSTS} SELECT site_url, path, lemma, rank FROM posts",
     "term_frequency_good_pages": f"WITH {_DOC_POSTS} SELECT site_url, path, count(*) AS lemmas, CAST(sum(rank) AS BIGINT) AS words FROM posts WHERE CAST(substr(path, 2) AS BIGINT) % 17 <> 0 GROUP BY ALL",
