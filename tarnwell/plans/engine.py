@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import text, urls
 from ..functions.analyzer import RUSSIAN, Analyzer, Dictionary, query_lemmas
 from ..operators import crawl as crawling
+from ..operators import live
 from ..operators import search, snippet, stats, status
 from ..sources import tables
 from .store import Store, newest
@@ -134,12 +135,19 @@ class Engine:
         """Crawl ``fetches`` (page_url, code, content_type, body, error, ts) from
         the configured sites and build the index anew.  Where that fails or is
         stopped, the index stays as it was and its sites are FAILED."""
-        return self._run(lambda: self._index_all(fetches, max_depth))
+        return self._run(lambda: self._index_all(lambda sites: (crawling.crawl(sites, fetches, max_depth, self._stop.is_set), fetches)))
 
-    def _index_all(self, fetches: DataFrame, max_depth: int | None) -> dict:
+    def index_live(self, folder: str, max_depth: int | None = None, retries: int = 2, quota: int = 100, **options: str) -> dict:
+        """The same with pages fetched now, by HTTP, from the configured sites.  The crawl
+        is kept in ``folder``: after a failure or a stop the same folder goes on where it
+        ended, a new folder begins anew.  Options are those of `sources.http`."""
+        return self._run(lambda: self._index_all(lambda sites: live.crawl(sites, folder, max_depth, retries, quota, self._stop.is_set, **options)))
+
+    def _index_all(self, gather: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> dict:
+        """``gather`` gives the reached pages of sites and the fetches."""
         try:
             sites = self._config()
-            reached = crawling.crawl(sites, fetches, max_depth, self._stop.is_set)
+            reached, fetches = gather(sites)
             key = crawling.page_key(F.col("page_url")).alias("key")
             fetched = fetches.withColumn("key", key).join(reached.select("site_url", key).distinct(), "key").drop("key")
             if self._stop.is_set():

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +52,15 @@ def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(spark: SparkSession, path: str, schema: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``, which outlives the application; made where there is none
+    that was written to its end."""
+    end, files = _path(spark, f"{path}/_SUCCESS")
+    if not files.exists(end):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def file_number() -> Column:
     """Of a table from ``stored``: the number of the task that wrote a row's file."""
     return F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
