@@ -64,8 +64,12 @@ def is_good_link(page: Column, link: Column, strict_boundary: bool = False) -> C
 
 def page_in_site(site: Column, page: Column) -> Column:
     """Whether the page's url contains the site's with a slash after it."""
-    with_slash = F.when(site.endswith("/"), site).otherwise(F.concat(site, F.lit("/")))
-    return F.lower(page).contains(F.lower(with_slash))
+    return F.lower(page).contains(site_prefix(site))
+
+
+def site_prefix(site: Column) -> Column:
+    """What the urls of a site's pages contain, in lower case."""
+    return F.lower(F.when(site.endswith("/"), site).otherwise(F.concat(site, F.lit("/"))))
 
 
 def origin(url: Column) -> Column:

@@ -8,11 +8,13 @@ whether the frontier is empty comes back.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.html import page
+from ..functions.matching import Matcher, TooLarge
 from ..sources.scratch import shared_folder, stored
 
 #: Content types whose links are followed.
@@ -88,22 +90,40 @@ def crawl(sites: DataFrame, fetches: DataFrame, max_depth: int | None = None, ca
         depth += 1
 
 
-MOST_SITES = 10_000
+#: Bytes of site urls that the driver takes to build an automaton of.
+MOST_BYTES = 1 << 20
 
 
 def site_of(page_urls: DataFrame, sites: DataFrame) -> DataFrame:
     """(page_url, site_url): the configured site of each url, the longest that
-    the url contains; null for none.  A list of up to MOST_SITES sites is broadcast
-    and compared with every url; beyond that urls meet sites by those of their
-    parts that end before a slash."""
-    sites = sites.select("site_url").distinct()
-    if sites.limit(MOST_SITES + 1).count() <= MOST_SITES:
-        hits = page_urls.join(F.broadcast(sites), urls.page_in_site(F.col("site_url"), F.col("page_url")), "left")
-    else:
-        low = F.lower("page_url")
-        ends = F.filter(F.sequence(F.lit(1), F.length(low)), lambda k: F.substring(low, k, F.lit(1)) == "/")
-        parts = F.array_distinct(F.flatten(F.transform(ends, lambda e: F.transform(F.sequence(F.lit(1), e), lambda k: F.substring(low, k, e - k)))))
-        keyed = sites.select("site_url", F.lower(urls.remove_trailing_slash(F.col("site_url"))).alias("part"))
-        met = page_urls.filter(F.length("page_url") > 0).select("page_url", F.explode(parts).alias("part")).join(keyed, "part").select("page_url", "site_url")
-        hits = page_urls.join(met, "page_url", "left")
-    return hits.groupBy("page_url").agg(F.max_by("site_url", F.struct(F.length("site_url"), "site_url")).alias("site_url"))
+    the url contains; null for none.  Sites of up to MOST_BYTES become an automaton, which
+    is broadcast (64 MB at most) and reads each url once; beyond that urls meet sites
+    by those of their parts that end before a slash."""
+    listed = sites.filter("site_url IS NOT NULL").select("site_url", urls.site_prefix(F.col("site_url")).alias("sought")).distinct()
+    asked = page_urls.select("page_url").distinct()
+    # a site and its string are read together, so that is what is counted
+    size = listed.agg(F.sum(F.octet_length("sought") + F.octet_length("site_url"))).first()[0] or 0
+    if size <= MOST_BYTES:
+        ranked = sorted(listed.collect(), key=lambda r: (len(r.site_url), r.site_url.encode()))
+        try:
+            return _by_automaton(asked, [r.site_url for r in ranked], Matcher([r.sought.encode() for r in ranked]))
+        except TooLarge:
+            pass
+    low = F.lower("page_url")
+    ends = F.filter(F.sequence(F.lit(1), F.length(low)), lambda k: F.substring(low, k, F.lit(1)) == "/")
+    parts = F.array_distinct(F.flatten(F.transform(ends, lambda e: F.transform(F.sequence(F.lit(1), e), lambda k: F.substring(low, k, e - k + 1)))))
+    met = asked.filter(F.length("page_url") > 0).select("page_url", F.explode(parts).alias("sought")).join(listed, "sought")
+    best = met.groupBy("page_url").agg(F.max_by("site_url", F.struct(F.length("site_url"), "site_url")).alias("site_url"))
+    return asked.join(best, "page_url", "left")
+
+
+def _by_automaton(asked: DataFrame, names: list[str], matcher: Matcher) -> DataFrame:
+    shared = asked.sparkSession.sparkContext.broadcast((pa.array(names, pa.string()), matcher))
+
+    @F.arrow_udf("string")
+    def site(low: pa.Array) -> pa.Array:
+        names, matcher = shared.value
+        found = matcher.highest(low)
+        return names.take(pa.array(found, mask=found < 0))
+
+    return asked.select("page_url", site(F.lower("page_url")).alias("site_url"))
