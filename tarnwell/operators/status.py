@@ -31,7 +31,7 @@ def fold_status(sites: DataFrame, log: DataFrame, cancelled: bool = False) -> Da
     bad = F.col("error").isNotNull()
     facts = log.groupBy("site_url").agg(
         F.bool_or(bad).alias("any_error"),
-        F.min_by("error", F.when(bad, F.struct("ts", "path"))).alias("first_error"),
+        F.min_by("error", F.when(bad, F.struct("ts", "path", "error"))).alias("first_error"),
         F.bool_or((F.col("path") == "/") & F.col("code").eqNullSafe(200)).alias("home"),
         F.max("ts").alias("last_ts"),
     )

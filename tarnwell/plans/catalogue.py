@@ -16,6 +16,7 @@ from ..functions.analyzer import LATIN, LATIN_STOP, RUSSIAN, RUSSIAN_DOUBLED, Di
 from ..operators import crawl, index, search, snippet, stats, status
 from ..sources import document_pages, load, page_rows, unique_pages
 from ..sources.scratch import shared_folder
+from ..streaming.status import follow
 from . import catalogue_text
 from .engine import NOTHING_FOUND, to_json
 from .store import Store
@@ -414,9 +415,23 @@ def _log(spark, d):
     )
 
 
+def _begun(log):
+    """Sites being indexed; one had failed before."""
+    return _sites(log).withColumn("status", F.when(F.col("site_url") == "src3", "FAILED").otherwise("INDEXING")).withColumn("last_error", F.when(F.col("site_url") == "src3", "old").otherwise(""))
+
+
 def site_status_fold(spark, d):
     log = _log(spark, d)
-    out = status.fold_status(_sites(log).withColumn("status", F.when(F.col("site_url") == "src3", "FAILED").otherwise("INDEXING")).withColumn("last_error", F.when(F.col("site_url") == "src3", "old").otherwise("")), log)
+    out = status.fold_status(_begun(log), log)
+    return out.select("site_url", "name", "status", F.unix_millis("status_time").alias("status_ms"), "last_error")
+
+
+def site_status_stream(spark, d):
+    """The same from a log that arrives in some four micro-batches, in any order."""
+    log, folder = _log(spark, d), shared_folder(spark, "status")
+    log.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(4))).write.partitionBy("part").parquet(f"{folder}/log")
+    files = len(spark.read.parquet(f"{folder}/log").inputFiles())
+    out = follow(_begun(log), f"{folder}/log/*", folder, files_at_once=-(-files // 4))
     return out.select("site_url", "name", "status", F.unix_millis("status_time").alias("status_ms"), "last_error")
 
 
@@ -446,29 +461,25 @@ def site_status_update(spark, d):
     return out.select("site_url", "status", F.unix_millis("status_time").alias("status_ms"), "last_error")
 
 
-def _graph(spark, d):
-    """A corpus with pages below pages, made of page ids."""
-    rows = load(spark, d, "pages").select("page_id")
-    site, n = "https://site.example", F.col("page_id").cast("string")
-    parent = F.concat(F.lit(f"{site}/"), n)
-    # the home page is fetched once for each of its links
-    root = rows.filter("page_id % 2 = 0").select(F.lit(site).alias("page_url"), F.concat(F.lit('<a href="/'), n, F.lit('">x</a>')).alias("body"))
-    pages = rows.select(parent.alias("page_url"), F.concat(F.lit('<a href="/'), n, F.lit('/below">x</a> <a href="/">home</a> <a href="/'), n, F.lit('/a.pdf">file</a>')).alias("body"))
-    below = rows.filter("page_id % 4 = 0").select(F.concat(parent, F.lit("/below")).alias("page_url"), F.lit("<p>end</p>").alias("body"))
-    return root.unionByName(pages).unionByName(below).select("page_url", F.lit(200).alias("code"), F.lit("text/html").alias("content_type"), "body", F.lit(None).cast("string").alias("error"), F.timestamp_seconds(F.lit(0)).alias("ts"))
-
-
-def _root(spark):
-    return spark.createDataFrame([("https://site.example",)], "site_url string")
+def _corpus(spark, d):
+    """(sites, fetches) of `pages`.  The table holds no home pages, so every page also
+    stands at its site's root."""
+    fetches = _fetches(spark, d)
+    at_root = fetches.withColumn("page_url", urls.origin(F.col("page_url")))
+    sites = at_root.select(F.col("page_url").alias("site_url")).filter("site_url <> ''").distinct()
+    return sites, fetches.unionByName(at_root)
 
 
 def crawl_frontier_step(spark, d):
-    start = _root(spark).withColumn("page_url", F.col("site_url"))
-    return crawl.frontier_step(start, start, crawl.followed(_graph(spark, d)))
+    """What all home pages lead to."""
+    sites, fetches = _corpus(spark, d)
+    start = sites.withColumn("page_url", F.col("site_url"))
+    return crawl.frontier_step(start, start, crawl.followed(fetches))
 
 
 def crawl_closure(spark, d):
-    return crawl.crawl(_root(spark), _graph(spark, d))
+    """How many pages of each depth a crawl of all sites reaches."""
+    return crawl.crawl(*_corpus(spark, d)).groupBy("site_url", "depth").agg(F.count("*").alias("n_pages"), F.max(F.length("page_url")).alias("longest"))
 
 
 def crawl_depth_zero(spark, d):
@@ -479,12 +490,8 @@ def crawl_depth_zero(spark, d):
 
 
 def crawl_pages(spark, d):
-    """All sites of `pages` over its fetches.  The table holds no home pages, so
-    every page also stands at its site's root."""
-    fetches = _fetches(spark, d)
-    at_root = fetches.withColumn("page_url", urls.origin(F.col("page_url")))
-    sites = at_root.select(F.col("page_url").alias("site_url")).filter("site_url <> ''").distinct()
-    return crawl.crawl(sites, fetches.unionByName(at_root))
+    """All sites of `pages` over its fetches."""
+    return crawl.crawl(*_corpus(spark, d))
 
 
 def search_response_json(spark, d):
@@ -515,7 +522,7 @@ QUERIES = {
         pages_per_site, responsive_pages_per_site, index_counts, lemmas_per_site, stats_total, stats_detailed, lemma_frequency_limit, usable_query_lemmas,
         rarest_query_lemma, search_abs_relevance, search_ranked_all_sites, search_ranked_one_site, search_page2, search_total_count, search_batch,
         snippet_hits, snippet_windows, snippet_bucketed, snippet_text, index_delete_page, index_delete_page_postings, index_delete_page_pages, index_upsert_page, index_upsert_page_postings, index_upsert_page_pages, frequency_increment, frequency_decrement,
-        page_update, site_status_fold, site_status_cancelled, home_page_accessible, index_finished_check, any_site_not_indexed, site_status_update, crawl_frontier_step, crawl_closure, crawl_depth_zero, crawl_pages, search_response_json,
+        page_update, site_status_fold, site_status_stream, site_status_cancelled, home_page_accessible, index_finished_check, any_site_not_indexed, site_status_update, crawl_frontier_step, crawl_closure, crawl_depth_zero, crawl_pages, search_response_json,
     )
 } | catalogue_text.QUERIES
 
@@ -622,6 +629,17 @@ _PAGE_LINKS = _LINKS.format("pages", "replace(raw, '&amp;', '&')")
 _ROOT_LINKS = "at_root AS (SELECT " + _ORIGIN + " AS url, html FROM pages), " + _LINKS.format("at_root", "replace(raw, '&amp;', '&')")
 _FILE = "(" + " OR ".join(f"contains(lower({{0}}), '{x}')" for x in urls.FILE_ENDINGS) + ")"
 _CUT = "CASE WHEN link LIKE '%/' THEN left(link, length(link) - 1) ELSE link END"
+# a followed link is longer than its page's url, so the walk ends; its depth is the least of all ways
+_WALKED = "WITH RECURSIVE corpus AS (SELECT url, html FROM pages UNION ALL SELECT " + _ORIGIN + " AS url, html FROM pages), " + _LINKS.format("corpus", "replace(raw, '&amp;', '&')") + f""", cut AS (
+  SELECT lower(CASE WHEN page_url LIKE '%/' THEN left(page_url, length(page_url) - 1) ELSE page_url END) AS key, link, {_CUT} AS short FROM links
+), edges AS (
+  SELECT DISTINCT key, link, lower(short) AS link_key FROM cut WHERE starts_with(lower(short), key) AND lower(short) <> key AND NOT contains(link, '#') AND NOT {_FILE.format('short')}
+), sites AS (SELECT DISTINCT {_ORIGIN} AS site_url FROM pages WHERE {_ORIGIN} <> ''), walk(site_url, key, depth) AS (
+  SELECT site_url, lower(site_url), 0 FROM sites UNION SELECT site_url, link_key, depth + 1 FROM walk JOIN edges USING (key)
+), firsts AS (SELECT site_url, key, min(depth) AS depth FROM walk GROUP BY site_url, key), reached AS (
+  SELECT site_url, site_url AS page_url, 0 AS depth FROM sites UNION ALL
+  SELECT f.site_url, min(e.link), f.depth FROM firsts f JOIN firsts b ON b.site_url = f.site_url AND b.depth = f.depth - 1 JOIN edges e ON e.key = b.key AND e.link_key = f.key GROUP BY f.site_url, f.key, f.depth
+)"""
 _DOUBLED = "|".join(f"{c}{c}+" for c in RUSSIAN_DOUBLED)
 _LOG = """log AS (
   SELECT source AS site_url, CASE WHEN doc_id % 50 = 0 THEN '/' ELSE '/' || doc_id END AS path, CASE WHEN doc_id % 17 = 0 THEN 404 ELSE 200 END AS code,
@@ -704,13 +722,13 @@ SQL = {
     "index_finished_check": f"WITH {_SITES} SELECT bool_and(status IN ('INDEXED', 'FAILED')) AS finished FROM sites",
     "any_site_not_indexed": f"WITH {_SITES} SELECT bool_or(status <> 'INDEXED') AS not_indexed FROM sites",
     "site_status_update": f"WITH {_SITES} SELECT site_url, CASE WHEN length(site_url) = 4 THEN 'FAILED' ELSE status END AS status, CAST(CASE WHEN length(site_url) = 4 THEN 5 ELSE status_ms END AS BIGINT) AS status_ms, CASE WHEN length(site_url) = 4 AND site_url <> 'src1' THEN 'new' ELSE 'old' END AS last_error FROM sites",
-    "crawl_frontier_step": "SELECT 'https://site.example' AS site_url, 'https://site.example/' || page_id AS page_url FROM pages WHERE page_id % 2 = 0",
-    "crawl_closure": """SELECT 'https://site.example' AS site_url, page_url, depth FROM (
-  SELECT 'https://site.example' AS page_url, 0 AS depth UNION ALL SELECT 'https://site.example/' || page_id, 1 FROM pages WHERE page_id % 2 = 0
-  UNION ALL SELECT 'https://site.example/' || page_id || '/below', 2 FROM pages WHERE page_id % 2 = 0)""",
+    "crawl_frontier_step": f"{_WALKED} SELECT site_url, min(link) AS page_url FROM sites JOIN edges ON key = lower(site_url) WHERE link_key <> key GROUP BY site_url, link_key",
+    "crawl_closure": f"{_WALKED} SELECT site_url, depth, count(*) AS n_pages, CAST(max(length(page_url)) AS INT) AS longest FROM reached GROUP BY site_url, depth",
+    "crawl_pages": f"{_WALKED} SELECT site_url, page_url, depth FROM reached",
     "search_response_json": f"""{_DOC_SEARCH}, responses AS (
   SELECT query_id, max(total) AS total, string_agg('{{"site": "' || site_url || '", "uri": "' || path || '", "relevance": ' || CAST(round(relevance, 4) AS VARCHAR) || '}}', ', ' ORDER BY place) AS data FROM ranked WHERE place <= {LIMIT} GROUP BY query_id
 ), named(query_id, query) AS (VALUES """ + ", ".join(f"({n}, '{q}')" for n, q in QUERY_ROWS) + f""")
 SELECT query_id, CASE WHEN total IS NULL THEN '{{"result": true, "error": "{NOTHING_FOUND}' || query || '", "count": 0, "data": []}}'
   ELSE '{{"result": true, "count": ' || total || ', "data": [' || data || ']}}' END AS response FROM named LEFT JOIN responses USING (query_id)""",
 } | catalogue_text.SQL
+SQL["site_status_stream"] = SQL["site_status_fold"]
