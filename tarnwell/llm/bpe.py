@@ -22,7 +22,7 @@ from .pretoken import PieceCache
 
 NEVER = (1 << 31) - 1
 MAX_PAIRS = 400_000
-SHORT = 64  # bytes of a piece that is encoded together with others
+SHORT = 64  # bytes of a piece that is not cut to stretches
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -169,11 +169,10 @@ class Vocabulary:
             self._beside[key] = bool(self._apart(np.array([left]), np.array([right]))[0])
         return self._beside[key]
 
-    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of pieces, one after the other, and how many each has: the
-        last token of every prefix, for all pieces in step, by growing prefixes."""
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        data = np.frombuffer(b"".join(pieces), np.uint8)
+    def _last_tokens(self, data: np.ndarray, lengths: np.ndarray, held: np.ndarray | None = None) -> np.ndarray:
+        """The last token of every prefix of pieces that stand one after the other in
+        ``data``, for all pieces in step, by growing prefixes.  ``held`` are those of a
+        single piece's first prefixes, where they are known."""
         begin = np.cumsum(lengths) - lengths
         owner_begin, owner_end = np.repeat(begin, lengths), np.repeat(begin + lengths, lengths)
         found = self.matches(data, np.arange(len(data)), owner_end)
@@ -187,10 +186,14 @@ class Vocabulary:
             token_at[fill[last]] = token
             fill[last] += 1
         prefix = np.full(len(data), -1, np.int32)
+        known = 0
+        if held is not None:
+            known = len(held)
+            prefix[:known] = held
         # pieces in order of length, so that those that go on are a tail
         order = np.argsort(lengths, kind="stable")
         sorted_lengths, sorted_begin = lengths[order], begin[order]
-        for k in range(int(lengths.max(initial=0))):
+        for k in range(known, int(lengths.max(initial=0))):
             last = sorted_begin[np.searchsorted(sorted_lengths, k, side="right") :] + k
             candidate = at[last]
             while len(last):
@@ -203,6 +206,13 @@ class Vocabulary:
                 good[inner] = self.apart(prefix[first[inner] - 1], token[inner])
                 prefix[last[good]] = token[good]
                 last, candidate = last[~good], candidate[~good] + 1
+        return prefix
+
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and how many each has."""
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        begin = np.cumsum(lengths) - lengths
+        prefix = self._last_tokens(np.frombuffer(b"".join(pieces), np.uint8), lengths)
         # back from the end of each piece
         steps, last, rows = [], begin + lengths - 1, np.flatnonzero(lengths)
         last = last[rows]
@@ -219,6 +229,48 @@ class Vocabulary:
             ids[end[rows] - back] = token
         return ids, many
 
+    def encode_long(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each of some long pieces, by stretches in step.
+
+        What a prefix's last token is depends on the last tokens of as many prefixes
+        before it as the longest token found here has bytes.  So a stretch that is read
+        as if the text began some way before it is right as soon as it agrees with the
+        stretch before it on that many prefixes.  One that doesn't (in runs of a few
+        characters nothing says where tokens begin) is read again from what is known
+        before it; stretches that are alike in both are read once."""
+        if not pieces:
+            return []
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        found = self.matches(data, np.arange(len(data)), np.repeat(np.cumsum(lengths), lengths))
+        reach = max(k for k, (last, _) in enumerate(found, 1) if len(last))
+        early, stretch = 2 * reach, max(SHORT, 4 * reach)
+        cuts = [(piece, place) for piece in pieces for place in range(0, len(piece), stretch)]
+        texts = [piece[max(0, place - early) : place + stretch] for piece, place in cuts]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        guesses = np.split(self._last_tokens(np.frombuffer(b"".join(texts), np.uint8), sizes), np.cumsum(sizes)[:-1])
+        again: dict[tuple[bytes, bytes], np.ndarray] = {}
+        out, number = [], 0
+        for piece in pieces:
+            prefix = np.empty(len(piece), np.int32)
+            for place in range(0, len(piece), stretch):
+                guess, before = guesses[number], min(place, early)
+                number += 1
+                held = prefix[max(0, place - reach) : place]
+                if not np.array_equal(held, guess[before - len(held) : before]):
+                    text = piece[place - reach : place + stretch]
+                    key = (text, held.tobytes())
+                    if key not in again:
+                        again[key] = self._last_tokens(np.frombuffer(text, np.uint8), np.array([len(text)]), held)
+                    guess, before = again[key], reach
+                prefix[place : place + stretch] = guess[before:]
+            ids, last, tokens, size = [], len(piece) - 1, prefix.tolist(), self.length
+            while last >= 0:
+                ids.append(tokens[last])
+                last -= int(size[tokens[last]])
+            out.append(ids[::-1])
+        return out
+
 
 class PrefixEncoder:
     """The encoding of one piece of bytes, open to appends and edits."""
@@ -285,20 +337,20 @@ class Codec:
 
     def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """A piece that is a token is that token; others by their prefixes, short
-        ones in step, long ones each by itself."""
+        ones whole, long ones by stretches."""
         get, v = self.vocabulary.ranks.get, self.vocabulary
         whole = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         many = np.ones(len(pieces), np.int64)
         short, long = np.flatnonzero((whole < 0) & (size <= SHORT)), np.flatnonzero((whole < 0) & (size > SHORT))
         ids, many[short] = v.encode([pieces[k] for k in short.tolist()])
-        by_itself = [PrefixEncoder(v, pieces[k]).ids() for k in long.tolist()]
-        many[long] = [len(x) for x in by_itself]
+        of_long = v.encode_long([pieces[k] for k in long.tolist()])
+        many[long] = [len(x) for x in of_long]
         begin = np.cumsum(many) - many
         out = np.empty(int(many.sum()), np.uint32)
         out[begin[whole >= 0]] = whole[whole >= 0]
         out[flat_ranges(begin[short], many[short])] = ids
-        for k, own in zip(long.tolist(), by_itself, strict=True):
+        for k, own in zip(long.tolist(), of_long, strict=True):
             out[begin[k] : begin[k] + len(own)] = own
         return out, many
 

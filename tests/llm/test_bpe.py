@@ -53,6 +53,17 @@ def test_long_pieces(codec):
         assert codec.pieces.ids_of(s)[0].tolist() == LIBRARY.encode_ordinary(text)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.sampled_from(["a", "ab", "-=", "abcdehitèßкот漢", "的一是不了人我在有他这为之大来以个中上们", "=#", "the"]), st.integers(65, 3000), st.randoms(use_true_random=False))
+def test_stretches_equal_library(codec, letters, length, rng):
+    """Runs of few characters, where no stretch finds its tokens, and of many."""
+    texts = ["".join(rng.choice(letters) for _ in range(length)), letters[0] * length, (letters * length)[:length]]
+    (s,) = text_slices(pa.array(texts))
+    ids, bounds = codec.pieces.ids_of(s)
+    for k, text in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == LIBRARY.encode_ordinary(text)
+
+
 def test_append_and_edit_equal_encoding_anew():
     vocabulary, rng = bpe.Vocabulary(RANKS), random.Random(5)
     for _ in range(150):
