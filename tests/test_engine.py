@@ -163,7 +163,7 @@ def test_updates_write_parts_and_are_folded_into_a_new_version(spark, engine, mo
 
 
 def test_delete_and_an_unfinished_part(spark, engine, tmp_path):
-    engine.store._write(spark.createDataFrame([(A, "/y")], "site_url string, path string"), "touched", 1)  # as a lost driver leaves it
+    engine.store._write(spark.createDataFrame([(A, "/y")], "site_url string, path string"), "touched", 1, "lost")  # as a lost driver leaves it
     again = Engine(spark, str(tmp_path / "index"), engine.sites, analyzer=LATIN)
     assert rows(again, "postings") == rows(engine, "postings")
     again.store.delete(spark.createDataFrame([(A, "/x")], "site_url string, path string"))
