@@ -150,3 +150,21 @@ def test_rfc_examples(spark):
 @pytest.mark.parametrize(("base", "href", "out"), [("http://h", "x", "http://h/x"), ("http://h", "../x", "http://h/x"), ("http://h?q", "x", "http://h/x"), ("http://h/a/b", "//k/../c", "http://k/c"), ("http://h/a", "\n x\ty ", "http://h/xy"), ("http://h/a", "Https://k", "Https://k"), ("http://h/a", "data:x", "")])
 def test_hrefs(spark, base, href, out):
     assert spark.range(1).select(urls.resolve_href(F.lit(base), F.lit(href))).first()[0] == out
+
+
+def test_batches_of_pages_are_bounded(spark):
+    """Some megabytes, however many rows a task has; 40 pages of 1 MB came at once before."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 28)
+    rows = spark.range(0, 40, 1, 1).select(F.concat(F.lit("<p>"), F.repeat(F.lit("a b <b>"), 150_000)).alias("html"))
+    size = F.arrow_udf(lambda pages: pa.array([pages.nbytes] * len(pages)), "long")
+    got = rows.select(F.length(html.page(F.col("html"))["text"]).alias("n"), size(F.col("html")).alias("size")).agg(F.max("size"), F.min("n"), F.max("n"), F.count("*")).first()
+    assert got[0] <= html.BATCH_BYTES + 1_100_000
+    assert (got[1], got[2], got[3]) == (600_001, 600_001, 40)
+
+
+def test_slices_of_a_batch_say_what_whole_batches_say(monkeypatch):
+    pages = pa.array(["<title>a</title><p>x<a href=b>", None, "", "<base href='/c'>y &amp; z"] * 9)
+    whole = html.read(pages)
+    monkeypatch.setattr(html, "_SLICE", 20)
+    assert html.read(pages).equals(whole)
+    assert html.read(pages.slice(3, 5)).equals(whole.slice(3, 5)) and len(html.read(pages[:0])) == 0
