@@ -11,10 +11,12 @@ from ..functions.analyzer import LATIN, Dictionary, lemmas_of_words
 from ..functions.morphology import ENDING, LEAST, compiled, reader
 from ..operators import index
 from ..sources import document_pages, load
+from ..sources.scratch import stored
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents").select(F.explode(LATIN.words(F.col("text"))).alias("form")).distinct()
+    """Each word once, stored: what is made of them asks for them several times."""
+    return stored(load(spark, d, "documents").select(F.explode(LATIN.words(F.col("text"))).alias("form")).distinct(), "words")
 
 
 def _forms(spark: SparkSession, d: str) -> DataFrame:

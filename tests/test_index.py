@@ -4,10 +4,11 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tarnwell.functions.analyzer import LATIN
+from tarnwell.functions.analyzer import LATIN, Dictionary
 from tarnwell.operators import index, search, stats, status
 from tarnwell.plans import store as store_module
 from tarnwell.plans.store import SCHEMAS, Store, merge_from
+from tarnwell.sources import unique_pages
 
 PAGES = "site_url string, path string, code int, content string"
 
@@ -163,3 +164,61 @@ def test_merged_parts_say_the_same(spark, tmp_path, monkeypatch):
     for name in ("pages", "postings", "lemmas", "counts", "sites"):
         of = [sorted(map(str, s.table(name).collect())) for s in (store, Store(spark, str(tmp_path / "i")), final)]
         assert of[0] == of[1] == of[2], name
+
+
+FETCHED = "site_url string, path string, code int, content string, ts timestamp"
+
+
+def _exchanged(df) -> str:
+    """The plan of a query, with the columns that are exchanged."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_stand_in_the_pages_rows_without_an_exchange(spark):
+    rows = pages(spark, [("s", "/a", 200, "one two two and"), ("s", "/b", 404, "one"), ("s", "/c", 200, None), ("s", "/d", None, "x y")])
+    made = index.with_terms(rows, LATIN, is_html=False)
+    assert "Exchange" not in _exchanged(made)
+    assert {r.path: sorted(map(tuple, r.terms or [])) for r in made.collect()} == {"/a": [("one", 1.0), ("two", 2.0)], "/b": [], "/c": [], "/d": []}
+
+
+def test_terms_by_every_kind_of_dictionary(spark):
+    rows = pages(spark, [("s", "/a", 200, "cats cat the dogs"), ("s", "/b", 200, "dogs dog cow the the")])
+    forms = spark.createDataFrame([("cats", "cat", False), ("dogs", "dog", False), ("the", None, True), ("cow", None, False)], "form string, known string, stop boolean")
+    small = Dictionary(forms, small=True)
+    want = [("s", "/a", "cat", 2.0), ("s", "/a", "dog", 1.0), ("s", "/b", "cow", 1.0), ("s", "/b", "dog", 2.0)]
+    for dictionary in (small, Dictionary(forms, small=False), Dictionary(forms, small=False).compile()):
+        assert table(index.postings(rows, LATIN, dictionary, is_html=False)) == want
+        made = index.with_terms(rows, LATIN, dictionary, is_html=False).select("site_url", "path", F.explode("terms").alias("t"))
+        assert table(made.select("site_url", "path", "t.lemma", "t.rank")) == want
+
+
+def test_rows_of_one_key_add_up_in_a_store(spark, tmp_path):
+    sites = spark.createDataFrame([("s", "s", "INDEXED", None, "")], SCHEMAS["sites"])
+    store = Store(spark, str(tmp_path / "i"))
+    store.build(spark.createDataFrame([("s", "/a", 200, "one two", None), ("s", "/a", 200, "two", None), ("s", "/b", 200, "two", None)], FETCHED), sites, LATIN, is_html=False)
+    posts = [("s", "/a", "one", 1.0), ("s", "/a", "two", 2.0), ("s", "/b", "two", 1.0)]
+    assert table(store.postings()) == posts and table(store.postings_by_page("s", "/a")) == posts[:2]
+    assert table(store.lemmas()) == [("s", "one", 1), ("s", "two", 2)]
+    older = Store(spark, store.folder)
+    store.update(spark.createDataFrame([("s", "/a", 200, "new", None)], FETCHED), sites, LATIN, is_html=False)
+    assert table(store.lemmas()) == [("s", "new", 1), ("s", "two", 1)]
+    assert table(older.lemmas()) == [("s", "one", 1), ("s", "two", 2)]  # a reader stays at its state
+
+
+def test_few_keys_shuffle_neither_pages_nor_postings(spark, tmp_path):
+    """Of tables too large to be broadcast themselves."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        start = pages(spark, [("s", f"/{n}", 200, "one two") for n in range(9)])
+        posts = index.postings(start, LATIN)
+        posts.write.parquet(str(tmp_path / "posts"))
+        posts = spark.read.parquet(str(tmp_path / "posts"))
+        left = index.delete_pages(start, posts, index.frequencies(posts), start.filter("path = '/3'"))
+        assert all("SortMergeJoin" not in _exchanged(df) for df in left)
+        assert left[0].count() == 8 and table(left[2]) == [("s", "one", 8), ("s", "two", 8)]
+        twice = start.withColumn("page_id", F.monotonically_increasing_id())
+        assert "Join" not in _exchanged(unique_pages(twice, "page_id"))
+        assert "SortMergeJoin" not in _exchanged(unique_pages(twice.union(twice.limit(1)), "page_id"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
