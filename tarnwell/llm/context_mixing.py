@@ -7,8 +7,8 @@ the code and of a context: the last 3, 4 and 6 bytes and the beginning of the pr
 word.  A predictor is a table of 2**TABLE_BITS numbers, log odds from the
 zeros and ones counted over all training texts.  The log odds are combined with
 weights that a gate selects (how deep the bit stands in its code, how many long
-contexts are known); the weights learn online, bit for bit, on MIXING_SHARE of the
-training texts, against counts of the others, so that they don't trust what a text
+contexts are known); the weights learn online, bit for bit, on all training texts, each
+of two halves against the counts of the other, so that they don't trust what a text
 has itself put into the tables.  While a text is scored its weights are refined after
 each BLOCK of its bytes by the same rule, beginning anew with each text, and a last
 table corrects the odds by gate and size.  The score is the sum over all bits.
@@ -38,7 +38,7 @@ from .common import ASCII_LOWER, NOT_SPACE, Slots, distinct, flat_ranges, map_ar
 TABLE_BITS = 20
 ORDERS = (3, 4, 6)
 PREDICTORS = len(ORDERS) + 1
-MIXING_SHARE = 16
+HALVES = 2
 MIXING_ROUNDS = 2
 BLOCK = 1024
 FREQUENT = 1 << 16
@@ -197,6 +197,10 @@ def _losses(sign: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.log1p(e), sign * (e / (1 + e))
 
 
+def _errors(sign: np.ndarray, z: np.ndarray) -> np.ndarray:
+    return sign / (1 + np.exp(np.clip(sign * z, -30, 30)))
+
+
 def _learn(symbols: Symbols, code: Code, tables: list[np.ndarray], weights: np.ndarray, found: np.ndarray) -> int:
     """Move the weights through some texts; add bits, ones and odds of each cell."""
     total = 0
@@ -208,7 +212,7 @@ def _learn(symbols: Symbols, code: Code, tables: list[np.ndarray], weights: np.n
             part = slice(at, at + 4096)
             g, x = gate[part], odds[:, part]
             z = (weights[:, g] * x).sum(0)
-            _, error = _losses(sign[part], z)
+            error = _errors(sign[part], z)
             count = np.bincount(g, minlength=_GATES)
             for n in range(PREDICTORS):
                 weights[n] += _RATE * np.bincount(g, error * x[n], _GATES) / np.sqrt(count + 1)
@@ -259,6 +263,15 @@ def _symbols(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[p
             yield batch, part, low, Symbols(low, part.offsets)
 
 
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Symbols]]:
+    """The symbols of rows (text, half), by half."""
+    for batch in batches:
+        of = batch.column(1).to_numpy(zero_copy_only=False)
+        for half in range(HALVES):
+            for part in text_slices(batch.column(0).filter(pa.array(of == half)), _CHUNK):
+                yield half, Symbols(ASCII_LOWER[part.data], part.offsets)
+
+
 def _rows(columns: dict[str, object], schema: dict[str, pa.DataType]) -> pa.RecordBatch:
     """A batch in which columns that aren't given are null."""
     n = len(next(iter(columns.values())))
@@ -287,41 +300,36 @@ _BYTE_MARK = int(np.array(0xFE << 56, np.uint64).view(np.int64))
 
 
 def _count_bits(code: Code):
-    """Pages of zeros and ones, apart for texts that the mixer learns on."""
+    """Pages of zeros and ones, apart for each half of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, PREDICTORS, 2 << TABLE_BITS), np.int32)
-        waiting: list[list[list[np.ndarray]]] = [[[] for _ in range(PREDICTORS)] for _ in range(2)]
+        counts = np.zeros((HALVES, PREDICTORS, 2 << TABLE_BITS), np.int32)
+        waiting: list[list[list[np.ndarray]]] = [[[] for _ in range(PREDICTORS)] for _ in range(HALVES)]
 
-        def settle(fold: int) -> None:
-            for n, parts in enumerate(waiting[fold]):
+        def settle(half: int) -> None:
+            for n, parts in enumerate(waiting[half]):
                 if parts:
-                    counts[fold, n] += np.bincount(np.concatenate(parts), minlength=2 << TABLE_BITS).astype(np.int32)
+                    counts[half, n] += np.bincount(np.concatenate(parts), minlength=2 << TABLE_BITS).astype(np.int32)
                     parts.clear()
 
-        held = [0, 0]
-        for batch in batches:
-            mixing = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
-            for fold in (0, 1):
-                texts = batch.column(0).filter(pa.array(mixing == bool(fold)))
-                for part in text_slices(texts, _CHUNK):
-                    symbols = Symbols(ASCII_LOWER[part.data], part.offsets)
-                    for first, last in symbols.chunks():
-                        _, bit, _, places = symbols.bits(code, first, last)
-                        for n, place in enumerate(places):
-                            waiting[fold][n].append(place << np.uint32(1) | bit)
-                        held[fold] += len(bit)
-                        if held[fold] > 1 << 21:
-                            settle(fold)
-                            held[fold] = 0
-        for fold in (0, 1):
-            settle(fold)
-            pages = counts[fold].reshape(-1, 2 * _PAGE)
+        held = [0] * HALVES
+        for half, symbols in _halves(batches):
+            for first, last in symbols.chunks():
+                _, bit, _, places = symbols.bits(code, first, last)
+                for n, place in enumerate(places):
+                    waiting[half][n].append(place << np.uint32(1) | bit)
+                held[half] += len(bit)
+                if held[half] > 1 << 21:
+                    settle(half)
+                    held[half] = 0
+        for half in range(HALVES):
+            settle(half)
+            pages = counts[half].reshape(-1, 2 * _PAGE)
             touched = np.flatnonzero(pages.any(1))
             for at in range(0, len(touched), 64):
                 some = touched[at : at + 64]
                 packed = [pa.compress(pages[p].tobytes(), codec="zstd", asbytes=True) for p in some.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([bool(fold)] * len(some)), pa.array(packed, pa.binary())], names=["page", "mixing", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([half] * len(some), pa.int32()), pa.array(packed, pa.binary())], names=["page", "half", "counts"])
 
     return run
 
@@ -330,23 +338,25 @@ def _add_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum the pages of a task, in bounded memory: there are only so many pages."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for page, mixing, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for page, half, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             counts = np.frombuffer(pa.decompress(packed, 8 * _PAGE, codec="zstd", asbytes=True), np.int32)
-            sums.setdefault(page, np.zeros((2, 2 * _PAGE), np.int64))[int(mixing)] += counts
+            sums.setdefault(page, np.zeros((HALVES, 2 * _PAGE), np.int64))[half] += counts
 
     def odds(counts: np.ndarray) -> bytes:
         zeros, ones = counts.reshape(-1, 2).T + 0.1
         return np.clip(np.rint(_PER_ODDS * np.log(ones / zeros)), -127, 127).astype(np.int8).tobytes()
 
-    for page, (others, mixing) in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([page]), pa.array([odds(others)]), pa.array([odds(others + mixing)])], names=["page", "others", "every"])
+    for page, (first, second) in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([page]), pa.array([odds(second)]), pa.array([odds(first)]), pa.array([odds(first + second)])], names=["page", "but_first", "but_second", "every"])
+
 
+def _mixing_pass(code: Code, others: list[list[np.ndarray]], mixer: Mixer):
+    """Learn on each text of each half against ``others`` of that half: the counts of the other."""
 
-def _mixing_pass(code: Code, tables: list[np.ndarray], mixer: Mixer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, found, total = mixer.weights.astype(np.float64), np.zeros((3, _GATES * _SIZES)), 0
-        for _, _, _, symbols in _symbols(batches, 0):
-            total += _learn(symbols, code, tables, weights, found)
+        for half, symbols in _halves(batches):
+            total += _learn(symbols, code, others[half], weights, found)
         if total:
             values = np.concatenate(((weights * total).ravel(), [total], found.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array([values.tolist()], pa.list_(pa.float64()))], names=["sums"])
@@ -379,8 +389,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
     """Learn from all rows that aren't held out."""
     spark = docs.sparkSession
     number = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0))
-    mixing = F.pmod(F.floor(number / 5), F.lit(MIXING_SHARE)) == 0
-    training = docs.filter(~is_held_out(id_col)).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), mixing.alias("mixing"))
+    half = F.pmod(F.floor(number / 5), F.lit(HALVES)).cast("int")
+    training = docs.filter(~is_held_out(id_col)).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), half.alias("half"))
 
     counted = stored(map_arrow(training.select("text"), _count_tokens, "low long, high long, n long").groupBy("low", "high").agg(F.sum("n").alias("n")), "tokens")
     of_byte = np.zeros(_END + 1, np.int64)
@@ -393,19 +403,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
     of_byte[_END] = next((r.n for r in often if not r.low and not r.high), 0)
     code = Code.of(of_byte)
 
-    pages = map_arrow(training, _count_bits(code), "page long, mixing boolean, counts binary").repartition("page")
-    tables = np.zeros((2, PREDICTORS << TABLE_BITS), np.int8)
-    for r in map_arrow(pages, _add_pages, "page long, others binary, every binary").collect():
-        for n, raw in enumerate((r.others, r.every)):
+    pages = map_arrow(training, _count_bits(code), "page long, half int, counts binary").repartition("page")
+    tables = np.zeros((HALVES + 1, PREDICTORS << TABLE_BITS), np.int8)
+    for r in map_arrow(pages, _add_pages, "page long, but_first binary, but_second binary, every binary").collect():
+        for n, raw in enumerate((r.but_first, r.but_second, r.every)):
             tables[n, r.page * _PAGE : (r.page + 1) * _PAGE] = np.frombuffer(raw, np.int8)
-    others, every = (list(t.reshape(PREDICTORS, -1)) for t in tables)
+    *others, every = (list(t.reshape(PREDICTORS, -1)) for t in tables)
 
     mixer = Mixer.new()
-    sample = stored(training.filter("mixing").select("text"), "mixing")
     held = spark.sparkContext.broadcast(others)
     for _ in range(MIXING_ROUNDS):
         run = _mixing_pass_of(code, held, mixer)
-        sums = map_arrow(sample, run, "sums array<double>").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
+        sums = map_arrow(training, run, "sums array<double>").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
         if not sums:
             break
         values = np.zeros(len(sums))
@@ -421,9 +430,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
     return Model(code, every, mixer, counts, frequent, tokens, kinds)
 
 
-def _mixing_pass_of(code: Code, tables, mixer: Mixer):
+def _mixing_pass_of(code: Code, others, mixer: Mixer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _mixing_pass(code, tables.value, mixer)(batches)
+        yield from _mixing_pass(code, others.value, mixer)(batches)
 
     return run
 

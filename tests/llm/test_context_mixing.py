@@ -141,3 +141,13 @@ def test_held_out_texts_are_predicted(spark):
     size = {r.doc_id: len((r.text or "").encode()) + 1 for r in table.collect()}
     bits = -sum(r.score for r in rows) / math.log10(2) / sum(size[r.doc_id] for r in rows)
     assert bits < 2.4  # the bytes alone have about 4.3
+
+
+def test_weights_learn_on_every_training_text(spark):
+    """Of each half one text that a share of one in 16 left out: nothing was learned before."""
+    number = {n: zlib.crc32(str(n).encode()) for n in range(400)}
+    ids = [n for n, c in number.items() if c % 5 != 1 and c // 5 % 16]
+    pair = [next(n for n in ids if number[n] // 5 % 2 == half) for half in (0, 1)]
+    fit = lambda *texts: cm.fit(docs(spark, [(n, t, "en", "h", 1) for n, t in zip(pair, texts, strict=True)])).mixer.weights
+    one, other, changed = fit("some words " * 40, "some words " * 40), fit("some words " * 40, "words some " * 30), fit("words some " * 30, "some words " * 40)
+    assert not np.allclose(one, 0.3) and not np.allclose(one, other) and not np.allclose(one, changed)
