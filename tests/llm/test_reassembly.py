@@ -1,10 +1,12 @@
 """Turn reassembly against a plain replay of all batches."""
 
 import hashlib
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from tarnwell.llm import reassembly
+from tarnwell.sources.scratch import shared_folder
 
 DATA = "/root/testdata/sf0.001"
 
@@ -78,3 +80,20 @@ def test_query_equals_replay(spark):
             arrivals.append((r.conv_id, r.turn, batch, role, f"{role}|{r.text or ''}"))
     got = reassembly.op13_turn_reassembly(spark, DATA)
     assert sorted((tuple(r) for r in got.collect()), key=str) == replay(arrivals, 12, 3)
+
+
+def test_pages_are_put_aside(spark, monkeypatch):
+    """More pages in one batch than are held; copies, and repeats of kept and of released turns."""
+    monkeypatch.setattr(reassembly, "HELD", 2)
+    rows = [(1, (turn * 77) % 600, batch, role, f"{role}|{turn}") for turn in range(600) for batch, role in [(turn % 3, "user"), (turn % 3, "assistant"), (3, "user")][: 3 if turn % 5 else 0]]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, batch long, role string, payload string")
+    assert digests(reassembly.reassemble(df, 5, 2)) == replay(rows, 5, 2)
+
+
+def test_one_state_store_a_partition_and_start(spark, monkeypatch):
+    """Two operators opened and closed twice as many stores, each a task: 5,486 of them on 211 partitions."""
+    folders = []
+    monkeypatch.setattr(reassembly, "shared_folder", lambda *a: folders.append(shared_folder(*a)) or folders[-1])
+    df = spark.createDataFrame([(1, 0, 0, "user", "a"), (1, 0, 0, "user", "b")], "conv_id long, turn long, batch long, role string, payload string")
+    reassembly.reassemble(df, 2, 1).collect()
+    assert sorted(p.name for p in Path(folders[0].removeprefix("file:")).glob("checkpoint/state/*") if p.name.isdigit()) == ["0"]
