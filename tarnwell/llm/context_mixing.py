@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,10 +91,15 @@ class Code:
         return Code(lengths, np.cumsum(lengths) - lengths, np.array([b for _, b in flat], np.uint8), nodes ^ nodes >> np.uint32(15), depths.astype(np.uint8))
 
 
-def _power_table(n: int, of: int) -> np.ndarray:
+@lru_cache(4)
+def _powers(n: int, of: int) -> np.ndarray:
     return np.cumprod(np.full(n, of, np.uint64), dtype=np.uint64)
 
 
+def _power_table(n: int, of: int) -> np.ndarray:
+    return _powers(max(1 << 15, 1 << (n - 1).bit_length()), of)[:n]
+
+
 class Symbols:
     """The symbols of some texts, one end after each, with their contexts."""
 
@@ -145,21 +151,24 @@ class Symbols:
 
     def bits(self, code: Code, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """Of the symbols of a range: where their bits end, the bits, their depths,
-        and their places in the predictors' tables."""
+        and their places in the predictors' tables.  Here and below no index is out of
+        range: the modes of ``take`` only spare its slower checks."""
         symbol = self.symbol[first:last]
         count = code.lengths[symbol]
-        flat = flat_ranges(code.starts[symbol], count)
-        of = np.repeat(np.arange(last - first, dtype=np.int32), count)
-        node = code.nodes.take(flat)
+        ends = np.cumsum(count)
+        of = np.repeat(np.arange(last - first), count)
+        flat = (code.starts[symbol] - (ends - count)).take(of)
+        flat += np.arange(len(flat))
+        node = code.nodes.take(flat, mode="clip")
         places = []
         for context in self.contexts:
-            x = context[first:last].take(of)
+            x = context[first:last].take(of, mode="clip")
             x += node
             x ^= x >> np.uint32(13)
             x *= np.uint32(0x5BD1E995)
             x >>= np.uint32(32 - TABLE_BITS)
             places.append(x)
-        return np.cumsum(count), code.bits.take(flat), code.depths.take(flat), places
+        return ends, code.bits.take(flat, mode="clip"), code.depths.take(flat, mode="clip"), places
 
 
 @dataclass(frozen=True)
@@ -179,7 +188,7 @@ def _inputs(tables: list[np.ndarray], depths: np.ndarray, places: list[np.ndarra
     odds = np.empty((PREDICTORS, len(depths)), np.float32)
     gate = depths * np.uint8(_KNOWN)
     for n, (table, place) in enumerate(zip(tables, places, strict=True)):
-        stored_odds = table.take(place)
+        stored_odds = table.take(place.astype(np.intp), mode="wrap")
         odds[n] = stored_odds
         if n:
             gate += stored_odds != 0
@@ -188,16 +197,16 @@ def _inputs(tables: list[np.ndarray], depths: np.ndarray, places: list[np.ndarra
 
 
 def _cell(gate: np.ndarray, z: np.ndarray) -> np.ndarray:
-    return gate * np.int32(_SIZES) + (np.clip(z, -8, 8) * 2 + 16.5).astype(np.int32)
+    return gate.astype(np.intp) * _SIZES + (np.clip(z, -8, 8) * 2 + 16.5).astype(np.intp)
 
 
-def _losses(sign: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nats of each bit, and the errors (bit minus its probability)."""
-    e = np.exp(np.clip(-sign * z, -30, 30))
-    return np.log1p(e), sign * (e / (1 + e))
+def _losses(sign: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Nats of each bit."""
+    return np.log(1 + np.exp(np.clip(-sign * z, -30, 30)))
 
 
 def _errors(sign: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Each bit minus its probability."""
     return sign / (1 + np.exp(np.clip(sign * z, -30, 30)))
 
 
@@ -211,14 +220,19 @@ def _learn(symbols: Symbols, code: Code, tables: list[np.ndarray], weights: np.n
         for at in range(0, len(bit), 4096):
             part = slice(at, at + 4096)
             g, x = gate[part], odds[:, part]
-            z = (weights[:, g] * x).sum(0)
+            single, g = weights.astype(np.float32), g.astype(np.intp)
+            z = single[0].take(g, mode="clip") * x[0]
+            for n in range(1, PREDICTORS):
+                z += single[n].take(g, mode="clip") * x[n]
             error = _errors(sign[part], z)
-            count = np.bincount(g, minlength=_GATES)
-            for n in range(PREDICTORS):
-                weights[n] += _RATE * np.bincount(g, error * x[n], _GATES) / np.sqrt(count + 1)
             cell = _cell(g, z)
-            for row, w in enumerate((None, bit[part], z)):
-                found[row] += np.bincount(cell, w, found.shape[1])
+            of_bit = np.bincount(cell << 1 | bit[part], minlength=2 * found.shape[1]).reshape(-1, 2)
+            rate = _RATE / np.sqrt(of_bit.reshape(_GATES, -1).sum(1) + 1)
+            for n in range(PREDICTORS):
+                weights[n] += np.bincount(g, error * x[n], _GATES) * rate
+            found[0] += of_bit.sum(1)
+            found[1] += of_bit[:, 1]
+            found[2] += np.bincount(cell, z, found.shape[1])
         total += len(bit)
     return total
 
@@ -231,9 +245,10 @@ def score_texts(symbols: Symbols, code: Code, tables: list[np.ndarray], mixer: M
         end_of, bit, depth, places = symbols.bits(code, first, last)
         odds, gate = _inputs(tables, depth, places)
         sign = bit * np.float32(2) - 1
-        z = np.zeros(len(bit), np.float32)
-        for n in range(PREDICTORS):
-            z += odds[n] * mixer.weights[n].take(gate)
+        wide = gate.astype(np.intp)
+        z = odds[0] * mixer.weights[0].take(wide, mode="clip")
+        for n in range(1, PREDICTORS):
+            z += odds[n] * mixer.weights[n].take(wide, mode="clip")
         docs = np.arange(np.searchsorted(begin, first, side="right") - 1, np.searchsorted(begin, last))
         bit_at = lambda symbol: int(end_of[symbol - first - 1]) if symbol > first else 0
         long = docs[(symbols.bounds[docs + 1] - begin[docs]) > BLOCK]
@@ -246,11 +261,11 @@ def score_texts(symbols: Symbols, code: Code, tables: list[np.ndarray], mixer: M
                 after = min(at + BLOCK, stop)
                 part = slice(bit_at(at), bit_at(after))
                 z[part] += own @ odds[:, part]
-                _, error = _losses(sign[part], z[part])
+                error = _errors(sign[part], z[part])
                 own = own + np.float32(_OWN_RATE) * (odds[:, part] @ error) / np.float32(np.sqrt(part.stop - part.start))
                 at = after
-        z += mixer.correction.take(_cell(gate, z))
-        loss, _ = _losses(sign, z)
+        z += mixer.correction.take(_cell(wide, z), mode="clip")
+        loss = _losses(sign, z)
         of_doc = np.array([bit_at(max(int(begin[d]), first)) for d in docs.tolist()])
         out[docs] -= np.add.reduceat(loss.astype(np.float64), of_doc)
     return out / np.log(10)
@@ -304,26 +319,12 @@ def _count_bits(code: Code):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((HALVES, PREDICTORS, 2 << TABLE_BITS), np.int32)
-        waiting: list[list[list[np.ndarray]]] = [[[] for _ in range(PREDICTORS)] for _ in range(HALVES)]
-
-        def settle(half: int) -> None:
-            for n, parts in enumerate(waiting[half]):
-                if parts:
-                    counts[half, n] += np.bincount(np.concatenate(parts), minlength=2 << TABLE_BITS).astype(np.int32)
-                    parts.clear()
-
-        held = [0] * HALVES
         for half, symbols in _halves(batches):
             for first, last in symbols.chunks():
                 _, bit, _, places = symbols.bits(code, first, last)
                 for n, place in enumerate(places):
-                    waiting[half][n].append(place << np.uint32(1) | bit)
-                held[half] += len(bit)
-                if held[half] > 1 << 21:
-                    settle(half)
-                    held[half] = 0
+                    np.add.at(counts[half, n], (place << np.uint32(1) | bit).astype(np.intp), np.int32(1))
         for half in range(HALVES):
-            settle(half)
             pages = counts[half].reshape(-1, 2 * _PAGE)
             touched = np.flatnonzero(pages.any(1))
             for at in range(0, len(touched), 64):

@@ -151,3 +151,25 @@ def test_weights_learn_on_every_training_text(spark):
     fit = lambda *texts: cm.fit(docs(spark, [(n, t, "en", "h", 1) for n, t in zip(pair, texts, strict=True)])).mixer.weights
     one, other, changed = fit("some words " * 40, "some words " * 40), fit("some words " * 40, "words some " * 30), fit("words some " * 30, "some words " * 40)
     assert not np.allclose(one, 0.3) and not np.allclose(one, other) and not np.allclose(one, changed)
+
+
+def test_learning_equals_double_precision():
+    """Weights and cells in single precision against the same steps in double precision."""
+    code, tables, mixer = model()
+    text = symbols([t * 3 for t in TEXTS])
+    weights, found = mixer.weights.astype(np.float64), np.zeros((3, cm._GATES * cm._SIZES))
+    want, cells = weights.copy(), np.zeros(cm._GATES)
+    total = cm._learn(text, code, tables, weights, found)
+    for first, last in text.chunks():
+        _, bit, depth, places = text.bits(code, first, last)
+        odds = np.array([t[p] / 16 for t, p in zip(tables, places, strict=True)])
+        gate = depth.astype(int) * cm._KNOWN + (odds[1:] != 0).sum(0)
+        for at in range(0, len(bit), 4096):
+            g, x, b = gate[at : at + 4096], odds[:, at : at + 4096], bit[at : at + 4096]
+            error = b - 1 / (1 + np.exp(-(want[:, g] * x).sum(0)))
+            count = np.bincount(g, minlength=cm._GATES)
+            for n in range(cm.PREDICTORS):
+                want[n] += cm._RATE * np.bincount(g, error * x[n], cm._GATES) / np.sqrt(count + 1)
+            cells += count
+    assert np.allclose(weights, want, atol=1e-4) and total == cells.sum() == found[0].sum()
+    assert np.array_equal(found[0].reshape(cm._GATES, -1).sum(1), cells) and 0 < found[1].sum() < total
